@@ -44,7 +44,7 @@ def text_bytes(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataF
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), text, *[F.col(f"`{c}`") for c in more])
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema) -> DataFrame:
     """Maps each Arrow batch by ``fn``; batches are independent, so a lost task is simply run again."""
 
     def run(batches):
@@ -62,3 +62,14 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
 def small(df: DataFrame, most: int) -> bool:
     """Whether the rows number ``most`` at most; reads no more than needed to tell."""
     return len(df.select(F.lit(1)).limit(most + 1).take(most + 1)) <= most if most < 10_000 else df.limit(most + 1).count() <= most
+
+
+#: Ids that may be broadcast to drop rows; beyond that rows are dropped by a shuffle join.
+MOST_DROPPED = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows, all columns, whose id isn't among ``ids`` (one column of that name); rows of null id stay."""
+    ids = ids.where(F.col(id_col).isNotNull()).distinct()
+    few = ids.limit(MOST_DROPPED + 1).count() <= MOST_DROPPED
+    return docs.join(F.broadcast(ids) if few else ids, id_col, "left_anti").select(docs.columns)

@@ -41,11 +41,33 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindex.llm.lines import drop_boilerplate
+
+    return drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindex.llm.quality import classify, fit
+
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_decontamination": op5_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
+    "pipeline": pipeline,
 }
 
 def _lower(column: str) -> str:
@@ -53,6 +75,15 @@ def _lower(column: str) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op9_line_dedup": """
+WITH l AS (SELECT doc_id, source, line, i FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+t AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+f AS (SELECT source, line, count(DISTINCT doc_id) AS n FROM l WHERE line <> '' GROUP BY source, line),
+b AS (SELECT f.source, f.line FROM f JOIN t USING (source) WHERE n >= 3 AND n > pages * 0.01)
+SELECT d.doc_id, CAST(coalesce(count(l.i), 0) AS BIGINT) AS n_lines, CAST(count(b.line) AS BIGINT) AS n_dropped,
+       CASE WHEN any_value(d.text) IS NULL THEN NULL ELSE coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE b.line IS NULL), '') END AS text
+FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN b ON b.source = l.source AND b.line = l.line GROUP BY d.doc_id
+""",
     "op3_minhash_near_dedup": f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce({_lower("text")}, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, hash(sh) AS sh FROM (
