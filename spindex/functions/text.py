@@ -98,7 +98,9 @@ def stemmed(words: DataFrame, word_col: str = "token", out_col: str = "stem") ->
     """Adds the stem of a lower-cased token.
 
     The steps are staged projections over a helper column, so each reads the one before
-    once and the expression doesn't grow with the number of steps.
+    once and the expression doesn't grow with the number of steps. The stem comes out of
+    a generator, as the optimizer would else write all steps, each several times, into
+    any predicate on it.
     """
     own = [F.col(f"`{c}`") for c in words.columns]
     token = F.col(f"`{word_col}`")
@@ -106,7 +108,7 @@ def stemmed(words: DataFrame, word_col: str = "token", out_col: str = "stem") ->
     df = words.select(*own, F.when(plain, F.lit("")).otherwise(token).alias("w"))
     for stage in porter_stages("regexp_like"):
         df = df.select(*own, F.expr(stage).alias("w"))
-    return df.select(*own, F.when(plain, token).otherwise(F.col("w")).alias(out_col))
+    return df.select(*own, F.explode(F.array(F.when(plain, token).otherwise(F.col("w")))).alias(out_col))
 
 
 def stemmed_distinct(words: DataFrame, word_col: str = "token", out_col: str = "stem") -> DataFrame:

@@ -57,7 +57,8 @@ def _points(table: str = "customer", key: str = "c_custkey") -> str:
 
 
 def _km(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
-    r = f"* {pi!r} / 180.0"
+    lat1, lng1, lat2, lng2 = (f"CAST({x} AS DOUBLE)" for x in (lat1, lng1, lat2, lng2))
+    r = f"* CAST({pi!r} AS DOUBLE) / 180.0"
     h = f"pow(sin(({lat2} - {lat1}) {r} / 2), 2) + cos({lat1} {r}) * cos({lat2} {r}) * pow(sin(({lng2} - {lng1}) {r} / 2), 2)"
     return f"(6371.0 * 2 * atan2(sqrt(least(1.0, greatest(0.0, {h}))), sqrt(1.0 - least(1.0, greatest(0.0, {h})))))"
 
@@ -120,7 +121,7 @@ SELECT doc_id{", round(sum(x) * (1 + count(*) / " + str(len(terms)) + ".0), 6) A
 
 
 #: What the queries' words become.
-TERMS, ALL_TERMS = ["tion", "ant", "nder", "shing"], ["tion", "nder", "ant"]
+TERMS, ALL_TERMS = ["erin", "ant", "thth", "shing"], ["thth", "erer", "thing"]
 _TXT = {
     "txt_tokens": f"WITH {_tok()} SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM tok GROUP BY token",
     "txt_stem": f"WITH {_tok()} {_stem('(SELECT DISTINCT token FROM tok)')}",
@@ -128,7 +129,7 @@ _TXT = {
     "txt_first_seen": f"WITH {_terms()} SELECT doc_id, term, tf, place FROM (SELECT doc_id, term, tf, row_number() OVER (PARTITION BY doc_id ORDER BY first_pos) AS place FROM tf) WHERE place <= 3",
     "txt_bm25": _bm25(TERMS),
     "txt_bm25_ids": _bm25(TERMS, scored=False),
-    "txt_require_all": f"WITH {_terms()} SELECT doc_id FROM tf WHERE term IN ('tion', 'nder', 'ant') GROUP BY doc_id HAVING count(*) = 3",
+    "txt_require_all": f"WITH {_terms()} SELECT doc_id FROM tf WHERE term IN ({", ".join(repr(t) for t in ALL_TERMS)}) GROUP BY doc_id HAVING count(*) = 3",
     "txt_query_stop_words": "SELECT doc_id, CAST(0 AS DOUBLE) AS score FROM documents WHERE false",
     "txt_term_count": f"WITH {_terms()} SELECT count(DISTINCT term) AS n_terms FROM tf",
     "txt_doc_count": "SELECT count(*) AS n_documents FROM documents",

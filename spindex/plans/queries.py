@@ -15,8 +15,8 @@ from spindex.sources.tables import file_checksums
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-WORDS = "Tion anting, of the NDER shing tion"
-ALL_WORDS = "tion nder anting"
+WORDS = "Erin anting, of the THTH shing erin"
+ALL_WORDS = "thth erer thing"
 
 
 def query(fn: Query) -> Query:
