@@ -41,6 +41,13 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindex.llm.secrets import learn, scan
+
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, learn(docs))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spindex.llm.decontaminate import decontaminate
 
@@ -69,6 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_secret_scan": op4_secret_scan,
     "op5_decontamination": op5_decontamination,
     "op6_posting_lists": op6_posting_lists,
     "op8_best_fit_packing": op8_best_fit_packing,
