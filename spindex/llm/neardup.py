@@ -19,6 +19,8 @@ With 32 bands of 4 minima a pair of similarity 0.8 shares no band once in 2e7.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -119,8 +121,8 @@ def _plausible(a: str, b: str, percent: int) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (estimate(a, b) >= s - slack)
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, shingles (binary) of the listed ids."""
+def shingles_of(docs: DataFrame, ids: DataFrame, encode: Callable[[np.ndarray, np.ndarray], list[bytes]], id_col: str, text_col: str) -> DataFrame:
+    """doc_id, shingles (binary, what ``encode`` makes of a chunk's rows) of the listed ids."""
     texts = text_bytes(docs, id_col, text_col)
     wanted = None
     if ids.limit(MOST_IDS + 1).count() <= MOST_IDS:
@@ -139,8 +141,8 @@ def _sets_of(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col:
                 return
         buf, off = textvec.binary_column(batch.column(1))
         for i, j in textvec.chunks(off):
-            sets = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], width)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"])
+            made = encode(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(made, pa.binary())], ["doc_id", "shingles"])
 
     return arrow_map(texts, run, "doc_id long, shingles binary")
 
@@ -191,9 +193,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         x = pairs.alias("p").join(info.alias("x"), F.col("p.a") == F.col("x.rep")).join(info.alias("y"), F.col("p.b") == F.col("y.rep"))
         return x.where(_plausible("x", "y", percent)).select("p.a", "p.b").distinct()
 
+    def encode(buf: np.ndarray, off: np.ndarray) -> list[bytes]:
+        return [s.tobytes() for s in shingle_sets(buf, off, width)]
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        return saved(_confirm(pairs, saved(_sets_of(docs, ids, width, id_col, text_col), "sets"), percent), "links")
+        return saved(_confirm(pairs, saved(shingles_of(docs, ids, encode, id_col, text_col), "sets"), percent), "links")
 
     links = confirmed(saved(likely(first), "likely"))
     found = saved(components(links, "a", "b"), "components")
