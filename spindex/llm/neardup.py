@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     base = saved(sketches(docs, width, id_col, text_col), "sketches")
     key = ["h0", "h1", "n_shingles"]
     classes = base.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    named = saved(base.select("doc_id", *key).join(classes, key, "left"), "classes")
+    named = saved(base.select("doc_id", *key).join(classes, key, "left").withColumn("rep", F.expr("CASE WHEN doc_id IS NOT NULL THEN rep END")), "classes")
     # rows of one id with different sets are one node too
     same = named.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
     reps = saved(base.join(classes.withColumn("doc_id", F.col("rep")), [*key, "doc_id"]).select("rep", "n_shingles", "h0", *_SIGS, "bands").dropDuplicates(["rep", "n_shingles", "h0"]), "representatives")
