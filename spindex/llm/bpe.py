@@ -37,6 +37,8 @@ def _char_classes() -> tuple[np.ndarray, np.ndarray]:
 
 
 _ONE, _TWO = _char_classes()
+#: Pre-tokens of more ids aren't remembered.
+LONGEST = 1000
 _TAILS = [b"s", b"t", b"m", b"d", b"re", b"ve", b"ll"]
 
 
@@ -90,7 +92,7 @@ def cut(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Encoder:
     """Token ids, or their number, of whole texts as the library's tokenizer gives them."""
 
-    def __init__(self, path: str, bits: int = 21, pool: int = 6_000_000):
+    def __init__(self, path: str, bits: int = 20, pool: int = 3_000_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -111,7 +113,7 @@ class Encoder:
         self.shift = U64(bits)
         self.keys = np.zeros(1 << bits, U64)
         self.at = np.zeros(1 << bits, np.int32)
-        self.num = np.zeros(1 << bits, np.int32)
+        self.num = np.zeros(1 << bits, np.uint16)
         self.pool = np.empty(pool, np.uint32)
         self.used = 0
         single = self.single_tokens()
@@ -138,6 +140,9 @@ class Encoder:
     def _insert(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
         """Adds entries to the table while there is room; the first of either of its two slots that is free."""
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        if len(lens) and lens.max() > LONGEST:
+            keep = np.flatnonzero(lens <= LONGEST)
+            hashes, ids, lens = hashes[keep], [ids[k] for k in keep], lens[keep]
         ends = np.cumsum(lens)
         fit = int(np.searchsorted(ends, len(self.pool) - self.used, side="right"))
         if not fit:
@@ -165,7 +170,7 @@ class Encoder:
             hit = self.keys[other] == hashes[miss]
             slot[miss[hit]] = other[hit]
             miss = miss[~hit]
-        return self.at[slot], self.num[slot], miss
+        return self.at[slot], self.num[slot].astype(np.int64), miss
 
     def _rows(self, buf: np.ndarray, off: np.ndarray, want_ids: bool) -> tuple[np.ndarray, np.ndarray | None]:
         """Number of ids of each row of a chunk, and all the ids in order."""
@@ -231,11 +236,6 @@ class Encoder:
             yield i, *self._rows(buf[off[i] : off[j]], off[i : j + 1] - off[i], True)
 
 
-_MADE: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The process's encoder for a tokenizer file."""
-    if path not in _MADE:
-        _MADE[path] = Encoder(path)
-    return _MADE[path]
+    return tv.resident(("encoder", path), lambda: Encoder(path))

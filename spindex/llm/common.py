@@ -55,6 +55,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
                     yield out
                 elif out is not None:
                     yield from out
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

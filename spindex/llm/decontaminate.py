@@ -16,6 +16,7 @@ further block costs one more map over the documents.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from spindex.llm import textvec
 from spindex.llm.common import arrow_map, saved, text_bytes
 
-FOUND = "doc_id long, n_words long, starts array<int>, lengths array<int>, items array<string>"
+FOUND = "doc_id long, n_words long, n_hit long, starts array<int>, lengths array<int>, items array<string>"
 U64 = np.uint64
 
 
@@ -79,6 +80,14 @@ class Windows:
         return row[same], begin[same], window[same]
 
 
+def covered(starts: np.ndarray, lengths: np.ndarray) -> int:
+    """Words inside any of the spans."""
+    by = np.argsort(starts, kind="stable")
+    s = starts[by].astype(np.int64)
+    e = np.maximum.accumulate(s + lengths[by])
+    return int(np.maximum(0, e - np.maximum(s, np.concatenate([[0], e[:-1]]))).sum())
+
+
 _COUNTS = "word long, n long"
 
 
@@ -129,9 +138,9 @@ def _frequencies(texts: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame, items: DataFrame, width: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = 2_000_000) -> DataFrame:
-    """Per row (and, with several blocks, per block): doc_id, n_words, and where which windows lie.
+    """Per row (and, with several blocks, per block): doc_id, n_words, n_hit, and where which windows lie.
 
-    ``starts`` and ``lengths`` (in words) are the occurrences of windows, ``items``
+    ``n_hit`` counts the words in any of them, ``starts`` and ``lengths`` (in words) are the occurrences of windows, ``items``
     the ids, as strings, of the items they belong to.
     """
     texts = text_bytes(docs, id_col, text_col)
@@ -148,49 +157,39 @@ def occurrences(docs: DataFrame, items: DataFrame, width: int = 8, id_col: str =
                 row, begin, window = known.find(words, first)
                 by = np.argsort(row, kind="stable")
                 cuts = np.searchsorted(row[by], np.arange(j - i + 1)).tolist()
-                starts, lengths, names = [], [], []
+                hit, starts, lengths, names = np.zeros(j - i, np.int64), [], [], []
                 begin, window = (begin - first[row])[by], window[by]
                 for r in range(j - i):
                     a, b = cuts[r], cuts[r + 1]
                     if a == b:
                         starts.append([]), lengths.append([]), names.append([])
                         continue
+                    hit[r] = covered(begin[a:b], known.size[window[a:b]])
                     starts.append(begin[a:b].tolist())
                     lengths.append(known.size[window[a:b]].tolist())
                     names.append(sorted({known.ids[x] for w in set(window[a:b].tolist()) for x in known.items[w]}))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(first)), pa.array(starts, pa.list_(pa.int32())), pa.array(lengths, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))], ["doc_id", "n_words", "starts", "lengths", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(first)), pa.array(hit), pa.array(starts, pa.list_(pa.int32())), pa.array(lengths, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "starts", "lengths", "items"])
 
         parts.append(arrow_map(texts, probe, FOUND))
     if len(parts) == 1:
         return parts[0]
-    out = parts[0].where("false")
-    for p in parts:
-        out = out.unionByName(p)
-    rows = saved(out, "occurrences")
-    return rows.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "lengths", "items")])
-
-
-def contamination(found: DataFrame, least_items: int = 2) -> DataFrame:
-    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    schema = "doc_id long, n_words long, n_hit long, items array<string>"
+    rows = saved(reduce(DataFrame.unionByName, parts), "occurrences")
+    rows = rows.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "lengths", "items")])
 
     def cover(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n = batch.num_rows
-        hit = np.zeros(n, np.int64)
         bounds = batch.column(2).offsets.to_numpy()
         starts, lengths = (batch.column(k).values.to_numpy(zero_copy_only=False) for k in (2, 3))
-        for r in np.flatnonzero(np.diff(bounds)):
-            a, b = bounds[r], bounds[r + 1]
-            by = np.argsort(starts[a:b], kind="stable")
-            s = starts[a:b][by].astype(np.int64)
-            e = np.maximum.accumulate(s + lengths[a:b][by])
-            hit[r] = np.maximum(0, e - np.maximum(s, np.concatenate([[0], e[:-1]]))).sum()
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit), batch.column(4)], ["doc_id", "n_words", "n_hit", "items"])
+        hit = [covered(starts[a:b], lengths[a:b]) if a < b else 0 for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit, pa.int64()), *batch.columns[2:]], ["doc_id", "n_words", "n_hit", "starts", "lengths", "items"])
+
+    return arrow_map(rows, cover, FOUND)
+
 
+def contamination(found: DataFrame, least_items: int = 2) -> DataFrame:
+    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     items = F.array_sort(F.array_distinct("items"))
     return (
-        arrow_map(found, cover, schema)
-        .withColumn("items", items)
+        found.withColumn("items", items)
         .select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") >= least_items).alias("contaminated"))
     )
 

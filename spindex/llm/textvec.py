@@ -9,13 +9,13 @@ from prefix sums, and then mixed; equal words give equal hashes in any document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
@@ -32,6 +32,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW[0], _POW[1]
 
 
+_RESIDENT: dict[object, object] = {}
+
+
+def resident(key: object, make: Callable[[], object]) -> object:
+    """A large object that this process keeps for further batches. One at a time: a worker serves jobs of all kinds."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every input bit over all 64."""
     with np.errstate(over="ignore"):
@@ -129,9 +140,15 @@ def words(buf: np.ndarray, off: np.ndarray, table: np.ndarray, lower: bool = Tru
 
 
 def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of the values of each row, rows given by n + 1 bounds; an empty row has 0."""
-    total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
-    return total[first[1:]] - total[first[:-1]]
+    """Sums of the values of each row, rows given by n + 1 bounds; an empty row has 0.
+
+    A row's sum depends on its own values alone, to the last bit, however rows are batched.
+    """
+    out = np.zeros(len(first) - 1, values.dtype)
+    some = np.flatnonzero(first[1:] > first[:-1])
+    if len(some):
+        out[some] = np.add.reduceat(values, first[some])
+    return out
 
 
 def text_hash(*texts: bytes) -> np.ndarray:
