@@ -38,8 +38,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Has Arrow batches hold fewer rows than Spark's default, which suits numbers, not long texts; a session's own choice stays."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(rows))
+
+
 def text_bytes(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """The id, the UTF-8 bytes of the text (null: empty) and further columns."""
+    short_batches(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text")
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), text, *[F.col(f"`{c}`") for c in more])
 
@@ -57,6 +67,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
                     yield from out
         pa.default_memory_pool().release_unused()
 
+    short_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
