@@ -58,6 +58,10 @@ class Windows:
         self.tokens, start = np.unique(self.token, return_index=True)
         self.bounds = np.append(start, len(by))
 
+    def __getstate__(self) -> dict:
+        """Only what probing takes goes to the executors."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("words", "vocabulary")}
+
     def find(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, place in the chunk's words, and window of every occurrence."""
         if not len(self.tokens) or not len(words):
@@ -137,7 +141,7 @@ def _frequencies(texts: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     return counts
 
 
-def occurrences(docs: DataFrame, items: DataFrame, width: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = 2_000_000) -> DataFrame:
+def occurrences(docs: DataFrame, items: DataFrame, width: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = 500_000) -> DataFrame:
     """Per row (and, with several blocks, per block): doc_id, n_words, n_hit, and where which windows lie.
 
     ``n_hit`` counts the words in any of them, ``starts`` and ``lengths`` (in words) are the occurrences of windows, ``items``
@@ -194,7 +198,7 @@ def contamination(found: DataFrame, least_items: int = 2) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = 8, least_items: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = 2_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = 8, least_items: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = 500_000) -> DataFrame:
     """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_items >= least_items).
 
     A word is hit if it lies in any occurrence of a window; n_items counts items with
