@@ -46,7 +46,7 @@ _KV = {
     "kv_delete": f"{_ORDERS} WHERE o_custkey % 3 <> 0",
     "kv_composite_range": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7 ORDER BY o_orderkey",
     "kv_key_order": "SELECT *, row_number() OVER (ORDER BY string IS NOT NULL, number, string) AS place FROM (SELECT CAST(n_nationkey AS DOUBLE) AS number, NULL::VARCHAR AS string FROM nation UNION ALL SELECT NULL, r_name FROM region)",
-    "kv_key_bytes": "SELECT c_custkey, true AS same_order FROM customer",
+    "kv_key_bytes": "SELECT c_custkey, '01' || hex(encode(c_mktsegment)) || '0002' || lpad(CAST(c_custkey AS VARCHAR), 24, '0') AS key FROM customer",
 }
 
 # points

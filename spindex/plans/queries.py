@@ -123,11 +123,15 @@ def kv_key_order(s, d):
 
 @query
 def kv_key_bytes(s, d):
-    """The byte form of a composite key (number, string)."""
-    rows = b.read(s, d, "customer").select("c_custkey", F.concat(keys.number_part_column(F.col("c_acctbal")), keys.string_part_column(F.col("c_mktsegment"))).alias("key"), "c_acctbal", "c_mktsegment")
-    by = Window.orderBy("key")
-    byte = Window.orderBy("c_acctbal", "c_mktsegment")
-    return rows.select("c_custkey", (F.rank().over(by) == F.rank().over(byte)).alias("same_order"))
+    """The byte form of a composite key (string, id), in hexadecimal digits."""
+    key = F.concat(keys.string_part_column(F.col("c_mktsegment")), keys.id_part_column(F.lpad(F.col("c_custkey").cast("string"), 24, "0")))
+    return b.read(s, d, "customer").select("c_custkey", F.hex(key).alias("key"))
+
+
+@query
+def kv_key_numbers(s, d):
+    """The byte form of a number, in hexadecimal digits."""
+    return b.read(s, d, "customer").select("c_custkey", F.hex(keys.number_part_column(F.col("c_acctbal"))).alias("key"))
 
 
 @query
