@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindex.llm import textvec
-from spindex.llm.common import arrow_map, text_bytes
+from spindex.llm.common import arrow_map, least_hashes, text_bytes
 
 U64 = np.uint64
 BITS = 17
@@ -170,13 +170,10 @@ def held_out(doc_id: int | None) -> bool:
 def learn(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Tagger:
     """A tagger fitted on ``sample`` documents of each language that aren't held out; only text and language are seen."""
     open_ = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull() & (F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 5 != 0))
-    texts, labels = [], []
-    langs = sorted(r[0] for r in open_.select(F.col(f"`{lang_col}`").cast("string")).distinct().collect())
-    for k, lang in enumerate(langs):
-        few = open_.where(F.col(f"`{lang_col}`") == lang).orderBy(F.xxhash64(f"`{id_col}`"), f"`{id_col}`").limit(sample)
-        for r in few.select(F.col(f"`{text_col}`").cast("binary")).collect():
-            texts.append(bytes(r[0]) + b" ")
-            labels.append(k)
+    open_ = open_.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    rows = sorted(least_hashes(open_, "id", sample, "lang").collect())
+    langs = sorted({r.lang for r in rows})
+    texts, labels = [bytes(r.text) + b" " for r in rows], [langs.index(r.lang) for r in rows]
     tagger = Tagger(langs)
     if len(langs) > 1:
         tagger.train(texts, labels)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindex.llm.common import arrow_map, saved
+from spindex.llm.common import arrow_map, least_hashes, saved
 
 #: Rows of a posting list, or queries of it, that one task compares.
 SHARD_ROWS = 20_000
@@ -146,7 +146,7 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, list_rows: int = 500
     spark = vectors.sparkSession
     rows = saved(usable(vectors, id_col, vector_col), "vectors")
     n = rows.count()
-    sample = [r[0] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").collect()]
+    sample = [r[0] for r in least_hashes(rows, "vec_id", sample_rows).select("v").collect()]
     lists = max(1, min(most_lists, math.ceil(n / list_rows), len(sample) // 4))
     index = Centroids(balanced_kmeans(np.array(sample), lists)) if lists > 1 else None
     shared = spark.sparkContext.broadcast(index)

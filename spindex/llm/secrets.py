@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from spindex.llm import textvec
 from spindex.llm.automaton import Automaton, Background
-from spindex.llm.common import arrow_map, saved, text_bytes
+from spindex.llm.common import arrow_map, least_hashes, saved, text_bytes
 
 KINDS = ("assign", "access", "hex", "format")
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -120,10 +120,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.binary())], ["kind", "value"])
 
     values = saved(arrow_map(text_bytes(docs, id_col, text_col), run, "kind int, value binary").distinct(), "values")
-    held: dict[int, list[bytes]] = {}
-    for kind in range(4):
-        some = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample)
-        held[kind] = sorted(bytes(r[0]) for r in some.select("value").collect())
+    held: dict[int, list[bytes]] = {k: [] for k in range(4)}
+    for kind, value in sorted(least_hashes(values, "value", sample, "kind").collect()):
+        held[kind].append(bytes(value))
     return Formats({k: held[k] for k in range(3)}, held[3])
 
 
