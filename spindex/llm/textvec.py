@@ -131,6 +131,15 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         return mix(raw + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def block_hashes(values: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each block of ``size`` consecutive 64-bit values."""
+    pw, inv = _powers(len(values) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(values) + 1, U64)
+        np.cumsum(mix(values) * pw[: len(values)], out=sums[1:])
+        return mix((sums[starts + size] - sums[starts]) * inv[starts])
+
+
 def words(buf: np.ndarray, off: np.ndarray, table: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words and each row's first word's index."""
     if lower:
