@@ -27,9 +27,9 @@ def o(s):
     return bool(re.fullmatch("[^aeiou][^aeiouy]*[aeiouy][^aeiouwxy]", s))
 
 
-SECOND = "ational>ate tional>tion enci>ence anci>ance izer>ize bli>ble alli>al entli>ent eli>e ousli>ous ization>ize ation>ate ator>ate alism>al iveness>ive fulness>ful ousness>ous aliti>al iviti>ive biliti>ble logi>log"
-THIRD = "icate>ic ative> alize>al iciti>ic ical>ic ful> ness>"
-FOURTH = "al ance ence er ic able ible ant ement ment ent ou ism ate iti ous ive ize".split()
+SECOND = "eli>e anci>ance enci>ence bli>ble biliti>ble ational>ate ation>ate ator>ate iviti>ive iveness>ive ization>ize izer>ize logi>log alli>al aliti>al alism>al fulness>ful tional>tion ousli>ous ousness>ous entli>ent"
+THIRD = "ative> ful> ness> icate>ic iciti>ic ical>ic alize>al"
+FOURTH = "ic ance ence able ible ate ive ize iti al ism er ous ant ent ment ement ou".split()
 
 
 def porter(w):
