@@ -4,8 +4,10 @@ Centroids come from balanced spherical k-means on a bounded sample; every vector
 then posted, to its nearest centroid and, near a boundary, to others that are almost
 as near. A query finds its lists by a best-first walk over a neighbour graph of the
 centroids, keeps those within a ratio of the nearest one's distance, and is compared
-with all vectors of those lists. Lists and queries of a list are split into shards of
-bounded size, so no task holds a hot list.
+with all vectors of those lists. How many lists and which ratio is measured anew in
+each run: some queries are compared with all vectors, and both grow until enough of
+what these have as nearest lies in the lists. Lists and queries of a list are split
+into shards of bounded size, so no task holds a hot list.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from spindex.llm.common import arrow_map, least_hashes, saved
 
 #: Rows of a posting list, or queries of it, that one task compares.
 SHARD_ROWS = 20_000
+#: Queries that are compared with all rows to set the lists to search.
+MEASURED = 256
 
 
 class Centroids:
@@ -64,6 +68,27 @@ class Centroids:
                 heapq.heappush(heap, (d, x))
         return sorted((-d, x) for d, x in best)[:wanted]
 
+    def ranked(self, query: np.ndarray) -> list[tuple[float, int]]:
+        """All centroids as (distance, centroid), nearest first."""
+        far = np.sqrt(np.maximum(0, 2 - 2 * (self.centres @ query)))
+        by = np.argsort(far, kind="stable")
+        return list(zip(far[by].tolist(), by.tolist(), strict=True))
+
+    def lists(self, query: np.ndarray, probes: int, ratio: float, homes: np.ndarray, k: int) -> list[int]:
+        """The lists to search: ``probes`` nearest ones within ``ratio`` of the nearest, and further ones until they are home to more than ``k`` ids."""
+        near = self.walk(query, probes) if probes * 8 <= len(self.centres) else self.ranked(query)[:probes]
+        found = [c for d, c in near if d <= near[0][0] * ratio + 1e-6]
+        held = int(homes[found].sum())
+        if held <= k:
+            known = set(found)
+            for _, c in self.ranked(query):
+                if held > k:
+                    break
+                if c not in known:
+                    found.append(c)
+                    held += int(homes[c])
+        return found
+
 
 def balanced_kmeans(sample: np.ndarray, lists: int, rounds: int = 12, weight: float = 0.1, seed: int = 7) -> np.ndarray:
     """Unit centroids of clusters kept near one size: a cluster costs more the fuller it was in the round before."""
@@ -131,7 +156,55 @@ def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.
     return out
 
 
-def search(vectors: DataFrame, k: int = 5, every: int = 50, list_rows: int = 500, most_lists: int = 4096, sample_rows: int = 20_000, probes: int = 48, query_ratio: float = 1.35, copies: int = 4, post_ratio: float = 1.08, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _nearest(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """query_id, vec_id of the k best of all rows for each query, by brute force; each partition sends k a query."""
+    shared = rows.sparkSession.sparkContext.broadcast((ids, queries))
+
+    def run(batches):
+        asks, q = shared.value
+        best_ids, best = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+        for batch in batches:
+            if batch.num_rows:
+                own, v = np.asarray(batch.column(0)), _matrix(batch.column(1))
+                sims = q @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
+                sims[asks[:, None] == own] = -3.0
+                sims = np.concatenate([best, sims], axis=1)
+                named = np.concatenate([best_ids, np.broadcast_to(own, (len(q), len(own)))], axis=1)
+                top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                best, best_ids = np.take_along_axis(sims, top, 1), np.take_along_axis(named, top, 1)
+        row, at = np.nonzero(best > -2.5)
+        yield pa.RecordBatch.from_arrays([pa.array(asks[row]), pa.array(best_ids[row, at]), pa.array(best[row, at])], ["query_id", "vec_id", "score"])
+
+    each = rows.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return [(r[0], r[1]) for r in each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "vec_id").collect()]
+
+
+def breadth(index: Centroids, rows: DataFrame, posted: DataFrame, homes: np.ndarray, k: int, every: int, probes: int, ratio: float, recall: float) -> tuple[int, float]:
+    """Probes and ratio, those given or wider, with which a fixed sample of queries finds ``recall`` of its true nearest rows."""
+    sample = least_hashes(rows.where(F.col("vec_id") % every == 0), "vec_id", MEASURED).select("vec_id", "v").collect()
+    if not sample:
+        return probes, ratio
+    ids, unit = np.array([r[0] for r in sample], np.int64), np.array([r[1] for r in sample])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    truth = _nearest(rows, ids, unit, k)
+    wanted = rows.sparkSession.createDataFrame(sorted({(v,) for _, v in truth}) or [(None,)], "vec_id long")
+    where: dict[int, set[int]] = {}
+    for r in posted.select("vec_id", "list").join(F.broadcast(wanted), "vec_id").collect():
+        where.setdefault(r[0], set()).add(r[1])
+    small = unit.astype(np.float32)
+    while True:
+        lists: dict[int, set[int]] = {}
+        for i, q in zip(ids.tolist(), small, strict=True):
+            lists.setdefault(i, set()).update(index.lists(q, probes, ratio, homes, k))
+        hit = sum(not where[v].isdisjoint(lists[q]) for q, v in truth)
+        if hit >= recall * len(truth) or probes >= len(homes) and ratio == math.inf:
+            return probes, ratio
+        probes = min(len(homes), math.ceil(probes * 1.25))
+        ratio = math.inf if probes == len(homes) else 1 + (ratio - 1) * 1.25
+
+
+def search(vectors: DataFrame, k: int = 5, every: int = 50, list_rows: int = 500, most_lists: int = 4096, sample_rows: int = 20_000, probes: int = 48, query_ratio: float = 1.35, copies: int = 4, post_ratio: float = 1.08, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row whose id is divisible by ``every``.
 
     Nearness is the cosine; ties go to the smaller id; a query's own id is never among
@@ -140,8 +213,11 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, list_rows: int = 500
     once. An empty table gives an empty result. Centroids are fitted on ``sample_rows``
     rows at most (those of the smallest id hashes); there is one list for ``list_rows``
     rows, ``most_lists`` at most, and with one list the search is exact. All rows are
-    posted, to up to ``copies`` lists within ``post_ratio`` of the nearest; a query
-    looks at up to ``probes`` lists within ``query_ratio``.
+    posted, to up to ``copies`` lists within ``post_ratio`` of the nearest. A query
+    looks at up to ``probes`` lists within ``query_ratio``, or at as many more, within
+    as wide a ratio, as it takes for ``MEASURED`` queries of the smallest id hashes to
+    find ``recall`` of what brute force gives them; and on to further lists, all if
+    need be, until k other ids are among their rows.
     """
     spark = vectors.sparkSession
     rows = saved(usable(vectors, id_col, vector_col), "vectors")
@@ -178,14 +254,17 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, list_rows: int = 500
         own /= np.linalg.norm(own, axis=1, keepdims=True)
         which, at = [], []
         for r, q in enumerate(own):
-            got = found.walk(q, probes)
-            for d, c in got:
-                if d <= got[0][0] * query_ratio + 1e-6:
-                    which.append(r)
-                    at.append(c)
+            got = found.lists(q, probes, query_ratio, homes, k)
+            which += [r] * len(got)
+            at += got
         return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *batch.take(pa.array(which)).columns], ["list", "vec_id", "v"])
 
     posted = saved(arrow_map(rows, post, "list int, vec_id long, v array<double>"), "postings")
+    homes = np.zeros(lists, np.int64)
+    if index is not None:
+        for r in posted.groupBy("vec_id").agg(F.min("list").alias("list")).groupBy("list").count().collect():
+            homes[r[0]] = r[1]
+        probes, query_ratio = breadth(index, rows, posted, homes, k, every, min(probes, lists), query_ratio, recall)
     asked = saved(arrow_map(rows.where(F.col("vec_id") % every == 0), probe, "list int, vec_id long, v array<double>"), "probes")
 
     def shards(df: DataFrame, name: str) -> DataFrame:

@@ -115,6 +115,30 @@ def test_search_of_few(spark):
     assert neighbours.search(vectors(spark, [])).count() == 0
 
 
+def test_recall_holds_with_many_lists(spark):
+    v = np.random.default_rng(12).normal(size=(8000, 64)).astype(np.float32)
+    got = defaultdict(set)
+    for r in neighbours.search(vectors(spark, [(i, x.tolist(), 0) for i, x in enumerate(v)]), list_rows=10).collect():  # 800 lists
+        got[r.query_id].add(r.vec_id)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sims = unit[::50] @ unit.T
+    sims[np.arange(160), np.arange(160) * 50] = -2
+    want = np.argsort(-sims, axis=1)[:, :5]
+    assert sum(len(got[q * 50] & set(w.tolist())) for q, w in enumerate(want)) >= 0.9 * want.size
+
+
+def test_queries_go_on_until_enough_rows(spark):
+    rng = np.random.default_rng(13)
+    index = neighbours.Centroids(np.eye(8))
+    homes = np.array([1, 0, 1, 0, 2, 1, 1, 9])
+    got = index.lists(np.eye(8, dtype=np.float32)[0], 1, 1.0, homes, 5)
+    assert got[0] == 0 and homes[got].sum() > 5 and len(set(got)) == len(got)
+    v = rng.normal(size=(60, 8))
+    found = neighbours.search(vectors(spark, [(i, x.tolist(), 0) for i, x in enumerate(v)]), every=3, list_rows=4, probes=1, recall=0.0).collect()
+    assert Counter(r.query_id for r in found) == {i: 5 for i in range(0, 60, 3)}
+
+
+
 def test_balance_evens_out_sizes():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(4000, 8))
