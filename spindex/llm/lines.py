@@ -16,30 +16,35 @@ def _mark(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("x"), F.hash(line).alias("y"))
 
 
-def boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.01, least: int = 3) -> DataFrame:
+def boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.01, least: int = 3, distinct: bool = False) -> DataFrame:
     """host, lines: for each host the marks of its lines that lie on ``least`` pages or more and on more than ``ratio`` of its pages.
 
-    A page counts once for a line however often it repeats it. Empty lines never count.
+    A page counts once for a line however often it repeats it; with ``distinct`` so do
+    all pages of a host with the same text, for its lines and among its pages, so that
+    copies don't make each other boilerplate. Empty lines never count.
     A host has at most (lines a page) / ratio of them. Pages of a host are pre-aggregated
     before the shuffle and keyed by host and line, so a hot host is many keys.
     """
     lines = F.array_distinct(F.transform(F.filter(F.split(F.col(f"`{text_col}`"), "\n", -1), lambda s: s != ""), _mark))
-    rows = pages.where(F.col(f"`{host_col}`").isNotNull()).select(F.col(f"`{host_col}`").alias("host"), F.explode(lines).alias("line"))
-    seen = rows.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    total = pages.where(F.col(f"`{host_col}`").isNotNull()).groupBy(F.col(f"`{host_col}`").alias("host")).agg(F.count(F.lit(1)).alias("pages"))
+    hosted, host = pages.where(F.col(f"`{host_col}`").isNotNull()), F.col(f"`{host_col}`").alias("host")
+    number = F.count_distinct("page") if distinct else F.count(F.lit(1))
+    page = _mark(F.col(f"`{text_col}`")) if distinct else F.lit(True)
+    rows = hosted.select(host, page.alias("page"), F.explode(lines).alias("line"))
+    seen = rows.groupBy("host", "line").agg(number.alias("n")).where(F.col("n") >= least)
+    total = hosted.select(host, page.alias("page")).groupBy("host").agg(number.alias("pages"))
     return seen.join(total, "host").where(F.col("n") > F.col("pages") * F.lit(ratio)).groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.01, least: int = 3) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.01, least: int = 3, distinct: bool = False) -> DataFrame:
     """The pages, all columns, with the boilerplate lines of their host taken out of the text; adds n_lines and n_dropped.
 
     Lines are what newlines separate; every occurrence of a boilerplate line goes, all
     others stay in order and unchanged. No page is dropped: one of boilerplate alone
     keeps an empty text. A null text stays null and has 0 lines; an empty text has one,
     empty line; a page of null host is left as it is. Repeated rows count as pages of
-    their own. An empty table gives an empty result.
+    their own, or once with ``distinct`` (see ``boilerplate``). An empty table gives an empty result.
     """
-    found = saved(boilerplate(pages, host_col, text_col, ratio, least), "boilerplate")
+    found = saved(boilerplate(pages, host_col, text_col, ratio, least, distinct), "boilerplate")
     found = found.select(F.col("host").alias("_host"), F.col("lines").alias("_lines"))
     total = found.agg(F.coalesce(F.sum(F.size("_lines")), F.lit(0)) + F.count(F.lit(1))).first()[0]
     joined = pages.join(F.broadcast(found) if total <= MOST_LINES else found, F.col(f"`{host_col}`") == F.col("_host"), "left")

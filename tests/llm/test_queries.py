@@ -3,6 +3,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spindex.llm import queries
@@ -53,3 +54,18 @@ def test_pipeline_stages(spark):
             break
         assert out.columns == names
         docs, ids = out, kept
+
+
+def test_copies_leave_one_whole_document(spark):
+    body = "\n".join(f"line {k} of an ordinary text that was copied {k * k}" for k in range(8))
+    rows = []
+    for i in range(80):
+        own = "\n".join(f"page {i} says {k} and {i * k + 7} more things" for k in range(4))
+        rows.append((i, body if i % 8 == 3 else "the menu of the site\n" + own if i % 2 else own, "en", "a"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs = docs.withColumn("n_chars", F.length("text").cast("long"))
+    cut = corpus_pipeline.saved(corpus_pipeline.line_dedup(spark, docs, SF), "cut")
+    got = {r.doc_id: r.text for r in cut.collect()}
+    assert all(got[i] == t.removeprefix("the menu of the site\n") for i, t, _, _ in rows)
+    left = corpus_pipeline.near_dedup(spark, cut, SF).collect()
+    assert [r.doc_id for r in left if r.text == body] == [3] and all(r.text for r in left)
