@@ -142,12 +142,13 @@ def _frequencies(texts: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame, items: DataFrame, width: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = 500_000) -> DataFrame:
-    """Per row (and, with several blocks, per block): doc_id, n_words, n_hit, and where which windows lie.
+    """Per row: doc_id, n_words, n_hit, and where which windows lie.
 
     ``n_hit`` counts the words in any of them, ``starts`` and ``lengths`` (in words) are the occurrences of windows, ``items``
-    the ids, as strings, of the items they belong to.
+    the ids, as strings, of the items they belong to. Rows of equal id and text have equal results, so several blocks
+    are merged on these two, and the rows counted to be given back one for one.
     """
-    texts = text_bytes(docs, id_col, text_col)
+    texts = text_bytes(docs, id_col, text_col).withColumn("digest", F.unhex(F.md5("text")))
     parts = []
     for block in _blocks(items.select(F.col(f"`{item_col}`").cast("string"), F.col(f"`{item_text_col}`").cast("string").cast("binary")), width, block_words):
         block.order(_frequencies(texts, block.vocabulary))
@@ -172,13 +173,16 @@ def occurrences(docs: DataFrame, items: DataFrame, width: int = 8, id_col: str =
                     starts.append(begin[a:b].tolist())
                     lengths.append(known.size[window[a:b]].tolist())
                     names.append(sorted({known.ids[x] for w in set(window[a:b].tolist()) for x in known.items[w]}))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(first)), pa.array(hit), pa.array(starts, pa.list_(pa.int32())), pa.array(lengths, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "starts", "lengths", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(first)), pa.array(hit), pa.array(starts, pa.list_(pa.int32())), pa.array(lengths, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string())), batch.column(2).slice(i, j - i)], ["doc_id", "n_words", "n_hit", "starts", "lengths", "items", "digest"])
 
-        parts.append(arrow_map(texts, probe, FOUND))
+        parts.append(arrow_map(texts, probe, f"{FOUND}, digest binary").withColumn("block", F.lit(len(parts))))
     if len(parts) == 1:
-        return parts[0]
+        return parts[0].drop("digest", "block")
     rows = saved(reduce(DataFrame.unionByName, parts), "occurrences")
-    rows = rows.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "lengths", "items")])
+    # equal rows become one before anything is listed, however many they are
+    rows = rows.groupBy("doc_id", "digest", "block").agg(F.first("n_words").alias("n_words"), F.first(F.struct("starts", "lengths", "items")).alias("x"), F.count(F.lit(1)).alias("rows"))
+    rows = rows.groupBy("doc_id", "digest").agg(F.first("n_words").alias("n_words"), F.collect_list("x").alias("x"), F.first("rows").alias("rows"))
+    rows = rows.select("doc_id", "n_words", *[F.flatten(F.col("x")[c]).alias(c) for c in ("starts", "lengths", "items")], F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("row")).drop("row")
 
     def cover(batch: pa.RecordBatch) -> pa.RecordBatch:
         bounds = batch.column(2).offsets.to_numpy()
@@ -205,8 +209,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 8, least_items
     a window that occurs; items_sha256 is of their ids, sorted as strings, joined by
     commas. Null and empty texts have no words and hit nothing; null or empty items
     have no windows; repeated item ids count once; a null item id counts as the empty
-    string; an empty benchmark leaves all rows unhit. Rows are returned one for one
-    while the benchmark fits one block (``block_words``); beyond that rows of equal
-    doc_id are one. Other columns are ignored.
+    string; an empty benchmark leaves all rows unhit. Rows are returned one for one,
+    those of null or repeated ids too, however many blocks of ``block_words`` the
+    benchmark takes. Other columns are ignored.
     """
     return contamination(occurrences(docs, items, width, id_col, text_col, item_col, item_text_col, block_words), least_items)

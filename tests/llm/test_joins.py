@@ -101,3 +101,13 @@ def test_decontamination_equals_brute_force(spark, block):
         assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].items_sha256, got[i].contaminated) == (len(words), len(hit), len(found), digest, len(found) >= 2), i
     assert dec.decontaminate(frame(spark, texts).limit(0), bench).count() == 0
     assert not dec.decontaminate(frame(spark, texts), bench.limit(0)).where("n_hit > 0").count()
+
+
+def test_decontamination_is_the_same_at_any_block_size(spark):
+    rng = random.Random(14)
+    items = [prose(rng, 20, 60) for _ in range(12)]
+    rows = [(None, items[0]), (None, items[0]), (None, items[1] + " x"), (None, None), (5, items[2]), (5, items[3] + " y z"), (5, items[2]), (6, ""), (7, " ".join(items))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    whole, parts = (sorted(map(str, dec.decontaminate(docs, bench, block_words=n).collect())) for n in (500_000, 40))
+    assert len(whole) == len(rows) and parts == whole
