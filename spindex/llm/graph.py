@@ -36,7 +36,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     now = saved(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").distinct(), "edges")
     seen = None
-    while True:
+    while not now.isEmpty():
         now = saved(_small(_large(now)), "star")
         state = _print(now)
         if state == seen:

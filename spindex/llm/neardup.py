@@ -39,6 +39,8 @@ _LOW = 0x5555555555555555
 SKETCH = "doc_id long, n_shingles long, h0 long, h1 long, s0 long, s1 long, s2 long, s3 long, bands array<long>"
 #: Ids of candidates that may be broadcast (eight bytes each); beyond that texts are joined by a shuffle.
 MOST_IDS = 2_000_000
+#: Pairs of one hub that one task confirms, about; a hub's set is sent once for as many.
+HUB_PAIRS = 500
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int) -> list[np.ndarray]:
@@ -147,10 +149,21 @@ def shingles_of(docs: DataFrame, ids: DataFrame, encode: Callable[[np.ndarray, n
     return arrow_map(texts, run, "doc_id long, shingles binary")
 
 
+def with_both(pairs: DataFrame, sets: DataFrame, per: int) -> DataFrame:
+    """The pairs (a, b) with the sets of both as sa and sb.
+
+    A node that is ``a`` in more than ``per`` pairs is split into shards of about so many,
+    and its set sent once to each, so a hub of many pairs is many keys.
+    """
+    shards = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(per)).cast("int").alias("_n")).where("_n > 1")
+    split = pairs.join(shards, "a", "left").withColumn("_s", F.pmod(F.xxhash64("b"), F.coalesce("_n", F.lit(1))).cast("int")).drop("_n")
+    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")).join(shards, "a", "left").withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
+    return split.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(left, ["a", "_s"]).drop("_s")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "b", "sa", "sb")
+    both = with_both(pairs, sets, HUB_PAIRS).select("a", "b", "sa", "sb")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = np.zeros(batch.num_rows, bool)
