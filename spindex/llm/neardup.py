@@ -10,9 +10,13 @@
    lies more than six standard deviations below it, go; the others are confirmed on
    full sets, and confirmed links are joined into components.
 5. Buckets whose members are now in different components may hide links that no
-   pair with the smallest member shows: members of different components of a bucket
-   are paired, filtered and confirmed likewise. So each pair that shares a bucket is
-   either in one component or has been compared.
+   pair with the smallest member shows. In those of up to ``MOST_PAIRED`` members all
+   of different components are paired, filtered and confirmed likewise. Larger ones,
+   such as those of documents made from one template, go through an exact join of
+   prefixes: shingles are ordered by rarity, and a pair can reach the threshold only if
+   the first few of the larger set hold one of the still fewer first of the smaller.
+   What a template shares is common there, so it isn't among the first. So each pair
+   that shares a bucket is either in one component or has been compared or ruled out.
 
 With 32 bands of 4 minima a pair of similarity 0.8 shares no band once in 2e7.
 """
@@ -41,6 +45,12 @@ SKETCH = "doc_id long, n_shingles long, h0 long, h1 long, s0 long, s1 long, s2 l
 MOST_IDS = 2_000_000
 #: Pairs of one hub that one task confirms, about; a hub's set is sent once for as many.
 HUB_PAIRS = 500
+#: Members of a bucket up to which those of different components are compared one by one.
+MOST_PAIRED = 64
+#: Counters of shingles by which rarity is told; any order is right, rare ones first is fast.
+COUNTERS = 1 << 20
+#: Prefixes with one shingle that one task joins, about.
+TOKEN_ROWS = 1000
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int) -> list[np.ndarray]:
@@ -179,6 +189,62 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return arrow_map(both, run, "a long, b long")
 
 
+def _rarities(sets: DataFrame) -> np.ndarray:
+    """How many sets hold a shingle of each counter."""
+
+    def run(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for r in range(batch.num_rows):
+                total += np.bincount(_counter(np.frombuffer(batch.column(0)[r].as_buffer(), U64)), minlength=COUNTERS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["counter", "n"])
+
+    out = np.zeros(COUNTERS, np.int64)
+    seen = sets.select("shingles").mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    out[seen["counter"].to_numpy(np.int64)] = seen["n"].to_numpy(np.int64)
+    return out
+
+
+def _counter(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> U64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
+def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of sets (doc_id, c, shingles) of different ``c``, among them all that reach the threshold.
+
+    Of a set of n shingles, the larger of a pair, the overlap is at least percent % of n, so
+    one of the first n - that + 1 is shared; of the smaller it is at least twice the share of
+    percent in 100 + percent. Shared shingles' places bound the overlap further. Common
+    prefix shingles are split into shards.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(_rarities(sets))
+
+    def run(batch: pa.RecordBatch):
+        seen = shared.value
+        for i in range(0, batch.num_rows, 200):
+            row, size, token, place, few = [], [], [], [], []
+            for r in range(i, min(i + 200, batch.num_rows)):
+                own = np.frombuffer(batch.column(2)[r].as_buffer(), U64)
+                n = len(own)
+                probe, index = n + (-n * percent) // 100 + 1, n + (-2 * n * percent) // (100 + percent) + 1
+                first = own[np.lexsort((own, seen[_counter(own)]))[:probe]]
+                row.append(np.full(len(first), r)), size.append(np.full(len(first), n)), token.append(first.view(np.int64))
+                place.append(np.arange(len(first))), few.append(np.arange(len(first)) < index)
+            at = pa.array(np.concatenate(row))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.concatenate(x)) for x in (size, token, place, few))], ["rep", "c", "n", "token", "place", "few"])
+
+    rows = saved(arrow_map(sets.select("doc_id", "c", "shingles"), run, "rep long, c long, n long, token long, place long, few boolean"), "prefixes")
+    shards = saved(rows.where("few").groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(TOKEN_ROWS)).cast("int").alias("m")).where("m > 1"), "common")
+    m = F.coalesce("m", F.lit(1))
+    x = rows.join(shards, "token", "left").withColumn("s", F.explode(F.sequence(F.lit(0), m - 1))).alias("x")
+    y = rows.where("few").join(shards, "token", "left").withColumn("s", F.pmod(F.xxhash64("rep"), m).cast("int")).alias("y")
+    order = F.struct("y.n", "y.rep") < F.struct("x.n", "x.rep")
+    bound = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.s") == F.col("y.s")) & order & (F.col("x.c") != F.col("y.c")) & (F.col("y.n") * 100 >= F.col("x.n") * percent) & bound)
+    return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable), kept (doc_id = component_id).
 
@@ -216,11 +282,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     links = confirmed(saved(likely(first), "likely"))
     found = saved(components(links, "a", "b"), "components")
 
-    member = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n_shingles", *_SIGS, F.coalesce("component", "rep").alias("c"), F.explode("bands").alias("key"))
-    mixed = bands.join(found.withColumnRenamed("node", "rep"), "rep", "left").groupBy("key").agg(F.min(F.coalesce("component", "rep")).alias("lo"), F.max(F.coalesce("component", "rep")).alias("hi")).where("lo <> hi").select("key")
-    member = saved(member.join(mixed, "key", "left_semi"), "mixed")
-    x, y = member.alias("x"), member.alias("y")
+    placed = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
+    mixed = placed.select("c", F.explode("bands").alias("key")).groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("key", "m")
+    member = saved(placed.select("rep", "n_shingles", *_SIGS, "c", F.explode("bands").alias("key")).join(mixed, "key"), "mixed")
+    few = member.where(F.col("m") <= MOST_PAIRED)
+    x, y = few.alias("x"), few.alias("y")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & _plausible("x", "y", percent)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    many = saved(member.where(F.col("m") > MOST_PAIRED).select(F.col("rep").alias("doc_id"), "c").distinct(), "many")
+    if not many.isEmpty():
+        sets = saved(shingles_of(docs, many.select("doc_id"), encode, id_col, text_col).join(many, "doc_id"), "sets")
+        rest = rest.unionByName(likely(saved(prefix_pairs(sets, percent), "met"))).distinct()
     rest = saved(rest.join(first, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         links = links.unionByName(confirmed(rest))

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from spindex.llm import decontaminate as dec
@@ -38,6 +39,40 @@ def test_near_duplicates_equal_brute_force(spark, width):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(sets[i]), want[i], want[i] == i) for i in range(len(texts))}
 
 
+def test_templated_documents(spark, monkeypatch):
+    rng = random.Random(31)
+    template = prose(rng, 120, 10**6, "t").split(" ")
+    texts = []
+    for k in range(3000):
+        own = prose(rng, 60, 10**6, "o").split(" ")
+        texts.append(" ".join(template + own))
+        if k % 100 == 0:
+            near = list(own)
+            near[rng.randrange(60)] = "other"
+            texts.append(" ".join(template[:110] + near))
+    sets = [shingles(t, 5) for t in texts]
+    want = classes([(i, i + 1) for i in range(len(texts) - 1) if 100 * len(sets[i] & sets[i + 1]) >= 80 * len(sets[i] | sets[i + 1])], range(len(texts)))
+    assert sum(c != i for i, c in want.items()) == 30
+    made = []
+    whole = neardup.prefix_pairs
+    monkeypatch.setattr(neardup, "prefix_pairs", lambda sets, percent: made.append(neardup.saved(whole(sets, percent), "met")) or made[0])
+    got = neardup.near_duplicates(frame(spark, texts)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert made and made[0].count() < len(texts)
+
+
+def test_prefix_join_is_exact(spark):
+    rng = random.Random(32)
+    rows, sets = [], {}
+    for i in range(200):
+        base = rng.choice(list(sets.values())) if sets and rng.random() < 0.7 else set(rng.sample(range(300), rng.randrange(1, 60)))
+        sets[i] = {x for x in base if rng.random() < 0.93} | set(rng.sample(range(300), rng.randrange(0, 4))) or {1}
+        rows.append((i, i, np.sort(np.array([hash((x, 1)) & (2**64 - 1) for x in sets[i]], np.uint64)).tobytes()))
+    found = {(r.a, r.b) for r in neardup.prefix_pairs(spark.createDataFrame([(i, c, bytearray(b)) for i, c, b in rows], "doc_id long, c long, shingles binary"), 80).collect()}
+    want = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert want and want <= found and len(found) < 200 * 199 // 2
+
+
 def test_near_duplicates_odd_tables(spark):
     df = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (4, "a b c"), (4, "q r s t"), (9, "q r s t"), (7, None)], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1, r.kept) for r in neardup.near_duplicates(df, 2).collect())
