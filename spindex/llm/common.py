@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,13 +29,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+_OPEN: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the tables that ``saved`` writes inside it when it ends; what is still to be read must be saved outside."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for folder in _OPEN.pop():
+            path = hadoop(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """The rows written once as a Parquet table in the shared folder and read from there.
 
     Cuts the lineage without tying any block to an executor; later reads prune columns.
+    Within ``scratch`` the table goes with it, unless it is to be kept.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spindex-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/spindex-{uuid.uuid4().hex}"
+    path = f"{folder}/{name}"
+    if _OPEN and not keep:
+        _OPEN[-1].append(folder)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -43,7 +65,7 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 def short_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Has Arrow batches hold fewer rows than Spark's default, which suits numbers, not long texts; a session's own choice stays."""
-    if spark.conf.get(_BATCH) == "10000":
+    if not spark._jsparkSession.sessionState().conf().contains(_BATCH):
         spark.conf.set(_BATCH, str(rows))
 
 
@@ -54,6 +76,13 @@ def text_bytes(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataF
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), text, *[F.col(f"`{c}`") for c in more])
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, so that a worker kept for the next job doesn't hold what this one needed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema) -> DataFrame:
     """Maps each Arrow batch by ``fn``; batches are independent, so a lost task is simply run again."""
 
@@ -65,7 +94,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
                     yield out
                 elif out is not None:
                     yield from out
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     short_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
@@ -82,13 +111,26 @@ def least_hashes(df: DataFrame, key: str, n: int, group: str | None = None) -> D
     Counts come first, so that only rows below a hash that leaves about 1.5 n of a group
     are ever ranked, however many partitions there are.
     """
+    used = set(df.columns)
+    name, at, limit, place = (fresh(c, used) for c in ("group", "unit", "bound", "place"))
     unit = F.pmod(F.xxhash64(key), F.lit(1 << 40))
-    name = "_group"
-    rows = df.withColumn(name, F.col(group) if group else F.lit(0)).withColumn("_unit", unit)
-    bound = rows.groupBy(name).agg((F.least(F.lit(1.0), F.lit(1.5 * n + 50) / F.count(F.lit(1))) * F.lit(float(1 << 40))).alias("_bound"))
-    near = rows.join(F.broadcast(bound.withColumnRenamed(name, "_g")), F.col(name).eqNullSafe(F.col("_g"))).where(F.col("_unit") < F.col("_bound"))
-    place = F.row_number().over(Window.partitionBy(name).orderBy("_unit", key))
-    return near.withColumn("_place", place).where(F.col("_place") <= n).select(df.columns)
+    rows = df.withColumn(at, unit)
+    if group is None:
+        share = min(1.0, (1.5 * n + 50) / max(1, df.count()))
+        near = rows.where(F.col(at) < F.lit(share * (1 << 40)))
+        return near.orderBy(at, key).limit(n).select(df.columns)
+    bound = df.groupBy(F.col(group).alias(name)).agg((F.least(F.lit(1.0), F.lit(1.5 * n + 50) / F.count(F.lit(1))) * F.lit(float(1 << 40))).alias(limit))
+    near = rows.join(F.broadcast(bound), F.col(group).eqNullSafe(F.col(name))).where(F.col(at) < F.col(limit))
+    order = F.row_number().over(Window.partitionBy(name).orderBy(at, key))
+    return near.withColumn(place, order).where(F.col(place) <= n).select(df.columns)
+
+
+def fresh(name: str, used: set[str]) -> str:
+    """A column name like ``name`` that isn't in use, in any letter case; it is in use from now on."""
+    while name.lower() in {u.lower() for u in used}:
+        name = f"_{name}"
+    used.add(name)
+    return name
 
 
 #: Ids that may be broadcast to drop rows; beyond that rows are dropped by a shuffle join.
