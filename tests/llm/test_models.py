@@ -58,18 +58,48 @@ def test_formats_are_told_from_words(spark):
     rng = random.Random(5)
     keys = ["".join(rng.choices("0123456789abcdef", k=40)).encode() for _ in range(50)]
     assert sum(k in formats for k in keys) >= 45
-    assert not any(w in formats for w in (b"thanonontioniner2thanonontioniner", b"2024-01-02-report_final.version", b"===================1"))
-    df = spark.createDataFrame([(0, "x " + keys[0].decode()[:19] + keys[0].decode()[19:].upper() + " y")], "doc_id long, text string")
-    assert secrets.scan(df, formats).first().n_hex <= 1
+    assert not any(w in formats for w in (b"thanonontioniner2thanonontioniner", b"2024-01-02-report_final.version", b"===================1", b"thanonontioninerthanon", b"www.example.com/thanon/onti", b"thanonontion"))
 
 
-def test_automaton_merges_loops_and_normalises():
+def test_planted_secrets_that_only_automata_find(spark):
+    rng = random.Random(15)
+
+    def key(n=24):
+        return "sk_" + "".join(rng.choices("0123456789ABCDEFGHJKMN", k=n))
+
+    labelled = [f"{prose(rng, 20, stem='thanonontioniner')} token = {key()} {prose(rng, 10, stem='word/with-marks')}" for _ in range(60)]
+    bare = [key() for _ in range(40)]
+    plain = [prose(rng, 60, stem=s) for s in ("thanonontioniner", "INERTHANONONTION", "see/path/to/some-file_") for _ in range(20)]
+    texts = labelled + [f"{prose(rng, 9)} é {k} {prose(rng, 9)}" for k in bare] + plain
+    df = frame(spark, texts)
+    got = {r.doc_id: r.spans for r in secrets.scan(df, secrets.learn(df)).collect()}
+    hit = 0
+    for i, k in enumerate(bare, len(labelled)):
+        at = texts[i].index(k)
+        assert "assign" not in got[i] and "hex" not in got[i]
+        hit += f"format:{at}:{at + len(k)}" in got[i]
+    assert hit >= 36
+    assert sum("format" in got[i] for i in range(len(texts) - len(plain), len(texts))) == 0
+
+
+def test_automaton_keeps_lengths_merges_and_normalises():
     rng = random.Random(3)
     a = Automaton(["".join(rng.choices("0123456789abcdef", k=32)).encode() for _ in range(300)])
-    assert len(a.states) < 200
+    assert 30 <= len(a.states) < 200
     p = np.exp(a.logp + np.log([10, 6, 20, 6, 20, 1, 1, 1, 1, 1, 1])).sum(axis=1) + np.exp(a.stop)
     assert np.all(p < 1.01)
-    assert a.score(b"0a1b2c3d4e5f60718293a4b5c6d7e8f9") > a.score(b"zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz") + 2
+    good = a.score(b"0a1b2c3d4e5f60718293a4b5c6d7e8f9")
+    assert good > a.score(b"zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz") + 2 and good > a.score(b"0a1b2c3d4e5f607182") + 0.2
+    loops = Automaton([b"k-" + b"7" * rng.randrange(1, 60) for _ in range(300)])
+    assert len(loops.states) < 20
+
+
+def test_very_long_tokens(spark):
+    rng = random.Random(1)
+    texts = ["a1" * 400_000, "token=" + "ab" * 300_000, "x" * 10] + secret_texts()[-40:]
+    df = frame(spark, texts)
+    got = {r.doc_id: r for r in secrets.scan(df, secrets.learn(df)).collect()}
+    assert got[0].n_hex == 1 and got[1].n_assign == 1 and got[2].spans == ""
 
 
 # neighbours
