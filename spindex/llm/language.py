@@ -2,9 +2,13 @@
 
 A word's features are its prefixes and suffixes, its character n-grams and the word
 itself (lexicon), hashed into a table of weights; transitions between the languages of
-neighbouring words are learned too. Chains are the words of a text, cut into links of
-``CHAIN`` words; each word gets its marginal probabilities by forward-backward, and a
-text the mean of them over all its words.
+neighbouring words are learned too. A chain is all the words of a text; each word gets
+its marginal probabilities by forward-backward, and a text the mean of them over all its
+words. So that a long chain isn't walked word by word, it is cut into blocks of ``BLOCK``
+words: the product of a block's transitions and emissions is one small matrix, messages
+pass over these matrices, and then within all blocks at once. That is the whole chain's
+forward-backward, no transition left out. Sums are taken in one order whatever else is
+in a batch, so a text has the same score in any partitioning.
 """
 
 from __future__ import annotations
@@ -17,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindex.llm import textvec
-from spindex.llm.common import arrow_map, least_hashes, text_bytes
+from spindex.llm.common import arrow_map, fresh, least_hashes, text_bytes
 
 U64 = np.uint64
 BITS = 17
-CHAIN = 48
-#: Training documents of a language: those of the smallest id hashes.
-SAMPLE = 120
+BLOCK = 48
+#: Training documents of a language: those of the smallest id hashes among texts of at most ``MOST_BYTES`` bytes.
+SAMPLE, MOST_BYTES = 120, 1 << 18
 FOUND = "doc_id long, held_out boolean, lang_pred string, score double"
 UNKNOWN = "und"
 
@@ -47,46 +51,103 @@ def features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return value[order], np.searchsorted(word[order], np.arange(len(n) + 1))
 
 
-def _links(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of the chains, at most ``CHAIN`` words each, of rows given by their bounds."""
+def _spans(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the rows that have words."""
     size = np.diff(first)
-    number = -(-size // CHAIN)
-    row = np.repeat(np.arange(len(size)), number)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
-    start = first[:-1][row] + at * CHAIN
-    return start, np.minimum(CHAIN, first[1:][row] - start)
+    return first[:-1][size > 0], size[size > 0]
+
+
+def _times(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Row vectors (or matrices) times a matrix, summed in one order, so that no value depends on how many are multiplied at once."""
+    out = left[..., :1] * right[0]
+    for i in range(1, len(right)):
+        out = out + left[..., i : i + 1] * right[i]
+    return out
+
+
+def _each(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Each row vector times its own matrix."""
+    out = left[:, :1] * right[:, 0]
+    for i in range(1, right.shape[1]):
+        out = out + left[:, i : i + 1] * right[:, i]
+    return out
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to a sum of 1."""
+    total = x[..., :1].copy()
+    for i in range(1, x.shape[-1]):
+        total = total + x[..., i : i + 1]
+    return x / total
 
 
 def forward_backward(emission: np.ndarray, transition: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of every word and expected transitions of all chains.
+    """Alpha and beta messages, each to scale, of every word of all chains (of at least one word); see ``marginals``.
 
     ``emission`` has a row of positive scores for each word, ``transition`` positive
-    scores from row to column. All chains advance together, a word at a time.
+    scores from row to column.
     """
     n, k = emission.shape
-    order = np.argsort(-size, kind="stable")
-    start, size = start[order], size[order]
-    most = int(size[0]) if len(size) else 0
-    alpha, beta = np.empty((n, k)), np.empty((n, k))
-    for t in range(most):
-        m = int((size > t).sum())
-        at = start[:m] + t
-        a = emission[at] if t == 0 else (alpha[at - 1] @ transition) * emission[at]
-        alpha[at] = a / a.sum(axis=1, keepdims=True)
-    pairs = np.zeros((k, k))
-    for t in range(most - 1, -1, -1):
-        m, later = int((size > t).sum()), int((size > t + 1).sum())
-        at = start[:m] + t
-        beta[at[later:]] = 1.0 / k
-        if later:
-            nxt = at[:later] + 1
-            right = emission[nxt] * beta[nxt]
-            b = right @ transition.T
-            both = alpha[at[:later]][:, :, None] * transition[None] * right[:, None, :]
-            pairs += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-            beta[at[:later]] = b / b.sum(axis=1, keepdims=True)
-    p = alpha * beta
-    return p / p.sum(axis=1, keepdims=True), pairs
+    alpha, beta = np.empty((n, k)), np.full((n, k), 1.0 / k)
+    alpha[start] = _unit(emission[start])
+    # blocks of the words after the first, those of a chain one after the other
+    number = -(-(size - 1) // BLOCK)
+    chain = np.repeat(np.arange(len(size)), number)
+    place = np.arange(len(chain)) - np.repeat(np.cumsum(number) - number, number)
+    begin = start[chain] + 1 + place * BLOCK
+    length = np.minimum(BLOCK, start[chain] + size[chain] - begin)
+    by = np.argsort(-length, kind="stable")
+    active = [by[: int((length > t).sum())] for t in range(BLOCK)]
+
+    whole = np.broadcast_to(np.eye(k), (len(chain), k, k)).copy()
+    for t, some in enumerate(active):
+        if len(some):
+            step = _times(whole[some], transition) * emission[begin[some] + t][:, None, :]
+            whole[some] = step / step.sum(axis=2).max(axis=1)[:, None, None]
+    # messages from block to block
+    most = int(number.max()) if len(number) else 0
+    into, out_of = np.empty((len(chain), k)), np.full((len(chain), k), 1.0 / k)
+    head = np.cumsum(number) - number
+    long = np.argsort(-number, kind="stable")
+    live = [long[: int((number > o).sum())] for o in range(most)]
+    for o in range(most):
+        b = head[live[o]] + o
+        into[b] = alpha[start[live[o]]] if o == 0 else _unit(_each(into[b - 1], whole[b - 1]))
+    flipped = np.swapaxes(whole, 1, 2)
+    for o in range(most - 2, -1, -1):
+        b = head[live[o + 1]] + o
+        out_of[b] = _unit(_each(out_of[b + 1], flipped[b + 1]))
+    # within blocks
+    now = into
+    for t, some in enumerate(active):
+        at = begin[some] + t
+        alpha[at] = now[some] = _unit(_times(now[some], transition) * emission[at])
+    now = out_of.copy()
+    back = transition.T.copy()
+    for t in range(BLOCK - 1, -1, -1):
+        some = active[t]
+        at = begin[some] + t
+        beta[at] = now[some]
+        now[some] = _unit(_times(emission[at] * now[some], back))
+    first = number > 0
+    beta[start[first]] = now[head[first]]
+    return alpha, beta
+
+
+def marginals(emission: np.ndarray, transition: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The probabilities of every word's labels, given its whole chain."""
+    alpha, beta = forward_backward(emission, transition, start, size)
+    return _unit(alpha * beta)
+
+
+def expected_moves(emission: np.ndarray, transition: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The marginals, and the expected number of each transition in all chains."""
+    alpha, beta = forward_backward(emission, transition, start, size)
+    inner = np.ones(len(emission), bool)
+    inner[start] = False
+    at = np.flatnonzero(inner)
+    both = alpha[at - 1][:, :, None] * transition[None] * (emission[at] * beta[at])[:, None, :]
+    return _unit(alpha * beta), (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
 
 
 class Tagger:
@@ -109,8 +170,8 @@ class Tagger:
     def train(self, texts: list[bytes], labels: list[int], passes: int = 2, rate: float = 0.5, seed: int = 3) -> None:
         """Maximises the likelihood of word labels by AdaGrad on chains of code-switched text.
 
-        A chain takes stretches of 3 to 24 words from documents of changing languages, so
-        that staying and switching are both seen.
+        A chain takes ten stretches of 3 to 24 words from documents of changing languages,
+        so that staying and switching are both seen.
         """
         rng = np.random.default_rng(seed)
         joined = textvec.LOWER[np.frombuffer(b"".join(texts), np.uint8)]
@@ -133,9 +194,9 @@ class Tagger:
                 norm = np.sqrt(np.diff(bound))
                 raw = np.add.reduceat(self.weight[value], bound[:-1], axis=0) / norm[:, None]
                 emission = np.exp(raw - raw.max(axis=1, keepdims=True)).astype(np.float64)
-                bounds = np.array([0, len(index)])
-                start, size = _links(bounds)
-                got, pairs = forward_backward(emission, np.exp(self.move), start, size)
+                cuts = np.cumsum([b - a for a, b in pieces[i : i + 400]])
+                start, size = _spans(np.concatenate([[0], cuts[9:-1:10], cuts[-1:]]))
+                got, pairs = expected_moves(emission, np.exp(self.move), start, size)
                 y = label[index]
                 error = (np.eye(k)[y] - got) / len(index)
                 inner = np.ones(len(index) - 1, bool)
@@ -159,7 +220,7 @@ class Tagger:
         starts, ends, first = textvec.word_bounds(low, off, textvec.LETTERS)
         if not len(starts):
             return np.zeros((0, len(self.langs))), first
-        return forward_backward(self.emissions(low, starts, ends), np.exp(self.move), *_links(first))[0], first
+        return marginals(self.emissions(low, starts, ends), np.exp(self.move), *_spans(first)), first
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -168,8 +229,14 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Tagger:
-    """A tagger fitted on ``sample`` documents of each language that aren't held out; only text and language are seen."""
-    open_ = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull() & (F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 5 != 0))
+    """A tagger fitted on ``sample`` documents of each language that aren't held out; only text and language are seen.
+
+    They are those of the smallest id hashes among texts of at most ``MOST_BYTES`` bytes.
+    Rows whose id, text or language is null aren't learned from; repeated ids and texts
+    count as rows of their own; empty texts teach nothing; other columns are ignored. Of
+    no rows no language is learned, of one language no weights.
+    """
+    open_ = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull() & (F.octet_length(F.col(f"`{text_col}`")) <= MOST_BYTES) & (F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 5 != 0))
     open_ = open_.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     rows = sorted(least_hashes(open_, "id", sample, "lang").collect())
     langs = sorted({r.lang for r in rows})
@@ -189,7 +256,8 @@ def identify(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col:
     are one for one; a null id counts as held out; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
-    base = docs.withColumn("_letter", F.coalesce(F.col(f"`{text_col}`").cast("string").rlike("\\p{L}"), F.lit(False)))
+    letter_col = fresh("letter", set(docs.columns))
+    base = docs.withColumn(letter_col, F.coalesce(F.col(f"`{text_col}`").cast("string").rlike("\\p{L}"), F.lit(False)))
 
     def run(batch: pa.RecordBatch):
         known = shared.value
@@ -199,9 +267,8 @@ def identify(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col:
             mean = np.zeros((j - i, max(1, len(known.langs))))
             if known.langs:
                 p, first = known.tag(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                total = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, axis=0)])
-                number = np.diff(first)
-                mean = (total[first[1:]] - total[first[:-1]]) / np.maximum(1, number)[:, None]
+                total = np.stack([textvec.row_sums(np.ascontiguousarray(p[:, c]), first) for c in range(p.shape[1])], 1)
+                mean = total / np.maximum(1, np.diff(first))[:, None]
             best = mean.argmax(axis=1)
             sure = letter[i:j] & bool(known.langs)
             names = [known.langs[b] if s else UNKNOWN for b, s in zip(best.tolist(), sure.tolist(), strict=True)]
@@ -209,4 +276,4 @@ def identify(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col:
             ids = batch.column(0).slice(i, j - i)
             yield pa.RecordBatch.from_arrays([ids, pa.array([held_out(x) for x in ids.to_pylist()]), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return arrow_map(text_bytes(base, id_col, text_col, "_letter"), run, FOUND)
+    return arrow_map(text_bytes(base, id_col, text_col, letter_col), run, FOUND)

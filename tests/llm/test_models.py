@@ -184,13 +184,15 @@ def test_balance_evens_out_sizes():
 # language
 
 
-def test_forward_backward_equals_enumeration():
+@pytest.mark.parametrize("block", [1, 2, 48])
+def test_forward_backward_equals_enumeration(block, monkeypatch):
+    monkeypatch.setattr(language, "BLOCK", block)
     import itertools
 
     rng = np.random.default_rng(4)
     e, t = rng.random((9, 3)) + 0.1, rng.random((3, 3)) + 0.1
     start, size = np.array([0, 4, 5]), np.array([4, 1, 4])
-    p, pairs = language.forward_backward(e, t, start, size)
+    p, pairs = language.expected_moves(e, t, start, size)
     want, moves = np.zeros((9, 3)), np.zeros((3, 3))
     for s, n in zip(start, size, strict=True):
         weights = {}
@@ -205,6 +207,17 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(p, want) and np.allclose(pairs, moves)
 
 
+def test_scores_are_the_same_in_any_partitioning(spark):
+    rng = random.Random(17)
+    sound = {"aa": ["ka", "to", "ri", "mu"], "bb": ["sch", "ung", "ein", "pf"]}
+    rows = [(i, " ".join("".join(rng.choices(sound[rng.choice("ab") * 2], k=3)) for _ in range(rng.choice([1, 2, 48, 49, 50, 97, 400]))), rng.choice("ab") * 2, i) for i in range(200)]
+    rows.append((500, " ".join("".join(rng.choices(sound["aa"], k=3)) for _ in range(60_000)), "aa", 1))  # longer than a chunk
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, letter int")
+    tagger = language.learn(df)
+    got = [{r.doc_id: (r.lang_pred, r.score) for r in language.identify(x, tagger).collect()} for x in (df.coalesce(1), df.repartition(7, "letter"), df.orderBy("text").coalesce(2))]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 201
+
+
 def test_languages(spark):
     rng = random.Random(7)
     sound = {"aa": ["ka", "to", "ri", "mu"], "bb": ["sch", "ung", "ein", "pf"], "cc": ["eau", "ment", "oi", "é"]}
