@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindex.llm.common import saved
+from spindex.llm.common import fresh, saved
 
-#: Boilerplate lines that may be broadcast, about 40 bytes each; beyond that pages are joined by a shuffle on the host.
+#: Boilerplate lines that may be broadcast, about 40 bytes each; beyond that pages are joined by a shuffle on host and shard.
 MOST_LINES = 500_000
+#: Shards of a host's pages in that join.
+SHARDS = 64
 
 
 def _mark(line: Column) -> Column:
@@ -42,15 +44,23 @@ def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str =
     others stay in order and unchanged. No page is dropped: one of boilerplate alone
     keeps an empty text. A null text stays null and has 0 lines; an empty text has one,
     empty line; a page of null host is left as it is. Repeated rows count as pages of
-    their own, or once with ``distinct`` (see ``boilerplate``). An empty table gives an empty result.
+    their own, or once with ``distinct`` (see ``boilerplate``). An empty table gives an
+    empty result. Columns may have any names; one called n_lines or n_dropped is replaced.
     """
+    used = set(pages.columns)
+    h, l, k, shard = (fresh(c, used) for c in ("host", "lines", "kept", "shard"))
     found = saved(boilerplate(pages, host_col, text_col, ratio, least, distinct), "boilerplate")
-    found = found.select(F.col("host").alias("_host"), F.col("lines").alias("_lines"))
-    total = found.agg(F.coalesce(F.sum(F.size("_lines")), F.lit(0)) + F.count(F.lit(1))).first()[0]
-    joined = pages.join(F.broadcast(found) if total <= MOST_LINES else found, F.col(f"`{host_col}`") == F.col("_host"), "left")
+    total = found.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0)) + F.count(F.lit(1))).first()[0]
+    found = found.select(F.col("host").alias(h), F.col("lines").alias(l))
+    same = F.col(f"`{host_col}`") == F.col(h)
+    if total <= MOST_LINES:
+        joined = pages.join(F.broadcast(found), same, "left")
+    else:  # a host's lines are sent to each of its shards
+        split = pages.withColumn(shard, F.pmod(F.xxhash64(F.col(f"`{text_col}`")), F.lit(SHARDS)).cast("int"))
+        joined = split.join(found.withColumn(f"{shard}_", F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1)))), same & (F.col(shard) == F.col(f"{shard}_")), "left")
     own = F.split(F.col(f"`{text_col}`"), "\n", -1)
-    kept = F.when(F.col("_lines").isNull(), own).otherwise(F.filter(own, lambda s: (s == "") | ~F.array_contains("_lines", _mark(s))))
-    cut = joined.withColumn("_kept", kept)
-    columns = [F.when(F.col("_lines").isNull(), F.col(f"`{c}`")).otherwise(F.array_join("_kept", "\n")).alias(c) if c == text_col else F.col(f"`{c}`") for c in pages.columns]
+    kept = F.when(F.col(l).isNull(), own).otherwise(F.filter(own, lambda s: (s == "") | ~F.array_contains(l, _mark(s))))
+    cut = joined.withColumn(k, kept)
+    columns = [F.when(F.col(l).isNull(), F.col(f"`{c}`")).otherwise(F.array_join(k, "\n")).alias(c) if c == text_col else F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("n_lines", "n_dropped")]
     n = F.coalesce(F.size(own), F.lit(0))
-    return cut.select(*columns, n.cast("long").alias("n_lines"), (n - F.coalesce(F.size("_kept"), F.lit(0))).cast("long").alias("n_dropped"))
+    return cut.select(*columns, n.cast("long").alias("n_lines"), (n - F.coalesce(F.size(k), F.lit(0))).cast("long").alias("n_dropped"))
