@@ -34,9 +34,12 @@ class Centroids:
     def __init__(self, centres: np.ndarray, degree: int = 24):
         self.centres = centres.astype(np.float32)
         n = len(centres)
-        sims = self.centres @ self.centres.T
-        np.fill_diagonal(sims, -2)
-        near = np.argsort(-sims, axis=1)[:, : min(degree, n - 1)]
+        degree = min(degree, n - 1)
+        near = np.empty((n, degree), np.int64)
+        for i in range(0, n, 1024):
+            sims = self.centres[i : i + 1024] @ self.centres.T
+            sims[np.arange(len(sims)), np.arange(i, i + len(sims))] = -2
+            near[i : i + 1024] = np.argpartition(-sims, degree - 1, axis=1)[:, :degree] if degree else 0
         links: list[set[int]] = [set(map(int, row)) for row in near]
         for a, row in enumerate(near):
             for b in row:
@@ -93,12 +96,12 @@ class Centroids:
 def balanced_kmeans(sample: np.ndarray, lists: int, rounds: int = 12, weight: float = 0.1, seed: int = 7) -> np.ndarray:
     """Unit centroids of clusters kept near one size: a cluster costs more the fuller it was in the round before."""
     rng = np.random.default_rng(seed)
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    unit = (sample / np.linalg.norm(sample, axis=1, keepdims=True)).astype(np.float32)
     centres = unit[rng.choice(len(unit), lists, replace=False)].copy()
     sizes = np.full(lists, len(unit) / lists)
     for _ in range(rounds):
-        fit = unit @ centres.T - weight * (sizes / (len(unit) / lists) - 1)
-        own = fit.argmax(axis=1)
+        cost = (weight * (sizes / (len(unit) / lists) - 1)).astype(np.float32)
+        own = np.concatenate([(unit[i : i + 4096] @ centres.T - cost).argmax(axis=1) for i in range(0, len(unit), 4096)])
         sizes = 0.5 * sizes + 0.5 * np.bincount(own, minlength=lists)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, unit)
@@ -111,14 +114,18 @@ def balanced_kmeans(sample: np.ndarray, lists: int, rounds: int = 12, weight: fl
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, v (array<double>) of the rows that take part.
 
-    Not those whose id or vector is null, that hold null or non-finite components, are
-    all zero, or aren't of the commonest length (of equally common ones the largest).
+    Not those whose id or vector is null, that hold null or non-finite components, or
+    that are all zero.
     """
     v = F.col(f"`{vector_col}`").cast("array<double>")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False)))
-    size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return rows.where(F.size("v") == (size[0] if size else -1))
+    return vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False)))
+
+
+def number_of_lists(n: int, sampled: int, list_rows: int = 500, most_lists: int = 16_384) -> int:
+    """Lists for n rows: of about as many rows as there are lists, ``list_rows`` at most; no more than ``most_lists``, nor than a quarter of the sample."""
+    per = max(1, min(list_rows, math.ceil(math.sqrt(n))))
+    return max(1, min(most_lists, math.ceil(n / per), sampled // 4))
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -204,26 +211,30 @@ def breadth(index: Centroids, rows: DataFrame, posted: DataFrame, homes: np.ndar
         ratio = math.inf if probes == len(homes) else 1 + (ratio - 1) * 1.25
 
 
-def search(vectors: DataFrame, k: int = 5, every: int = 50, list_rows: int = 500, most_lists: int = 4096, sample_rows: int = 20_000, probes: int = 48, query_ratio: float = 1.35, copies: int = 4, post_ratio: float = 1.08, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, k: int = 5, every: int = 50, list_rows: int = 500, most_lists: int = 16_384, sample_rows: int = 131_072, probes: int = 48, query_ratio: float = 1.35, copies: int = 4, post_ratio: float = 1.08, recall: float = 0.99, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row whose id is divisible by ``every``.
 
     Nearness is the cosine; ties go to the smaller id; a query's own id is never among
     its results. Rows that can't take part (see ``usable``) are left out on both sides.
     Repeated ids are candidates as long as they aren't the query's, the best of them
     once. An empty table gives an empty result. Centroids are fitted on ``sample_rows``
-    rows at most (those of the smallest id hashes); there is one list for ``list_rows``
-    rows, ``most_lists`` at most, and with one list the search is exact. All rows are
-    posted, to up to ``copies`` lists within ``post_ratio`` of the nearest. A query
+    rows at most (those of the smallest id hashes, 20,000 or eight a list); for the number
+    of lists see ``number_of_lists``; with one list the search is exact. Vectors of
+    another length than the commonest (of equally common ones the largest) are compared
+    with all of their own length, which are one list each. All rows are posted, to up to ``copies`` lists within ``post_ratio`` of the nearest. A query
     looks at up to ``probes`` lists within ``query_ratio``, or at as many more, within
     as wide a ratio, as it takes for ``MEASURED`` queries of the smallest id hashes to
     find ``recall`` of what brute force gives them; and on to further lists, all if
     need be, until k other ids are among their rows.
     """
     spark = vectors.sparkSession
-    rows = saved(usable(vectors, id_col, vector_col), "vectors")
-    n = rows.count()
-    sample = [r[0] for r in least_hashes(rows, "vec_id", sample_rows).select("v").collect()]
-    lists = max(1, min(most_lists, math.ceil(n / list_rows), len(sample) // 4))
+    everything = saved(usable(vectors, id_col, vector_col), "vectors")
+    sizes = everything.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).take(2)
+    d, n = (sizes[0][0], sizes[0][1]) if sizes else (0, 0)
+    rows = everything.where(F.size("v") == d)
+    sampled = min(n, max(min(20_000, sample_rows), min(sample_rows, 8 * number_of_lists(n, n, list_rows, most_lists))))
+    sample = [r[0] for r in least_hashes(rows, "vec_id", sampled).select(F.col("v").cast("array<float>")).collect()]
+    lists = number_of_lists(n, len(sample), list_rows, most_lists)
     index = Centroids(balanced_kmeans(np.array(sample), lists)) if lists > 1 else None
     shared = spark.sparkContext.broadcast(index)
 
@@ -267,6 +278,10 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, list_rows: int = 500
         probes, query_ratio = breadth(index, rows, posted, homes, k, every, min(probes, lists), query_ratio, recall)
     asked = saved(arrow_map(rows.where(F.col("vec_id") % every == 0), probe, "list int, vec_id long, v array<double>"), "probes")
 
+    if len(sizes) > 1:
+        others = everything.where(F.size("v") != d).select((-F.size("v")).alias("list"), "vec_id", "v")
+        posted, asked = posted.unionByName(others), asked.unionByName(others.where(F.col("vec_id") % every == 0))
+
     def shards(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARD_ROWS)).cast("int").alias(name))
 

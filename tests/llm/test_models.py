@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from spindex.llm import language, lines, neighbours, quality, secrets, textvec
 from spindex.llm.automaton import Automaton
@@ -113,7 +114,7 @@ def test_search_with_one_list_is_exact(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(300, 8)).astype(np.float32)
     v[7] = v[9] = v[100]
-    rows = [(i, x.tolist(), 0) for i, x in enumerate(v)] + [(1000, None, 0), (1050, [0.0] * 8, 0), (1100, [float("nan")] * 8, 0), (1150, [1.0] * 7 + [None], 0), (1200, [float("inf")] * 8, 0), (1250, [1.0] * 3, 0), (None, [1.0] * 8, 0)]
+    rows = [(i, x.tolist(), 0) for i, x in enumerate(v)] + [(1000, None, 0), (1050, [0.0] * 8, 0), (1100, [float("nan")] * 8, 0), (1150, [1.0] * 7 + [None], 0), (1200, [float("inf")] * 8, 0), (1250, [1.0] * 3, 0), (1300, [2.0, 2.0, 2.5], 0), (1301, [1.0, -1.0, 0.0], 0), (None, [1.0] * 8, 0)]
     got = neighbours.search(vectors(spark, rows), list_rows=10**6).collect()
     d = v.astype(float)
     want = []
@@ -121,6 +122,8 @@ def test_search_with_one_list_is_exact(spark):
         s = [(-np.dot(d[q], d[j]) / np.sqrt(np.dot(d[q], d[q]) * np.dot(d[j], d[j])), j) for j in range(300) if j != q]
         s = [(round(x, 9), j) for x, j in s]
         want += [(q, k + 1, j, -x) for k, (x, j) in enumerate(sorted(s)[:5])]
+    near = round(6.5 / math.sqrt(3 * 14.25), 9)  # vectors of another length are compared with each other
+    want += [(1250, 1, 1300, near), (1250, 2, 1301, 0.0), (1300, 1, 1250, near), (1300, 2, 1301, 0.0)]
     assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got) == sorted(want)
 
 
@@ -169,6 +172,17 @@ def test_queries_go_on_until_enough_rows(spark):
 
 
 
+def test_lists_are_searched_in_small_tables_too(spark):
+    v = np.random.default_rng(14).normal(size=(500, 64)).astype(np.float32)
+    assert neighbours.number_of_lists(500, 500) > 10
+    got = defaultdict(list)
+    for r in neighbours.search(vectors(spark, [(i, x.tolist(), 0) for i, x in enumerate(v)])).collect():
+        got[r.query_id].append(r.vec_id)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {q: np.argsort(-np.where(np.arange(500) == q, -2, unit @ unit[q]))[:5].tolist() for q in range(0, 500, 50)}
+    assert sum(len(set(got[q]) & set(w)) for q, w in want.items()) >= 49
+
+
 def test_balance_evens_out_sizes():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(4000, 8))
@@ -329,15 +343,18 @@ def test_classifier(spark):
 # lines
 
 
-def test_lines_equal_brute_force(spark):
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_lines_equal_brute_force(spark, most, monkeypatch):
+    monkeypatch.setattr(lines, "MOST_LINES", most)
     rng = random.Random(2)
     rows = []
     for i in range(200):
         host = rng.choice(["a", "a", "a", "b", "c", None])
         body = [rng.choice(["menu", "footer", "rare", f"line {rng.randrange(500)}", "", "menu"]) for _ in range(rng.randrange(6))]
         rows.append((i, None if i % 50 == 7 else "\n".join(body), host, 5))
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _lines int")
-    df = df.withColumnRenamed("_lines", "n")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lines int")
+    for c in ("host", "kept", "shard", "_lines", "_host", "_kept", "page", "line", "n", "pages", "n_lines"):
+        df = df.withColumn(c, F.col("lines"))
     seen, pages = Counter(), Counter()
     for _, t, h, _ in rows:
         pages[h] += 1
@@ -348,7 +365,7 @@ def test_lines_equal_brute_force(spark):
             assert got[i].text is None and got[i].n_lines == 0
             continue
         kept = [x for x in t.split("\n") if h is None or not (seen[h, x] >= 3 and seen[h, x] > 0.2 * pages[h])]
-        assert (got[i].text, got[i].n_lines, got[i].n_dropped, got[i].n) == ("\n".join(kept), len(t.split("\n")), len(t.split("\n")) - len(kept), 5)
+        assert (got[i].text, got[i].n_lines, got[i].n_dropped, got[i]._kept) == ("\n".join(kept), len(t.split("\n")), len(t.split("\n")) - len(kept), 5)
     assert lines.drop_boilerplate(df.limit(0)).count() == 0
 
 
