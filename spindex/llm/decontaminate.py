@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindex.llm import textvec
-from spindex.llm.common import arrow_map, saved, text_bytes
+from spindex.llm.common import arrow_map, fresh, saved, text_bytes
 
 FOUND = "doc_id long, n_words long, n_hit long, starts array<int>, lengths array<int>, items array<string>"
 U64 = np.uint64
@@ -214,3 +214,36 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 8, least_items
     benchmark takes. Other columns are ignored.
     """
     return contamination(occurrences(docs, items, width, id_col, text_col, item_col, item_text_col, block_words), least_items)
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 8, least_items: int = 1, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = 500_000) -> DataFrame:
+    """The rows, all columns, that hold windows of fewer than ``least_items`` items.
+
+    Every row is judged by its own text, whatever its id: rows of null id and of repeated
+    ids too. One narrow map for each block of the benchmark. For null, empty and repeated
+    texts and items see ``decontaminate``; an item counts once a row, but again if rows
+    of its id are spread over blocks.
+    """
+    listed = items.select(F.col(f"`{item_col}`").cast("string"), F.col(f"`{item_text_col}`").cast("string").cast("binary"))
+    texts = text_bytes(docs.select(F.lit(None).alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text")
+    place, names, used = docs.columns.index(text_col), docs.columns, set(docs.columns)
+    total = fresh("n_total", used)
+    out = docs.withColumn(total, F.lit(0).cast("long"))
+    for block in _blocks(listed, width, block_words):
+        block.order(_frequencies(texts, block.vocabulary))
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def probe(batch: pa.RecordBatch, shared=shared):
+            known = shared.value
+            buf, off = textvec.binary_column(batch.column(place))
+            found = batch.column(batch.num_columns - 1).to_numpy().copy()
+            for i, j in textvec.chunks(off):
+                words, first = textvec.words(buf[off[i] : off[j]], off[i : j + 1] - off[i], textvec.ALNUM)
+                row, _, window = known.find(words, first)
+                for r, _ in {(r, known.ids[x]) for r, w in {*zip(row.tolist(), window.tolist(), strict=True)} for x in known.items[w]}:
+                    found[i + r] += 1
+            keep = pa.array(found < least_items)
+            return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], [*names, total]).filter(keep)
+
+        out = arrow_map(out, probe, out.schema)
+    return out.drop(total)

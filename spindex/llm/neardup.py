@@ -27,11 +27,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindex.llm import textvec
-from spindex.llm.common import arrow_map, saved, text_bytes
+from spindex.llm.common import arrow_map, fresh, saved, text_bytes, without
 from spindex.llm.graph import components
 
 U64 = np.uint64
@@ -301,3 +301,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     found = components(links, "a", "b")
     out = named.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_first(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, all columns, without those whose group of near-duplicates has a smaller id, and with one row of each id.
+
+    Of several rows of one id that of the smallest text hash stays (ties: any). Rows of
+    null id all stay, as do texts that are null or hold no word, one for each id.
+    """
+    groups = saved(near_duplicates(docs, width, percent, id_col, text_col).select("doc_id", "kept"), "groups")
+    out = without(docs, groups.where("not kept").select(F.col("doc_id").alias(id_col)), id_col)
+    again = saved(groups.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col)), "again")
+    if again.isEmpty():
+        return out
+    place = fresh("place", set(docs.columns))
+    rows = out.join(again, id_col, "left_semi").withColumn(place, F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(F.col(f"`{text_col}`")))))
+    return without(out, again, id_col).unionByName(rows.where(F.col(place) == 1).select(docs.columns))
