@@ -1,5 +1,6 @@
 import glob
 import os
+import random
 
 import duckdb
 import pytest
@@ -11,6 +12,8 @@ from spindex.llm.common import table
 from spindex.llm.decontaminate import decontaminate
 from spindex.llm.neardup import near_duplicates
 
+from .helpers import prose
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -69,3 +72,36 @@ def test_copies_leave_one_whole_document(spark):
     assert all(got[i] == t.removeprefix("the menu of the site\n") for i, t, _, _ in rows)
     left = corpus_pipeline.near_dedup(spark, cut, SF).collect()
     assert [r.doc_id for r in left if r.text == body] == [3] and all(r.text for r in left)
+
+
+def test_stages_have_defined_results(spark):
+    rng = random.Random(3)
+    item = table(spark, SF, "benchmark").where("length(text) > 100").first().text
+    body = prose(rng, 80, 10**6)
+    rows = [(None, body), (None, f"{prose(rng, 30)} {item}"), (3, body), (3, body), (3, prose(rng, 60, 10**6, "q")), (4, body + " tail"), (5, None), (6, ""), (6, ""), (7, f"{item} {prose(rng, 9)}"), (8, "lang " * 60_000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), 1, 2, 3) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, `key` int, kept int, `_lines` int")
+    near = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert near.columns == docs.columns
+    assert sorted((r.doc_id or -1) for r in near.collect()) == [-1, -1, 3, 5, 6, 7, 8]
+    clean = corpus_pipeline.decontamination(spark, docs, SF)
+    assert clean.columns == docs.columns
+    assert sorted((r.doc_id or -1, len(r.text or "")) for r in clean.collect()) == sorted((i or -1, len(t or "")) for i, t in rows if item not in (t or ""))
+    cut = corpus_pipeline.line_dedup(spark, docs, SF)
+    assert cut.columns == docs.columns and cut.count() == len(rows) and cut.where("doc_id = 5").first().n_chars is None
+    good = corpus_pipeline.quality(spark, docs, SF)
+    assert good.columns == docs.columns and {5, 6} <= {r.doc_id for r in good.collect()}
+    packed = corpus_pipeline.packing(spark, docs, SF)
+    assert packed.where("piece = 0").count() == len(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
+def test_run_leaves_its_stages_alone(spark):
+    import pathlib
+
+    from spindex.llm.common import shared_dir
+
+    folder = pathlib.Path(shared_dir(spark))
+    before = {p.name for p in folder.glob("spindex-*")}
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert len({p.name for p in folder.glob("spindex-*")} - before) == len(corpus_pipeline.STAGES)
