@@ -39,10 +39,8 @@ def scratch(spark: SparkSession):
     try:
         yield
     finally:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         for folder in _OPEN.pop():
-            path = hadoop(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, folder)
 
 
 def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -57,7 +55,19 @@ def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     if _OPEN and not keep:
         _OPEN[-1].append(folder)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = folder
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that ``saved`` wrote, once all that reads it is written itself."""
+    _delete(table.sparkSession, table._folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"

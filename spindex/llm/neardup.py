@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindex.llm import textvec
-from spindex.llm.common import arrow_map, fresh, saved, text_bytes, without
+from spindex.llm.common import arrow_map, discard, fresh, saved, text_bytes, without
 from spindex.llm.graph import components
 
 U64 = np.uint64
@@ -263,6 +263,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     # rows of one id with different sets are one node too
     same = named.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
     reps = saved(base.join(classes.withColumn("doc_id", F.col("rep")), [*key, "doc_id"]).select("rep", "n_shingles", "h0", *_SIGS, "bands").dropDuplicates(["rep", "n_shingles", "h0"]), "representatives")
+    discard(base)
     bands = reps.select("rep", F.explode("bands").alias("key"))
     hubs = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
     first = saved(bands.join(hubs, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
@@ -277,7 +278,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        return saved(_confirm(pairs, saved(shingles_of(docs, ids, encode, id_col, text_col), "sets"), percent), "links")
+        sets = saved(shingles_of(docs, ids, encode, id_col, text_col), "sets")
+        out = saved(_confirm(pairs, sets, percent), "links")
+        discard(sets)
+        return out
 
     links = confirmed(saved(likely(first), "likely"))
     found = saved(components(links, "a", "b"), "components")
