@@ -63,7 +63,9 @@ def get_batch(live: DataFrame, start: int, max_bytes: int = 65536, base_index: i
 def compact(live: DataFrame, base_index: int, base_term: int) -> DataFrame:
     """The entries above a new base, whose term must be the log's own there."""
     own = term_at(live, base_index)
-    if own is not None and base_index and own != base_term:
+    if own is None:
+        raise ValueError(f"the log has no entry {base_index}")
+    if base_index and own != base_term:
         raise ValueError(f"entry {base_index} has term {own}, not {base_term}")
     return live.where(F.col("index") > base_index)
 

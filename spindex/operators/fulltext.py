@@ -15,6 +15,11 @@ from spindex.functions.text import is_stop_word, stemmed, stemmed_distinct, toke
 from spindex.sources.tables import Namespace
 
 K1, B = 1.2, 0.75
+#: Word forms of a query's terms that are written into the plan; beyond that their occurrences are joined by a shuffle.
+MOST_FORMS = 5_000
+#: Distinct tokens that are broadcast with their stems, about 60 bytes each; beyond that postings are joined in salted shards.
+MOST_TOKENS = 200_000
+SALTS = 16
 
 
 def query_terms(spark: SparkSession, text: str) -> list[str]:
@@ -29,8 +34,21 @@ def newest(docs: DataFrame, id_col: str, seq_col: str, text_col: str = "text") -
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, term, tf, first_pos."""
-    return stemmed_distinct(tokens(docs, id_col, text_col)).groupBy(id_col, F.col("stem").alias("term")).agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos"))
+    """id, term, tf, first_pos.
+
+    Tokens are counted for each document before they meet their stems, so a common token
+    is one row a document; each distinct token is stemmed once.
+    """
+    key = F.col(f"`{id_col}`")
+    counted = tokens(docs, id_col, text_col).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
+    words = tokens(docs, id_col, text_col).select("token").distinct()
+    vocabulary = stemmed(words)
+    if words.limit(MOST_TOKENS + 1).count() <= MOST_TOKENS:
+        named = counted.join(F.broadcast(vocabulary), "token")
+    else:
+        salted = vocabulary.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        named = counted.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, ["token", "_salt"])
+    return named.groupBy(key, F.col("stem").alias("term")).agg(F.sum("n").alias("tf"), F.min("pos").alias("first_pos"))
 
 
 def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,16 +62,42 @@ def term_count(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return stemmed(tokens(docs, id_col, text_col).select("token").distinct()).agg(F.count_distinct("stem").alias("n_terms"))
 
 
-def _term_counts(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
-    """id, length and the frequency of each query term, for all documents; partially aggregated, then one shuffle on the id."""
+def _among(words: list[str]):
+    return lambda t: t.isin(*words)
+
+
+def _forms(docs: DataFrame, terms: list[str], text_col: str) -> dict[str, list[str]] | None:
+    """The documents' tokens whose stem is a term, by term; None if they are more than ``MOST_FORMS``. A stem begins as its token does."""
     starts = sorted({t[0] for t in terms})
+    likely = F.filter(token_array(F.col(f"`{text_col}`")), lambda t: F.substring(t, 1, 1).isin(*starts) & ~is_stop_word(t))
+    words = docs.select(F.explode(F.array_distinct(likely)).alias("token")).distinct()
+    rows = stemmed(words).where(F.col("stem").isin(*terms)).select("token", "stem").take(MOST_FORMS + 1)
+    if len(rows) > MOST_FORMS:
+        return None
+    out: dict[str, list[str]] = {t: [] for t in terms}
+    for r in rows:
+        out[r.stem].append(r.token)
+    return out
+
+
+def _term_counts(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
+    """id, length and the frequency of each query term, for all documents.
+
+    The distinct tokens that could match are stemmed once; the few that do are counted
+    within each document's own row, without a shuffle. Rows of one id are documents of
+    their own (see ``newest`` for replacing them).
+    """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), token_array(F.col(f"`{text_col}`")).alias("all"))
-    length = F.size(F.filter("all", lambda t: ~is_stop_word(t)))
+    length = F.size(F.filter("all", lambda t: ~is_stop_word(t))).cast("long").alias("length")
+    forms = _forms(docs, terms, text_col)
+    if forms is not None:
+        counts = [F.size(F.filter("all", _among(own))) if own else F.lit(0) for own in forms.values()]
+        return rows.select("id", length, *[n.cast("long").alias(f"tf{k}") for k, n in enumerate(counts)])
+    starts = sorted({t[0] for t in terms})
     likely = F.filter("all", lambda t: F.substring(t, 1, 1).isin(*starts) & ~is_stop_word(t))
-    rows = rows.select("id", length.cast("long").alias("length"), likely.alias("likely"))
-    hits = stemmed(rows.select("id", F.explode("likely").alias("token"))).where(F.col("stem").isin(*terms))
+    hits = stemmed_distinct(rows.select("id", F.explode(likely).alias("token"))).where(F.col("stem").isin(*terms))
     counted = hits.groupBy("id").agg(*[F.count(F.when(F.col("stem") == t, 1)).alias(f"tf{k}") for k, t in enumerate(terms)])
-    return rows.select("id", "length").join(counted, "id", "left")
+    return rows.select("id", length).join(counted, "id", "left")
 
 
 def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", scored: bool = True) -> DataFrame:

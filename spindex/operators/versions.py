@@ -35,10 +35,12 @@ def kind(version: Column, diffs_per_snapshot: int = 10, base: int = 0) -> Column
     return F.when((version - base - 1) % (diffs_per_snapshot + 1) == 0, "snapshot").otherwise("diff")
 
 
-def get_version(rows: DataFrame, version: int) -> DataFrame:
-    """That version of every log that has it."""
+def get_version(rows: DataFrame, version: int, strict: bool = False) -> DataFrame:
+    """That version of every log that has it; if ``strict``, a log without it is an error."""
     if version < 1:
         raise ValueError("versions count from 1")
+    if strict and not rows.groupBy("log_id").agg(F.max("version").alias("top")).where(F.col("top") < version).isEmpty():
+        raise ValueError(f"a log has no version {version}")
     return rows.where(F.col("version") == version)
 
 
@@ -64,7 +66,9 @@ def encode_chain(rows: DataFrame, diffs_per_snapshot: int = 10) -> DataFrame:
     step = with_previous(rows)
     whole = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     snap = kind(F.col("version"), diffs_per_snapshot) == "snapshot"
-    delta = diffing.create_delta_udf(F.encode(F.coalesce("previous", F.lit("")), "UTF-8"), whole)
+    # a snapshot needs no delta: both sides are empty for it, as a condition doesn't spare a Python function
+    before = F.when(snap, F.lit("")).otherwise(F.coalesce("previous", F.lit("")))
+    delta = diffing.create_delta_udf(F.encode(before, "UTF-8"), F.when(snap, F.lit(b"")).otherwise(whole))
     return step.select("log_id", "version", F.when(snap, SNAPSHOT).otherwise(DELTA).alias("type"), text_hash(F.col("text")).alias("hash"), F.when(snap, whole).otherwise(delta).alias("data"))
 
 
@@ -100,13 +104,22 @@ def decode_chain(chain: DataFrame) -> DataFrame:
 
 
 def tiles(rows: DataFrame, max_bytes: int) -> DataFrame:
-    """log_id, tile, base: tiles of about ``max_bytes`` bytes each; a tile owns the versions above its base up to the next one's.
+    """log_id, tile, base: tiles of at least ``max_bytes`` bytes but for the last; a tile owns the versions above its base up to the next one's.
 
-    A version begins a tile when the bytes before it have passed another multiple of the size.
+    A version begins a tile if the one before it, from its own first version on, has
+    reached the size; so the rule is a fold over each log in order. Only versions and
+    sizes are gathered for it, sixteen bytes each, a log's in one row.
     """
-    size = F.octet_length(F.coalesce("text", F.lit("")))
-    before = F.coalesce(F.sum(size).over(Window.partitionBy("log_id").orderBy("version").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.select("log_id", "version", F.floor(before / F.lit(max_bytes)).alias("tile")).groupBy("log_id", "tile").agg((F.min("version") - 1).alias("base"))
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    sizes = rows.groupBy("log_id").agg(F.array_sort(F.collect_list(F.struct(F.col("version").cast("long").alias("version"), size.alias("size")))).alias("all"))
+    start = F.struct(F.lit(0).cast("long").alias("held"), F.array().cast("array<bigint>").alias("bases"))
+
+    def step(now, x):
+        rolls = (F.size(now["bases"]) == 0) | (now["held"] >= max_bytes)
+        return F.struct((F.when(rolls, 0).otherwise(now["held"]) + x["size"]).alias("held"), F.when(rolls, F.concat(now["bases"], F.array(x["version"] - 1))).otherwise(now["bases"]).alias("bases"))
+
+    folded = sizes.select("log_id", F.aggregate("all", start, step)["bases"].alias("bases"))
+    return folded.select("log_id", F.posexplode("bases").alias("tile", "base")).select("log_id", F.col("tile").cast("long").alias("tile"), "base")
 
 
 def route(rows: DataFrame, tile_rows: DataFrame) -> DataFrame:

@@ -126,7 +126,7 @@ _TXT = {
     "txt_tokens": f"WITH {_tok()} SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM tok GROUP BY token",
     "txt_stem": f"WITH {_tok()} {_stem('(SELECT DISTINCT token FROM tok)')}",
     "txt_tf": f"WITH {_terms()} SELECT doc_id, term, tf, CAST(first_pos AS INTEGER) AS first_pos FROM tf",
-    "txt_first_seen": f"WITH {_terms()} SELECT doc_id, term, tf, place FROM (SELECT doc_id, term, tf, row_number() OVER (PARTITION BY doc_id ORDER BY first_pos) AS place FROM tf) WHERE place <= 3",
+    "txt_first_seen": f"WITH {_terms()} SELECT doc_id, term, tf, place FROM (SELECT doc_id, term, tf, row_number() OVER (PARTITION BY doc_id ORDER BY first_pos) AS place FROM tf)",
     "txt_bm25": _bm25(TERMS),
     "txt_bm25_ids": _bm25(TERMS, scored=False),
     "txt_require_all": f"WITH {_terms()} SELECT doc_id FROM tf WHERE term IN ({", ".join(repr(t) for t in ALL_TERMS)}) GROUP BY doc_id HAVING count(*) = 3",
@@ -148,7 +148,12 @@ _VERSIONS = {
     "ver_number": "SELECT conv_id AS log_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS version, text FROM conversations",
     "ver_get": f"WITH {_VER} SELECT * FROM v WHERE version = 3",
     "ver_current": f"WITH {_VER} SELECT log_id, max(version) AS version, arg_max(text, version) AS text FROM v GROUP BY log_id",
-    "ver_tile_route": f"WITH {_VER} SELECT log_id, version, CAST(coalesce(sum(strlen(coalesce(text, ''))) OVER (PARTITION BY log_id ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 300 AS BIGINT) AS tile FROM v",
+    "ver_tile_route": f"""
+WITH RECURSIVE {_VER}, s AS (SELECT log_id, version, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size FROM v),
+r AS (SELECT log_id, version, size AS held, CAST(0 AS BIGINT) AS tile FROM s WHERE version = 1
+  UNION ALL SELECT s.log_id, s.version, CASE WHEN r.held >= 300 THEN s.size ELSE r.held + s.size END, CASE WHEN r.held >= 300 THEN r.tile + 1 ELSE r.tile END
+  FROM r JOIN s ON s.log_id = r.log_id AND s.version = r.version + 1)
+SELECT log_id, version, tile FROM r""",
     "ver_patch_roundtrip": f"WITH {_VER} SELECT log_id, version, sha256(coalesce(text, '')) AS hash FROM v",
     "ver_delta_roundtrip": f"WITH {_VER} SELECT log_id, version, sha256(coalesce(text, '')) AS hash, true AS ok FROM v",
 }

@@ -230,7 +230,7 @@ def txt_tf(s, d):
 
 @query
 def txt_first_seen(s, d):
-    return fulltext.term_positions(b.read(s, d, "documents")).where("place <= 3").withColumn("place", F.col("place").cast("long"))
+    return fulltext.term_positions(b.read(s, d, "documents")).withColumn("place", F.col("place").cast("long"))
 
 
 def _scored(df: DataFrame) -> DataFrame:
@@ -378,7 +378,8 @@ def wal_compact(s, d):
 
 @query
 def wal_term_at(s, d):
-    return b.entries(s, d).where("index in (1, 100, 101, 950)").select("index", "term")
+    log = b.entries(s, d)
+    return s.createDataFrame([(i, entrylog.term_at(log, i)) for i in (1, 100, 101, 950)], "index long, term long")
 
 
 @query
