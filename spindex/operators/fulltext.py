@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindex.functions.text import is_stop_word, stemmed, stemmed_distinct, token_array, tokens
+from spindex.sources.store import APPLIED
 from spindex.sources.tables import Namespace
 
 K1, B = 1.2, 0.75
@@ -111,7 +112,7 @@ def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "t
     if not terms:
         out = docs.select(F.col(f"`{id_col}`"), F.lit(0.0).alias("score")).limit(0)
         return out if scored else out.drop("score")
-    rows = _term_counts(docs, terms, id_col, text_col)
+    rows = _term_counts(docs, terms, id_col, text_col).persist()  # a few numbers a document, read for the totals and for the scores
     tf = [F.coalesce(f"tf{k}", F.lit(0)) for k in range(len(terms))]
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"), *[F.count(F.when(f > 0, 1)).alias(f"df{k}") for k, f in enumerate(tf)])
     both = rows.where(sum(tf) > 0).crossJoin(F.broadcast(totals))  # one row
@@ -138,43 +139,64 @@ def require_all(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: s
 
 
 class TextIndex:
-    """Postings and lengths written as tables, the postings range-partitioned and sorted by term."""
+    """Postings and lengths, the postings range-partitioned and sorted by term, as two parts of one versioned table.
+
+    Every change commits both at once, together with the index of the log entry it
+    applies, if one is given.
+    """
 
     def __init__(self, space: Namespace, name: str = "text"):
         self.space, self.name = space, name
+        self.stored = space.store(name)
 
     def _table(self, part: str) -> DataFrame:
-        return self.space.read(f"{self.name}-{part}")
+        return self.stored.read(part)
 
-    def build(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> TextIndex:
-        """Replaces the index; null ids are refused by leaving them out, and ids are strings."""
-        own = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"))
-        listed = postings(own, "id", "text").select("id", "term", "tf")
-        self.space.write(f"{self.name}-postings", listed.repartitionByRange("term").sortWithinPartitions("term", "id"))
-        self.space.write(f"{self.name}-lengths", lengths(own, "id", "text").repartitionByRange("id").sortWithinPartitions("id"))
+    @property
+    def applied_index(self) -> int:
+        return self.stored.applied_index
+
+    def _commit(self, listed: DataFrame, sizes: DataFrame, base: dict, applied: int | None) -> TextIndex:
+        parts = {"postings": listed.repartitionByRange("term").sortWithinPartitions("term", "id"), "lengths": sizes.repartitionByRange("id").sortWithinPartitions("id")}
+        self.stored.commit(replace=parts, values={} if applied is None else {APPLIED: applied}, base=base)
         return self
 
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> TextIndex:
-        """Adds documents; those already there are replaced."""
+    def _own(self, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
         own = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"))
-        self._keep(own, postings(own, "id", "text").select("id", "term", "tf"), lengths(own, "id", "text"))
-        return self
+        return own, postings(own, "id", "text").select("id", "term", "tf"), lengths(own, "id", "text")
 
-    def remove(self, ids: DataFrame, id_col: str = "doc_id") -> TextIndex:
+    def build(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", applied: int | None = None) -> TextIndex:
+        """Replaces the index; null ids are refused by leaving them out, and ids are strings."""
+        base = self.stored.state()
+        return self._commit(*self._own(docs, id_col, text_col)[1:], base, applied)
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", applied: int | None = None) -> TextIndex:
+        """Adds documents; those already there are replaced."""
+        return self._keep(*self._own(docs, id_col, text_col), applied)
+
+    def remove(self, ids: DataFrame, id_col: str = "doc_id", applied: int | None = None) -> TextIndex:
         """Removes the listed ids; absent ones change nothing."""
-        self._keep(ids.select(F.col(f"`{id_col}`").cast("string").alias("id")), None, None)
-        return self
+        return self._keep(ids.select(F.col(f"`{id_col}`").cast("string").alias("id")), None, None, applied)
 
-    def _keep(self, gone: DataFrame, more_postings: DataFrame | None, more_lengths: DataFrame | None) -> None:
-        for part, key, more in (("postings", "term", more_postings), ("lengths", "id", more_lengths)):
+    def _keep(self, gone: DataFrame, more_postings: DataFrame | None, more_lengths: DataFrame | None, applied: int | None) -> TextIndex:
+        base, out = self.stored.state(), []
+        for part, more in (("postings", more_postings), ("lengths", more_lengths)):
             rest = self._table(part).join(gone.select("id").distinct(), "id", "left_anti")
-            rest = rest.unionByName(more) if more is not None else rest
-            self.space.write(f"{self.name}-{part}", rest.repartitionByRange(key).sortWithinPartitions(key))
-
-    def clear(self) -> TextIndex:
-        for part in ("postings", "lengths"):
-            self.space.write(f"{self.name}-{part}", self._table(part).limit(0))
-        return self
+            now = self._table(part).columns
+            out.append(rest.select(now).unionByName(more) if more is not None else rest.select(now))
+        return self._commit(*out, base, applied)
+
+    def clear(self, applied: int | None = None) -> TextIndex:
+        base = self.stored.state()
+        return self._commit(self._table("postings").limit(0), self._table("lengths").limit(0), base, applied)
+
+    def compact(self) -> dict[str, int]:
+        """Writes both parts anew, drops earlier states; returns sizes in bytes before and after."""
+        base, old = self.stored.state(), self.stored.size_in_bytes()
+        self._commit(self._table("postings"), self._table("lengths"), base, None)
+        self.stored.vacuum()
+        new = self.stored.size_in_bytes()
+        return {"oldSize": old, "newSize": new, "bytesSaved": max(0, old - new)}
 
     def query(self, text: str, require_all: bool = False, scored: bool = True) -> DataFrame:
         """As ``bm25`` and ``require_all``, from the postings of the query's terms."""

@@ -108,10 +108,15 @@ def remove_located(points: DataFrame, object_id: str, lat: float, lng: float, or
     return points.join(gone, ["object_id", order_col], "left_anti").select(points.columns)
 
 
+def clustered(points: DataFrame, degrees: float = 5.0) -> DataFrame:
+    """The points range-partitioned and sorted by cell."""
+    celled = points.withColumn("_y", _cell(F.col("lat"), degrees)).withColumn("_x", _cell(F.col("lng"), degrees))
+    return celled.repartitionByRange("_y", "_x").sortWithinPartitions("_y", "_x", "lat", "lng").drop("_y", "_x")
+
+
 def compact(points: DataFrame, path: str, degrees: float = 5.0) -> dict[str, int]:
     """Writes the points clustered by cell; returns sizes in bytes before and after."""
     old = dir_size(points)
-    celled = points.withColumn("_y", _cell(F.col("lat"), degrees)).withColumn("_x", _cell(F.col("lng"), degrees))
-    replace_table(celled.repartitionByRange("_y", "_x").sortWithinPartitions("_y", "_x", "lat", "lng").drop("_y", "_x"), path)
+    replace_table(clustered(points, degrees), path)
     new = dir_size(points.sparkSession.read.parquet(path))
     return {"oldSize": old, "newSize": new, "bytesSaved": max(0, old - new)}

@@ -1,4 +1,4 @@
-"""Where tables live: named Parquet directories replaced as a whole."""
+"""Where tables live: named versioned tables, and plain Parquet folders."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindex.sources.store import Store
+
 
 def _path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -24,21 +26,26 @@ def dir_size(df: DataFrame) -> int:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes beside the old table and swaps by rename, so a reader finds one of them whole."""
+    """Writes a plain Parquet folder beside the old one and puts it in its place.
+
+    Between the two renames there is neither; tables that are read meanwhile belong in a
+    ``Store`` (see ``Namespace``), whose commits leave no such gap.
+    """
     spark = df.sparkSession
     fs, target, make = _path(spark, path)
     staging = f"{path}.staging-{uuid.uuid4().hex}"
     df.write.parquet(staging)
     old = make(f"{path}.old-{uuid.uuid4().hex}")
-    if fs.exists(target):
-        fs.rename(target, old)
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"can't move the table at {path}")
     if not fs.rename(make(staging), target):
+        fs.rename(old, target)
         raise OSError(f"can't put the new table at {path}")
     fs.delete(old, True)
 
 
 class Namespace:
-    """Tables by name under a root; names are single path parts."""
+    """Versioned tables by name under a root; names are single path parts. A plain Parquet folder is read as well."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -52,9 +59,13 @@ class Namespace:
         fs, p, _ = _path(self.spark, self.path(name))
         return fs.exists(p)
 
+    def store(self, name: str) -> Store:
+        return Store(self.spark, self.path(name))
+
     def read(self, name: str, expected: str | None = None) -> DataFrame:
         """The table; with ``expected`` (column names and types in DDL) another schema is refused."""
-        df = self.spark.read.parquet(self.path(name))
+        store = self.store(name)
+        df = store.read() if store.exists() else self.spark.read.parquet(store.path)
         if expected is not None:
             want = {f.name: f.dataType for f in self.spark.createDataFrame([], expected).schema.fields}
             if want != {f.name: f.dataType for f in df.schema.fields}:
@@ -62,7 +73,8 @@ class Namespace:
         return df
 
     def write(self, name: str, df: DataFrame) -> None:
-        replace_table(df, self.path(name))
+        """Replaces the table; earlier states stay for readers that began with them, until ``vacuum``."""
+        self.store(name).commit(replace={"rows": df})
 
     def remove(self, name: str) -> bool:
         fs, p, _ = _path(self.spark, self.path(name))

@@ -1,8 +1,8 @@
 """Applying a stream of log entries to a table exactly once.
 
-Each batch is written as a folder of its own together with the last index applied, and
-a batch that comes again overwrites its own folder, so replays after a crash change
-nothing. Entries at or below the index applied by earlier batches are skipped.
+Each batch is one commit that adds its operations and records the last index applied
+and the batch's own number, so a batch that comes again after a crash is known and
+changes nothing, and what a batch has to look up doesn't grow with the stream.
 """
 
 from __future__ import annotations
@@ -12,38 +12,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindex.sources.store import APPLIED
 from spindex.sources.tables import Namespace
 
 
 class Applier:
-    """A ``foreachBatch`` sink that folds (index, key, op, value) entries into operation-log batches."""
+    """A ``foreachBatch`` sink that adds (index, key, op, value) entries to an operation log.
 
-    def __init__(self, space: Namespace, name: str):
-        self.space, self.name = space, name
+    Entries at or below the index applied are skipped; of several of one index the one
+    of the smallest hash is taken.
+    """
 
-    def _names(self) -> list[str]:
-        return [n for n in self.space.names() if n.startswith(f"{self.name}-batch-") and "." not in n]
+    def __init__(self, space: Namespace, name: str):
+        self.store = space.store(name)
 
-    def applied_index(self, before_batch: int | None = None) -> int:
-        """The last index applied, 0 for none; with a batch id, by earlier batches only."""
-        top = 0
-        for n in self._names():
-            if before_batch is None or int(n.rsplit("-", 1)[1]) < before_batch:
-                found = self.space.read(n).agg(F.max("index")).first()[0]
-                top = max(top, found or 0)
-        return top
+    def applied_index(self) -> int:
+        """The last index applied, 0 for none."""
+        return self.store.applied_index
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.where(F.col("index") > self.applied_index(batch_id)).dropDuplicates(["index"])
-        self.space.write(f"{self.name}-batch-{batch_id}", fresh)
+        base = self.store.state()
+        if batch_id <= base["values"].get("batch", -1):
+            return
+        applied = base["values"].get(APPLIED, 0)
+        rest = [c for c in batch.columns if c != "index"]
+        fresh = batch.where(F.col("index") > applied).groupBy("index").agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("x")).select("index", "x.*")
+        top = fresh.agg(F.max("index")).first()[0]
+        self.store.commit(append={"log": fresh}, values={APPLIED: top or applied, "batch": batch_id}, base=base)
 
     def log(self) -> DataFrame | None:
         """All applied operations as a log (key, seq, op, value)."""
-        out = None
-        for n in self._names():
-            df = self.space.read(n).select("key", F.col("index").alias("seq"), "op", "value")
-            out = df if out is None else out.unionByName(df)
-        return out
+        if not self.store.exists():
+            return None
+        return self.store.read("log").select("key", F.col("index").alias("seq"), "op", "value")
+
+    def compact(self) -> None:
+        """Writes the batches as one folder."""
+        base = self.store.state()
+        self.store.commit(replace={"log": self.store.read("log").repartitionByRange("index")}, base=base)
+        self.store.vacuum()
 
 
 def tail(spark: SparkSession, path: str, schema: str, max_bytes: int = 65536) -> DataFrame:
