@@ -1,11 +1,12 @@
-"""Command line: key/value, point, text and version tables in Parquet.
+"""Command line: key/value, point, text and version tables.
 
-    python -m spindex.cli kv TABLE list|get KEY|range LOW HIGH|info [-s]
-    python -m spindex.cli points TABLE list|box S N W E|radius LAT LNG KM|nearest LAT LNG K|info
-    python -m spindex.cli text ROOT query WORDS [--ids] [--all]|info
-    python -m spindex.cli versions TABLE list LOG|get LOG V|hash LOG V|diff LOG FROM TO|info
+    python -m spindex.cli kv TABLE list|get KEY|range LOW HIGH|info|put KEY VALUE|delete KEY|compact [-s]
+    python -m spindex.cli points TABLE list|box S N W E|radius LAT LNG KM|nearest LAT LNG K|info|insert ID LAT LNG|remove ID|clear|compact
+    python -m spindex.cli text ROOT query WORDS [--ids] [--all]|info|list|add ID WORDS|remove ID|clear|compact
+    python -m spindex.cli versions TABLE list LOG|get LOG V|hash LOG V|diff LOG FROM TO|info|add LOG TEXT
 
-Rows are printed as JSON lines; nothing found ends with status 1.
+Tables are versioned ones, made by the first change, or plain Parquet folders to read
+from. Rows are printed as JSON lines; nothing found ends with status 1.
 """
 
 from __future__ import annotations
@@ -20,9 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindex.functions import diffing
+from spindex.functions.guards import stored_key
 from spindex.operators import spatial, versions
 from spindex.operators.fulltext import TextIndex
 from spindex.operators.kv import KVTable
+from spindex.operators.stored import KVStore, PointStore, VersionStore
+from spindex.sources.store import Store
 from spindex.sources.tables import Namespace
 
 
@@ -47,13 +51,65 @@ def distance(word: str) -> float:
     return value
 
 
+def change(spark: SparkSession, kind: str, table: str, command: str, words: list[str], as_string: bool = False) -> DataFrame:
+    """Makes a change and returns one row that says what was done."""
+    said: dict[str, int] = {}
+    if kind == "kv":
+        made = KVStore(spark, table) if Store(spark, table).exists() else KVStore.create(spark, table, "string" if as_string else "double")
+        if command == "compact":
+            said = made.compact()
+        else:
+            keys = made.store.read("log").schema["key"].dataType.simpleString()
+            key = stored_key(key_of(words[0], keys == "string"))
+            row = spark.createDataFrame([(key if keys == "string" else float(key), words[1] if command == "put" else None)], "key string, value string" if keys == "string" else "key double, value string")
+            made.put(row) if command == "put" else made.delete(row)
+    elif kind == "points":
+        points = PointStore(spark, table)
+        if command == "insert":
+            points.insert(spark.createDataFrame([(words[0], degrees(words[1], 90), degrees(words[2], 180))], "object_id string, lat double, lng double"))
+        elif command == "remove":
+            points.remove(spark.createDataFrame([(words[0],)], "object_id string"))
+        elif command == "clear":
+            points.clear()
+        else:
+            said = points.compact()
+    elif kind == "text":
+        index = TextIndex(Namespace(spark, table))
+        docs = spark.createDataFrame([(words[0] if words else None, " ".join(words[1:]))], "doc_id string, text string")
+        if command == "add":
+            index.add(docs) if index.stored.exists() else index.build(docs)
+        elif command == "remove":
+            index.remove(docs)
+        elif command == "clear":
+            index.clear()
+        else:
+            said = index.compact()
+    else:
+        VersionStore(spark, table).add(spark.createDataFrame([(int(words[0]), " ".join(words[1:]), 1)], "log_id long, text string, seq int"))
+    return spark.createDataFrame([(command, *said.values())], ", ".join(["done string", *(f"{k} long" for k in said)]))
+
+
+def rows_of(spark: SparkSession, kind: str, table: str) -> DataFrame:
+    store = Store(spark, table)
+    if not store.exists():
+        return spark.read.parquet(table)
+    return KVStore(spark, table).table().rows if kind == "kv" else store.read().drop("seq")
+
+
+CHANGES = {"kv": {"put", "delete", "compact"}, "points": {"insert", "remove", "clear", "compact"}, "text": {"add", "remove", "clear", "compact"}, "versions": {"add"}}
+
+
 def answer(spark: SparkSession, kind: str, table: str, command: str, words: list[str], as_string: bool = False, ids: bool = False, every: bool = False) -> DataFrame:
+    if command in CHANGES[kind]:
+        return change(spark, kind, table, command, words, as_string)
     if kind == "text":
         index = TextIndex(Namespace(spark, table))
+        if command == "list":
+            return index.stored.read("lengths").orderBy("id")
         if command == "query":
             return index.query(" ".join(words), require_all=every, scored=not (ids or every))
         return spark.createDataFrame([(index.document_count(), index.term_count())], "documents long, terms long")
-    rows = spark.read.parquet(table)
+    rows = rows_of(spark, kind, table)
     if command == "info":
         return rows.agg(F.count(F.lit(1)).alias("size"))
     if kind == "kv":
@@ -83,7 +139,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     parser.add_argument("kind", choices=["kv", "points", "text", "versions"])
     parser.add_argument("table")
-    parser.add_argument("command", choices=["list", "get", "range", "info", "box", "radius", "nearest", "query", "hash", "diff"])
+    parser.add_argument("command", choices=["list", "get", "range", "info", "box", "radius", "nearest", "query", "hash", "diff", "put", "delete", "insert", "remove", "add", "clear", "compact"])
     parser.add_argument("words", nargs="*")
     parser.add_argument("-s", "--string", action="store_true")
     parser.add_argument("--ids", action="store_true")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder that spark.checkpoint.dir names; in a temporary one where it is unset, as in tests."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return f"{root or tempfile.mkdtemp(prefix='spindex-')}/stored-{uuid.uuid4().hex}"
+
+
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key, seq, op, value: an error event deletes its user's value, any other sets it."""
     return read(spark, sf_dir, EVENTS).select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("put").alias("op"), "value")

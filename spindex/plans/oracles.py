@@ -203,4 +203,17 @@ _SNAP = {
     "snap_next_gen": f"WITH {_C} SELECT coalesce(max(generation), 0) + 1 AS next_generation FROM g",
 }
 
-ORACLES: dict[str, str] = {**_KV, **_GEO, **_TXT, **_VERSIONS, **_WAL, **_SNAP}
+# stored tables
+
+_HIT = _bm25(TERMS, "(SELECT * FROM documents WHERE doc_id % 4 <> 1)")
+_STORED = {
+    "kv_key_dates": "SELECT o_orderkey, '038' || lpad(to_hex(epoch_ms(o_orderdate)), 15, '0') AS key FROM orders",
+    "kv_stored": "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 7 = 0 THEN 'changed' ELSE o_orderpriority END AS value, CAST(9 AS BIGINT) AS applied_index FROM orders WHERE o_orderkey % 5 <> 0",
+    "geo_stored": f"SELECT p.*, CAST(3 AS BIGINT) AS applied_index FROM {_points()} p WHERE CAST(object_id AS BIGINT) NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT object_id, lat / 2, lng, 3 FROM {_points('supplier', 's_suppkey')}",
+    "txt_stored": f"SELECT CAST(doc_id AS VARCHAR) AS id, score, CAST(7 AS BIGINT) AS applied_index FROM ({_HIT})",
+    "ver_stored": "SELECT conv_id AS log_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS version, text FROM conversations",
+    "wal_stored": "SELECT index, CASE WHEN index = 91 THEN 3 ELSE 1 + (index - 1) // 40 END AS term, CASE WHEN index = 91 THEN 'again' ELSE 'entry ' || (index - 1) END AS payload, CAST(10 AS BIGINT) AS base_index, CAST(91 AS BIGINT) AS last_index, CAST(60 AS BIGINT) AS commit_index, CAST(1 AS BIGINT) AS voted_for FROM (SELECT unnest(generate_series(11, 91)) AS index)",
+    "stream_applied": f"WITH {_OPS} SELECT *, (SELECT max(event_id) + 1 FROM events) AS applied_index FROM ({_fold()})",
+}
+
+ORACLES: dict[str, str] = {**_STORED, **_KV, **_GEO, **_TXT, **_VERSIONS, **_WAL, **_SNAP}

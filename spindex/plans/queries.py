@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from spindex.functions import diffing, geo, keys, text
 from spindex.operators import entrylog, fulltext, kv, snapshots, spatial
 from spindex.operators import versions as ver
+from spindex.operators.stored import EntryLog, KVStore, PointStore, VersionStore
 from spindex.plans import bindings as b
-from spindex.sources.tables import file_checksums
+from spindex.sources.tables import Namespace, file_checksums
+from spindex.streaming.apply import Applier
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -389,6 +391,82 @@ def wal_hard_state(s, d):
     return entrylog.vote_history(asks)
 
 
+@query
+def kv_key_dates(s, d):
+    """The byte form of a date, in hexadecimal digits."""
+    millis = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    return b.read(s, d, "orders").select("o_orderkey", F.hex(keys.long_part_column(millis, b"\x03")).alias("key"))
+
+
+@query
+def kv_stored(s, d):
+    """Orders put, some replaced and some deleted, each change a commit; the live rows and the last entry applied."""
+    rows = b.read(s, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("value"))
+    made = KVStore.create(s, b.scratch(s))
+    made.put(rows, applied=3)
+    made.put(rows.where("key % 7 = 0").withColumn("value", F.lit("changed")), applied=4)
+    made.delete(rows.where("key % 5 = 0").select("key"), applied=9)
+    made.compact()
+    return made.table().rows.withColumn("applied_index", F.lit(made.store.applied_index).cast("long"))
+
+
+@query
+def geo_stored(s, d):
+    """Points inserted twice and removed once, cleared, and the state before that called back."""
+    made = PointStore(s, b.scratch(s))
+    made.insert(b.points(s, d), applied=1)
+    made.insert(b.points(s, d, "supplier", "s_suppkey").withColumn("lat", F.col("lat") / 2), applied=2)
+    made.remove(b.points(s, d, "supplier", "s_suppkey").select("object_id"), applied=3)
+    held = made.store.versions()[-1]
+    made.clear(applied=4)
+    made.rewind(held)
+    return made.points().select("object_id", "lat", "lng", F.lit(made.store.applied_index).cast("long").alias("applied_index"))
+
+
+@query
+def txt_stored(s, d):
+    """BM25 from stored postings after documents were removed."""
+    docs = b.read(s, d, "documents")
+    index = fulltext.TextIndex(Namespace(s, b.scratch(s))).build(docs)
+    index.remove(docs.where("doc_id % 4 = 1").select("doc_id"), applied=7)
+    return _scored(index.query(WORDS)).withColumn("applied_index", F.lit(index.applied_index).cast("long"))
+
+
+@query
+def ver_stored(s, d):
+    """Versions added in two changes are numbered on."""
+    turns = b.read(s, d, "conversations").select(F.col("conv_id").alias("log_id"), "text", F.col("turn").alias("seq"))
+    made = VersionStore(s, b.scratch(s))
+    made.add(turns.where("seq < 2"))
+    made.add(turns.where("seq >= 2"))
+    return made.rows()
+
+
+@query
+def wal_stored(s, d):
+    """A stored log: appends, a cut, a vote, a commit, and compaction, each refused where it must be."""
+    log = EntryLog(s, b.scratch(s))
+    log.set_hard_state(3, 1)
+    log.append([(1 + i // 40, f"entry {i}") for i in range(100)])
+    log.truncate_from(91)
+    log.append([(3, "again")])
+    log.set_commit_index(60)
+    log.compact(10, 1)
+    now = log.state
+    return log.live().select("index", "term", "payload", *[F.lit(getattr(now, c)).cast("long").alias(c) for c in ("base_index", "last_index", "commit_index", "voted_for")])
+
+
+@query
+def stream_applied(s, d):
+    """Batches of entries, some overlapping and one replayed, applied once each."""
+    entries = b.operations(s, d).select((F.col("seq") + 1).alias("index"), "key", "op", "value")
+    sink = Applier(Namespace(s, b.scratch(s)), "log")
+    for number, (low, high) in enumerate([(0, 400), (0, 700), (0, 700), (650, 1 << 40)]):
+        sink(entries.where(f"index > {low} and index <= {high}"), min(number, 2))
+    sink(entries.where("index > 650"), 3)
+    return kv.fold(sink.log()).withColumn("applied_index", F.lit(sink.applied_index()).cast("long"))
+
+
 @query
 def snap_classify(s, d):
     return snapshots.classify(b.listing(s), b.PREFIX)

@@ -95,3 +95,28 @@ def test_entry_log_refuses_and_recovers(spark, tmp_path):
     again.compact(2, 2)
     assert again.live().count() == 0 and (again.state.base_index, again.state.commit_index) == (2, 2)
     assert again.append([(2, "e")]) == 3 and again.live().count() == 1
+
+
+def test_changes_by_command_line(spark, tmp_path, capsys):
+    from spindex.cli import main
+
+    def run(*args):
+        code = main(list(args), spark)
+        return code, capsys.readouterr().out
+
+    t = {k: str(tmp_path / k) for k in ("kv", "points", "text", "versions")}
+    for words in (["put", "5", "five"], ["put", "6", "six"], ["put", "5", "fünf"], ["delete", "6"], ["compact"]):
+        assert run("kv", t["kv"], *words)[0] == 0
+    assert "fünf" in run("kv", t["kv"], "get", "5")[1] and run("kv", t["kv"], "get", "6")[0] == 1
+    for words in (["insert", "a", "10", "20"], ["insert", "b", "11", "21"], ["remove", "a"], ["compact"]):
+        assert run("points", t["points"], *words)[0] == 0
+    assert run("points", t["points"], "list")[1].count("object_id") == 1
+    assert run("points", t["points"], "insert", "c", "91", "0")[0] == 2
+    run("points", t["points"], "clear")
+    assert run("points", t["points"], "list")[0] == 1
+    for words in (["add", "d1", "running", "foxes"], ["add", "d2", "a", "fox"], ["remove", "d1"], ["compact"]):
+        assert run("text", t["text"], *words)[0] == 0
+    assert "d2" in run("text", t["text"], "query", "foxes")[1] and '"d1"' not in run("text", t["text"], "list")[1]
+    run("versions", t["versions"], "add", "1", "one", "text")
+    run("versions", t["versions"], "add", "1", "other", "text")
+    assert "other text" in run("versions", t["versions"], "get", "1", "2")[1]
