@@ -10,21 +10,19 @@ functions in a ring give five keys to each passage: two passages of similarity 0
 one unless no neighbouring two of five minima agree (once in thirty), equal ones share
 all five.
 
-Documents that share a key are joined to the smallest of them, the key's hub, not to
-each other, and verified on the shingles: a document's passage is a repeat if enough of
-its shingles lie in the partner for a Jaccard similarity of ``percent``. Whether a
-passage is one depends on its own shingles and the hub alone, so of two documents with
-the same passage under a key the hub confirms both or neither. Passages under a shared
-key that the hub doesn't confirm go on to a second round, place by place, with their
-whole shingle sequence and the key together with one of two further minima as new keys;
-so no exactly repeated passage is lost, whatever phrase its keys share with others.
+Documents that share a key with its smallest, the key's hub, form the hub's block. Within
+a block all documents are compared with each other, not with the hub alone: a document's
+passage is a repeat if enough of its shingles lie in the partner for a Jaccard similarity
+of ``percent``. So every two documents that share a key are verified, whatever phrase
+they share with others, and an exactly repeated passage is always found. A block is sent
+once, or, where it is large, as pairs of shards, so no task holds more than two shards; a
+pair that lies in several blocks is verified in that of the smallest hub alone.
 Exact copies are one document throughout.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +30,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindex.llm import textvec
-from spindex.llm.common import arrow_map, discard, saved, text_bytes, without
+from spindex.llm.common import arrow_map, discard, give_back, saved, text_bytes, without
 from spindex.llm.graph import components
-from spindex.llm.neardup import shingles_of, with_both
+from spindex.llm.neardup import shingles_of
 
 U64 = np.uint64
 WIDTH = 5
@@ -45,8 +43,10 @@ _UNSCRAMBLE = U64(pow(0x9E3779B, -1, 1 << 28))
 _SEEDS = [U64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377)]
 #: A key is hot if so many documents of a sample, one in ``SAMPLED`` by the hash of the id, hold it; the most of them that are told from others.
 SAMPLED, HOT, MOST_HOT = 64, 100, 100_000
-#: Pairs of one hub that one task verifies, about; a hub's shingles are sent once for as many.
-HUB_PAIRS = 500
+#: Words and documents of a block, about, beyond which it is split into shards and sent as pairs of them.
+SHARD_WORDS, SHARD_ROWS = 2_000_000, 4_000
+#: Documents in blocks whose hubs may be broadcast to their shingles; beyond that both are joined by a shuffle.
+MOST_MEMBERS = 500_000
 SKETCH = "doc_id long, n_words long, h0 long, h1 long, keys array<long>"
 
 
@@ -128,35 +128,6 @@ def window_keys(hashes: np.ndarray, first: np.ndarray, least: int) -> tuple[np.n
     return _distinct(np.searchsorted(first, at, side="right") - 1, np.concatenate([g[1] for g in got]))
 
 
-def unconfirmed_keys(hashes: np.ndarray, first: np.ndarray, least: int, confirmed: np.ndarray, shared: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and finer key of the passages under a key of ``shared`` that aren't ``confirmed`` (a flag a place).
-
-    ``shared`` are the keys that a row has in common with its partner, ``bounds`` each row's first one (n + 1).
-    """
-    got = overlaid(hashes, first, least)
-    rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
-    with np.errstate(over="ignore"):
-        own = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)).astype(U64)
-        wanted = np.unique(textvec.mix(shared + textvec.mix(own)))
-        row_of = np.searchsorted(first, np.arange(len(hashes)), side="right") - 1
-        open_ = np.flatnonzero((np.arange(len(hashes)) <= np.repeat(first[1:] - least, np.diff(first))) & ~confirmed)
-        if not len(open_):
-            return rows[0], keys[0]
-        at_key = [key[np.searchsorted(low, open_, side="right") - 1] for low, key in got]
-        row = row_of[open_]
-        salt = textvec.mix(row.astype(U64))
-        whole = textvec.block_hashes(hashes, open_, least)
-        any_ = np.zeros(len(open_), bool)
-        for k, key in enumerate(at_key):
-            hit = np.isin(textvec.mix(key + salt), wanted)
-            any_ |= hit
-            rows.append(row[hit])
-            keys.append(textvec.mix(key[hit] * U64(7) + at_key[(k + 2) % len(at_key)][hit]))
-        rows.append(row[any_])
-        keys.append(whole[any_])
-    return _distinct(np.concatenate(rows), np.concatenate(keys))
-
-
 def _sketches(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
     def run(batch: pa.RecordBatch):
         buf, off = textvec.binary_column(batch.column(1))
@@ -172,18 +143,6 @@ def _sketches(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFr
     return arrow_map(text_bytes(docs, id_col, text_col), run, SKETCH)
 
 
-def repeated_starts(own: np.ndarray, other: np.ndarray, least: int, wanted: int) -> np.ndarray:
-    """A flag for each shingle of ``own``: whether of the ``least`` from it on at least ``wanted`` lie in ``other``."""
-    out = np.zeros(len(own), bool)
-    if len(own) < least or not len(other):
-        return out
-    known = np.unique(other)
-    k = np.minimum(np.searchsorted(known, own), len(known) - 1)
-    total = np.concatenate([[0], np.cumsum(known[k] == own)])
-    out[: len(own) - least + 1] = total[least:] - total[:-least] >= wanted
-    return out
-
-
 def spans_of(repeated: np.ndarray, least: int) -> str:
     """The words of all repeated passages, as "start:end,..."; passages that touch are one span."""
     begin = np.flatnonzero(repeated)
@@ -205,33 +164,116 @@ def _encode(buf: np.ndarray, off: np.ndarray) -> list[bytes]:
     return [low[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, least: int, wanted: int) -> DataFrame:
-    """For each pair (a, b, keys): the spans of either side, empty if there is no common passage, and finer keys of what of ``b`` under ``keys`` isn't confirmed."""
-    both = with_both(pairs, texts, HUB_PAIRS).select("a", "b", "keys", "sa", "sb")
-    names = ["a", "b", "spans_a", "spans_b", "open"]
+class Block:
+    """Documents to be compared with each other: ids, shingles, hubs of each, shards, and the documents each stands for."""
+
+    def __init__(self, ids: np.ndarray, shingles: list[np.ndarray], hubs: list[np.ndarray], shard: np.ndarray, copies: np.ndarray):
+        self.ids, self.node = np.unique(ids, return_inverse=True)
+        self.shingles, self.hubs, self.shard = shingles, hubs, shard
+        self.copies = np.zeros(len(self.ids), np.int64)
+        self.copies[self.node] = copies
+
+    def allowed(self, hub: int, across: bool) -> np.ndarray:
+        """A matrix of the rows that are compared here: of different ids, of different shards if ``across``, and without a smaller hub in common."""
+        out = self.node[:, None] != self.node
+        if across:
+            out &= self.shard[:, None] != self.shard
+        row = np.repeat(np.arange(len(self.hubs)), [len(h) for h in self.hubs])
+        other = np.concatenate(self.hubs)
+        row, other = row[other < hub], other[other < hub]
+        by = np.argsort(other, kind="stable")
+        row, other = row[by], other[by]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(other)) + 1, [len(other)]])
+        for k in np.flatnonzero(np.diff(cuts) > 1):
+            same = row[cuts[k] : cuts[k + 1]]
+            out[np.ix_(same, same)] = False
+        return out
 
-    def run(batch: pa.RecordBatch):
-        sizes = np.array([len(batch.column(4)[r].as_buffer()) // 4 for r in range(batch.num_rows)], np.int64)
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        for i, j in textvec.chunks(ends, textvec.CHUNK_BYTES // 4):
-            shown: list[list[str]] = [[], []]
-            flags, held = [], []
-            for r in range(i, j):
-                p, q = (np.frombuffer(batch.column(c)[r].as_buffer(), np.uint32) for c in (3, 4))
-                x, y = repeated_starts(p, q, least, wanted), repeated_starts(q, p, least, wanted)
-                shown[0].append(spans_of(x, least))
-                shown[1].append(spans_of(y, least))
-                flags.append(y)
-                held.append(q)
-            keys = batch.column(2).slice(i, j - i)
-            bounds = keys.offsets.to_numpy().astype(np.int64)
-            shared = keys.values.to_numpy(zero_copy_only=False).astype(np.int64).view(U64)[bounds[0] : bounds[-1]]
-            first = ends[i : j + 1] - ends[i]
-            row, key = unconfirmed_keys(np.concatenate(held).astype(U64), first, least, np.concatenate(flags), shared, bounds - bounds[0])
-            cuts = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in (0, 1)), *(pa.array(s, pa.string()) for s in shown), pa.ListArray.from_arrays(pa.array(cuts), pa.array(key.view(np.int64)))], names)
-
-    return arrow_map(both, run, "a long, b long, spans_a string, spans_b string, open array<long>")
+    def links(self, hub: int, across: bool, least: int, wanted: int) -> list[tuple[int, int, str, int]]:
+        """(node, number of linked documents, spans, smallest node reachable here) of each row that is linked."""
+        allow = self.allowed(hub, across)
+        if not allow.any():
+            return []
+        size = np.array([len(x) for x in self.shingles])
+        first = np.concatenate([[0], np.cumsum(size)])
+        kinds, code = np.unique(np.concatenate(self.shingles), return_inverse=True)
+        row = np.repeat(np.arange(len(size)), size)
+        whole = np.arange(len(code)) + least <= first[row + 1]
+        known, repeated = np.zeros(len(kinds), bool), np.zeros(len(code), bool)
+        linked = np.zeros((len(self.ids), len(self.ids)), bool)
+        total = np.zeros(len(code) + 1, np.int32)
+        for i in np.flatnonzero(allow.any(axis=1)):
+            own = code[first[i] : first[i + 1]]
+            known[own] = True
+            np.cumsum(known[code], out=total[1:])
+            known[own] = False
+            at = np.flatnonzero(total[least:] - total[:-least] >= wanted)
+            at = at[whole[at]]
+            at = at[allow[i, row[at]]]
+            repeated[at] = True
+            linked[self.node[i], self.node[row[at]]] = True
+        linked |= linked.T
+        number = linked @ self.copies
+        low = np.full(len(self.ids), -1)
+        for n in np.flatnonzero(number > 0):
+            new = np.array([n]) if low[n] < 0 else np.zeros(0, np.int64)
+            while len(new):  # each row of the matrix is read once
+                low[new] = n
+                new = np.flatnonzero(linked[new].any(axis=0) & (low < 0))
+        out, counted = [], set()
+        for r in np.flatnonzero(number[self.node] > 0).tolist():  # rows of one id count their partners once
+            n = self.node[r]
+            out.append((int(self.ids[n]), 0 if n in counted else int(number[n]), spans_of(repeated[first[r] : first[r + 1]], least), int(self.ids[low[n]])))
+            counted.add(n)
+        return out
+
+
+def _verify(members: DataFrame, texts: DataFrame, least: int, wanted: int) -> DataFrame:
+    """node, n_links, spans, low of what is linked in the blocks; ``members`` has rep, copies, n_words and the sorted hubs of each."""
+    each = members.select("rep", "n_words", F.explode("hubs").alias("hub"))
+    number = F.ceil(F.greatest(F.sum("n_words") / F.lit(SHARD_WORDS), F.count(F.lit(1)) / F.lit(SHARD_ROWS))).cast("int")
+    shards = saved(each.groupBy("hub").agg(number.alias("m")).where("m > 1"), "shards")
+    few = members.limit(MOST_MEMBERS + 1).count() <= MOST_MEMBERS
+    rows = texts.withColumnRenamed("doc_id", "rep").join(F.broadcast(members) if few else members, "rep").select("rep", "copies", "hubs", "shingles", F.explode("hubs").alias("hub")).join(shards, "hub", "left")
+    m = F.coalesce("m", F.lit(1))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("rep"), m).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), m - 1)))
+    rows = rows.select("hub", F.least("shard", "t").alias("s"), F.greatest("shard", "t").alias("t"), "shard", "rep", "copies", "hubs", "shingles")
+    rows = rows.repartition("hub", "s", "t").sortWithinPartitions("hub", "s", "t", "rep")
+
+    def found(parts: list[pa.RecordBatch]) -> list[tuple[int, int, str, int]]:
+        whole = pa.Table.from_batches(parts)
+        if whole.num_rows < 2:
+            return []
+        hub, s, t = (whole.column(c)[0].as_py() for c in range(3))
+        shard, ids, copies = (whole.column(c).to_numpy() for c in (3, 4, 5))
+        hubs = [h.values.to_numpy() for h in whole.column(6)]
+        return Block(ids, [np.frombuffer(x.as_buffer(), np.uint32) for x in whole.column(7)], hubs, shard, copies).links(hub, s < t, least, wanted)
+
+    def run(batches):
+        open_, last, out = [], None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            task = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)], 1)
+            cuts = np.concatenate([[0], np.flatnonzero((task[1:] != task[:-1]).any(axis=1)) + 1, [len(task)]])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if tuple(task[a]) != last and open_:
+                    out += found(open_)
+                    open_ = []
+                last = tuple(task[a])
+                open_.append(batch.slice(a, b - a))
+            if len(out) > 5000:
+                yield listed(out)
+                out = []
+        if open_:
+            out += found(open_)
+        yield listed(out)
+        give_back()
+
+    def listed(out):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64()))], ["node", "n_links", "spans", "low"])
+
+    return rows.mapInArrow(run, "node long, n_links long, spans string, low long")
 
 
 def _merged(spans: DataFrame) -> DataFrame:
@@ -272,8 +314,8 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, percent: int = 80,
     A passage of ``least_words`` words is a repeat if another document holds so many of
     its five-word shingles that passages of that length would have a Jaccard similarity
     of ``percent``. ``spans`` are the repeated stretches in words, end exclusive, joined
-    by commas, ``n_repeated`` their words, ``n_links`` the documents found to share one,
-    on either side (exact copies and, for each key, the smallest sharer), and ``class_id`` the smallest
+    by commas, ``n_repeated`` their words, ``n_links`` the other documents that share one,
+    on either side, exact copies and copies of partners included, and ``class_id`` the smallest
     id reachable over such links: its own for a document without repeats. ASCII letters
     are lower-cased; words are runs of anything but ASCII white space. Null, empty and
     shorter texts have no passages. Rows of one id are one node, linked by what any of
@@ -289,28 +331,19 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, percent: int = 80,
     copies = base.where(f"doc_id is not null and n_words >= {least_words}").select("doc_id").distinct().join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
     rows = without(wide.where("doc_id is not null"), saved(copies, "dropped")).select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
 
-    def linked(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
-        """Joins each row to the smallest of its key and verifies the pairs that aren't known yet."""
-        pairs = hubs_of(rows).groupBy(F.col("hub").alias("a"), F.col("rep").alias("b")).agg(F.collect_set("key").alias("keys"))
-        if known is not None:
-            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti").withColumn("keys", F.array().cast("array<bigint>"))
-        pairs = saved(pairs, "pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        shingles = saved(shingles_of(docs, ids, _encode, id_col, text_col), "shingles")
-        out = saved(_verify(pairs, shingles, least, wanted), "verified")
-        discard(shingles), discard(pairs)
-        return out
-
-    verified = [linked(rows)]
+    pairs = saved(hubs_of(rows).select("hub", "rep").distinct(), "pairs")
     discard(wide)
-    finer = saved(verified[0].select(F.col("b").alias("rep"), F.explode("open").alias("key")).distinct(), "finer")
-    if not finer.isEmpty():
-        verified.append(linked(finer, verified[0]))
-    links = reduce(DataFrame.unionByName, verified).where("spans_a <> '' or spans_b <> ''").select("a", "b", "spans_a", "spans_b")
-    found = components(links, "a", "b")
-    sides = links.select(F.col("a").alias("node"), F.col("spans_a").alias("spans")).unionByName(links.select(F.col("b").alias("node"), F.col("spans_b").alias("spans")))
-    number = sides.groupBy("node").agg(F.count(F.lit(1)).alias("partners"))
-    known = found.join(number, "node").join(_merged(sides), "node", "left").withColumnRenamed("node", "rep")
+    held = saved(pairs.unionByName(pairs.select("hub", F.col("hub").alias("rep")).distinct()).groupBy("rep").agg(F.array_sort(F.collect_set("hub")).alias("hubs")), "hubs")
+    discard(pairs)
+    weight = classes.groupBy("rep").agg(F.sum("copies").alias("copies"), F.sum("n_words").alias("n_words"))
+    members = saved(held.join(weight, "rep"), "members")
+    discard(held)
+    shingles = saved(shingles_of(docs, members.select(F.col("rep").alias("doc_id")), _encode, id_col, text_col), "shingles")
+    verified = saved(_verify(members, shingles, least, wanted), "verified")
+    discard(shingles), discard(members)
+    found = components(verified, "node", "low")
+    number = verified.groupBy("node").agg(F.sum("n_links").alias("partners"))
+    known = found.join(number, "node").join(_merged(verified), "node", "left").withColumnRenamed("node", "rep")
     out = base.select("doc_id", *key).join(classes, key, "left").join(known, "rep", "left")
     copied = F.coalesce(F.col("copies") > 1, F.lit(False)) & F.col("doc_id").isNotNull()
     mine = F.col("doc_id").isNotNull()

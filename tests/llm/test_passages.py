@@ -104,6 +104,32 @@ def test_most_near_passages_are_found(spark):
     assert sum(got[2 * k].class_id == got[2 * k + 1].class_id for k in near) >= 0.95 * len(near)
 
 
+def near_links(texts, least=46, wanted=41):
+    """Pairs of which either holds a passage near the other's shingles, by brute force."""
+    seqs = [[tuple(w[i : i + 5]) for i in range(len(w) - 4)] for w in map(words_of, texts)]
+    known = [set(s) for s in seqs]
+    return {(min(i, j), max(i, j)) for i, a in enumerate(seqs) for j in range(len(seqs)) if i != j and any(sum(x in known[j] for x in a[s : s + least]) >= wanted for s in range(len(a) - least + 1))}
+
+
+@pytest.mark.parametrize("shard", [4, 4000])
+def test_links_between_members_that_no_hub_confirms(spark, monkeypatch, shard):
+    monkeypatch.setattr(p, "SHARD_ROWS", shard)
+    rng = random.Random(24)
+    phrase, notice = prose(rng, 40, 10**6), prose(rng, 60, 10**6)
+    texts = [" ".join([prose(rng, 30, 10**6), phrase, prose(rng, 30, 10**6)])]
+    for _ in range(12):  # near pairs around a phrase that the smallest id holds too
+        around = [prose(rng, 10, 10**6).split(" ") for _ in range(2)]
+        for changed in (False, True):
+            left = [*around[0][:5], "changed", *around[0][6:]] if changed else around[0]
+            texts.append(" ".join([prose(rng, 30, 10**6), *left, phrase, *around[1], prose(rng, 30, 10**6)]))
+    texts += [" ".join([prose(rng, 20, 10**6), notice, prose(rng, 20, 10**6)]) for _ in range(9)]
+    texts += [texts[-1]] * 2
+    got = {r.doc_id: r for r in p.repeated_passages(frame(spark, texts)).collect()}
+    links = near_links(texts)
+    assert all(got[i].class_id == got[i + 1].class_id == i for i in range(1, 25, 2))
+    assert all(got[i].n_links == sum(i in pair for pair in links) for i in range(len(texts)))
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_repeats_equal_brute_force(spark, seed):
     rng = random.Random(seed)
