@@ -1,13 +1,23 @@
 """Quality classifier: interpolated modified Kneser-Ney over trusted text.
 
-The model is of order four over 64 symbols (letters, the commoner accented letters,
-blanks, classes of the rest). A word equal to the one before it begins with a symbol
-of its own, so loops of one word, likely letter by letter, become unlikely. Counts
-of all trusted documents are taken map-side and summed per n-gram in shards; 64 ** 4
-bounds their number whatever the corpus, so the joined table of log-probabilities
-can be held by every worker and each document's perplexity needs no shuffle of its
-n-grams. A document is judged by its cross-entropy less an allowance for its length,
-against a quantile of the trusted documents of its language.
+The model is of order three over words, byte for byte, with the white space after them;
+below single words stands a spelling model, by which words that were never seen have a
+probability too. Counts of all trusted documents' word n-grams are taken map-side, summed
+per n-gram in shards, and stay a table of the shared folder, which grows with the text:
+n-grams by key, with their counts (below the highest order the number of different
+predecessors), and contexts by key, with their totals and what discounts spare. Scoring
+is a join: documents are parts of about 16 MB, each asks for its n-grams once, those the
+counts know come back, and a part is scored where texts and counts meet.
+
+A trusted document is judged, for the limits, by the counts of the half of the trusted
+texts it isn't in, so that what it taught itself doesn't count; all others by all counts.
+
+The spelling model is of order four over 64 symbols (letters, the commoner accented
+letters, blanks, classes of the rest), so each worker holds its 64 ** 4 probabilities. A
+word equal to the one before it is another word, and begins with a symbol of its own in
+the spelling model, so loops of one word become unlikely. A document is judged by its cross-entropy a
+byte less an allowance for its length, against a quantile of the trusted documents of
+its language.
 
 Perplexity can't see a few insults in a long page. So words that documents labelled
 toxic hold far more often than trusted ones do are learned by a second count join,
@@ -25,11 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindex.llm import textvec
-from spindex.llm.common import arrow_map, fresh, saved, text_bytes
+from spindex.llm.common import discard, fresh, give_back, saved, short_batches, text_bytes
 
 SYMBOLS, ORDER = 64, 4
 GRAMS = SYMBOLS**ORDER
 _REPEAT, _REST = 62, 63
+#: Order of the model over words; the key of what stands before a text; what a repeated word's key is salted with.
+WORD_ORDER, _BEFORE, _AGAIN = 3, textvec.U64(0x5BF03635A4C1E7D9), textvec.U64(0x1F83D9ABFB41BD6B)
+#: Bytes of text scored together, about, and sides: 0 and 1 are judged by the counts of the other half, 2 by all.
+PART_BYTES, BOTH = 16 << 20, 2
 #: Labels that may be broadcast; beyond that labels and documents are joined by a shuffle.
 MOST_LABELS = 1_000_000
 #: A toxic word is held by this share of toxic documents, and by so many times the share of trusted ones.
@@ -75,8 +89,12 @@ def grams(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _discounts(counts: np.ndarray) -> np.ndarray:
-    """The three discounts of modified Kneser-Ney, from counts of counts; index 0 is for absent n-grams."""
-    n = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+    """The three discounts of modified Kneser-Ney; index 0 is for absent n-grams."""
+    return _discounts_of([int((counts == k).sum()) for k in (1, 2, 3, 4)])
+
+
+def _discounts_of(n: list[int]) -> np.ndarray:
+    """The same from counts of counts."""
     y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
     return np.array([0.0, *(min(float(k), max(0.0, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] else k / 2 for k in (1, 2, 3))], np.float32)
 
@@ -101,6 +119,52 @@ def log_probabilities(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.log(p, out=p)
 
 
+def word_grams(buf: np.ndarray, off: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
+    """Keys of the n-grams of one, two and three words that end at each word, keys of their contexts of one and two words, starts of words, and each row's first word's index."""
+    starts, ends, first = textvec.word_bounds(buf, off, textvec.NOT_SPACE)
+    word = textvec.span_hashes(buf, starts, ends)
+    head = np.zeros(len(word), bool)
+    head[first[:-1][first[:-1] < first[1:]]] = True
+    again = ~head & (word == np.roll(word, 1))
+    word = np.where(again, textvec.mix(word ^ _AGAIN), word)
+    with np.errstate(over="ignore"):
+
+        def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            return textvec.mix(x * textvec.U64(0x9E3779B97F4A7C15) + y)
+
+        before = np.where(head, _BEFORE, np.roll(word, 1))
+        two = joined(before, word)
+        context = np.where(head, joined(np.full(1, _BEFORE), np.full(1, _BEFORE)), np.roll(two, 1))
+        three = joined(textvec.mix(context), word)
+    return [word, two, three], [before, context], starts, first
+
+
+def _lookup(keys: np.ndarray, known: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
+    """The values at each key, 0 where it isn't known; ``known`` is sorted."""
+    if not len(known):
+        return [np.zeros(len(keys)) for _ in values]
+    k = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    hit = known[k] == keys
+    return [np.where(hit, v[k], 0.0) for v in values]
+
+
+def word_log_probabilities(grams_: list[np.ndarray], contexts: list[np.ndarray], spelled: np.ndarray, counts: tuple, totals: tuple, discounts: np.ndarray, single: tuple[float, float]) -> np.ndarray:
+    """Natural logs of the interpolated probabilities of words.
+
+    ``counts`` has sorted keys and counts of n-grams, ``totals`` sorted keys, totals and
+    spare mass of contexts, ``discounts`` a row an order, ``single`` total and spare mass
+    of the empty context; ``spelled`` are the logs below single words.
+    """
+    lp = spelled
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for k in range(WORD_ORDER):
+            (c,) = _lookup(grams_[k], counts[0], [counts[1]])
+            total, spare = _lookup(contexts[k - 1], totals[0], [totals[1], totals[2]]) if k else (np.full(len(lp), single[0]), np.full(len(lp), single[1]))
+            own = np.log((c - discounts[k][np.minimum(c, 3).astype(np.int64)]) / total)
+            lp = np.where(total > 0, np.logaddexp(own, np.log(spare / total) + lp), lp)
+    return lp
+
+
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """doc_id, text (bytes), lang, trusted, toxic of the documents that have a label; of several labels the worst holds."""
@@ -187,48 +251,176 @@ def _counts(rows: DataFrame) -> DataFrame:
     return rows.where("trusted").select("doc_id", "text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+def _word_counts(rows: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """side, key, context, a, b of all n-grams (count) and contexts (total, spare mass); discounts by side and order; total and spare mass by side of the empty context."""
+
+    def run(batches):
+        parts, held = [], 0
+        for batch in batches:
+            half = batch.column(1).to_numpy(zero_copy_only=False)
+            buf, off = textvec.binary_column(batch.column(0))
+            for i, j in textvec.chunks(off):
+                (word, two, three), (before, context), _, first = word_grams(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                parts.append([three, context, two, before, word, np.repeat(half[i:j], np.diff(first))])
+                held += len(word)
+            if held > 1_000_000:
+                yield counted(parts)
+                parts, held = [], 0
+        if parts:
+            yield counted(parts)
+
+    def counted(parts):
+        three, *more, half = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, at, place = np.unique(three, return_index=True, return_inverse=True)
+        n = [np.bincount(place[half == k], minlength=len(at)).astype(np.int64) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([*(pa.array(x[at].view(np.int64)) for x in (three, *more)), *map(pa.array, n)], ["three", "c3", "two", "v", "w", "n0", "n1"])
+
+    some = rows.where("trusted").select("text", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half")).mapInArrow(run, "three long, c3 long, two long, v long, w long, n0 long, n1 long")
+    whole = saved(some.groupBy("three").agg(*(F.first(c).alias(c) for c in ("c3", "two", "v", "w")), *(F.sum(c).alias(c) for c in ("n0", "n1"))), "trigrams")
+    sides = F.array(*(F.struct(F.lit(k).alias("side"), n.alias("n")) for k, n in enumerate((F.col("n1"), F.col("n0"), F.col("n0") + F.col("n1")))))
+    third = whole.select("three", "c3", "two", "v", "w", F.explode(sides).alias("x")).select("x.side", F.col("three").alias("key"), F.col("c3").alias("of"), "two", "v", "w", "x.n").where("n > 0")
+    second = saved(third.groupBy("side", F.col("two").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.first("v").alias("of"), F.first("w").alias("w")), "bigrams")
+    first = saved(second.groupBy("side", F.col("w").alias("key")).agg(F.count(F.lit(1)).alias("n")), "words")
+    levels = [first, second, third]
+    discounts, single = np.zeros((3, WORD_ORDER, 4)), np.zeros((3, 2))
+    for k, level in enumerate(levels):
+        number = np.zeros((3, 5), np.int64)
+        for r in level.groupBy("side", F.least("n", F.lit(5)).alias("n")).agg(F.count(F.lit(1)).alias("m")).where("n < 5").collect():
+            number[r.side, r.n] = r.m
+        for side in range(3):
+            discounts[side, k] = _discounts_of(number[side, 1:].tolist())
+
+    def spare(k: int):
+        rate = F.array(*(F.array(*(F.lit(float(x)) for x in discounts[side, k])) for side in range(3)))
+        return F.sum(F.get(F.get(rate, F.col("side")), F.least("n", F.lit(3)).cast("int")))
+
+    for r in first.groupBy("side").agg(F.sum("n"), spare(0)).collect():
+        single[r[0]] = r[1], r[2]
+    parts = [level.select("side", "key", F.lit(False).alias("context"), F.col("n").cast("double").alias("a"), F.lit(0.0).alias("b")) for level in levels]
+    parts += [levels[k].groupBy("side", F.col("of").alias("key")).agg(F.sum("n").cast("double").alias("a"), spare(k).alias("b")).select("side", "key", F.lit(True).alias("context"), "a", "b") for k in (1, 2)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    out = saved(out, "counts")
+    for done in (whole, second, first):
+        discard(done)
+    return out, discounts, single
+
+
 class Model:
-    """What judging takes: counts of n-grams, toxic words, and the limit of each language."""
+    """What judging takes: counts of symbols' and words' n-grams, toxic words, and the limit of each language."""
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, toxic: np.ndarray, allowance: float):
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, words: tuple[DataFrame, np.ndarray, np.ndarray], toxic: np.ndarray, allowance: float):
         order = np.argsort(codes)
         self.codes, self.counts, self.toxic = codes[order], counts[order], toxic
+        self.words, self.discounts, self.single = words
         self.allowance, self.deviation = allowance, 0.0
         self.overall, self.limits = math.inf, {}
         self.name = uuid.uuid4().hex
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "words"}
+
     def table(self) -> np.ndarray:
         return textvec.resident(("table", self.name), lambda: log_probabilities(self.codes, self.counts) if len(self.codes) else np.zeros(GRAMS, np.float32))
 
-    def sums(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each row's sum of log-probabilities, of their squares, and number of toxic words."""
-        lp = self.table()[grams(buf, off)].astype(np.float64)
+    def sums(self, buf: np.ndarray, off: np.ndarray, side: int, counts: tuple, totals: tuple) -> list[np.ndarray]:
+        """Each row's sums of log-probabilities, of their squares, of their products with lengths and of lengths' squares, a word each, and number of toxic words."""
+        spelled = self.table()[grams(buf, off)].astype(np.float64)
+        own, contexts, starts, first = word_grams(buf, off)
+        marks = np.unique(np.concatenate([starts, off]))
+        pieces = textvec.row_sums(spelled, marks)
+        at = np.searchsorted(marks, starts)
+        lp = word_log_probabilities(own, contexts, pieces[at], counts, totals, self.discounts[side], self.single[side])
+        size = np.diff(marks)[at].astype(np.float64)
+        lead = np.flatnonzero((off[1:] > off[:-1]) & ~np.isin(off[:-1], starts))  # white space before the first word
+        out = [textvec.row_sums(x, first) for x in (lp, lp * lp, lp * size, size * size)]
+        out[0][lead] += pieces[np.searchsorted(marks, off[lead])]
         words, first = textvec.words(buf, off, textvec.LETTERS)
         hits = np.isin(words, self.toxic).astype(np.int64) if len(self.toxic) else np.zeros(len(words), np.int64)
-        return textvec.row_sums(lp, off), textvec.row_sums(lp * lp, off), textvec.row_sums(hits, first)
+        return [*out, textvec.row_sums(hits, first)]
 
     def figures(self, lp: np.ndarray, n: np.ndarray) -> np.ndarray:
         n = np.maximum(n, 1)
         return -lp / n - self.allowance * self.deviation / np.sqrt(n)
 
-    def judge(self, texts: pa.Array, langs: pa.Array):
-        """Yields (first row, last row, n_symbols, perplexity, limit, n_toxic_words, kept) for consecutive chunks."""
-        buf, off = textvec.binary_column(texts)
-        for i, j in textvec.chunks(off):
-            at = off[i : j + 1] - off[i]
-            lp, _, hits = self.sums(buf[off[i] : off[j]], at)
-            n = np.diff(at)
-            limit = np.array([self.limits.get(x, self.overall) for x in langs.slice(i, j - i).to_pylist()])
-            kept = (n == 0) | ((self.figures(lp, n) <= limit + 1e-9) & (hits == 0))
-            yield i, j, n, np.exp(-lp / np.maximum(n, 1)), limit, hits, kept
+
+def _scored(docs: DataFrame, side: str, text: str, model: Model, result, schema) -> DataFrame:
+    """``result(model, rows, n, sums)`` of the rows, part by part, with the counts their n-grams have; ``side`` and ``text`` are columns."""
+    spark = docs.sparkSession
+    short_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+    used = set(docs.columns)
+    part = fresh("part", used)
+    raw = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")
+    size = docs.agg(F.sum(F.length(raw))).first()[0] or 0
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if c != text and "map<" not in kind and kind != "variant"]  # equal texts of different rows needn't meet
+    docs = docs.withColumn(part, F.pmod(F.xxhash64(raw, *plain), F.lit(max(1, math.ceil(size / PART_BYTES)))).cast("int"))
+
+    def ask(batches):
+        parts, held = [], 0
+        for batch in batches:
+            # one bucket a part and side
+            bucket = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64) * 3 + batch.column(2).to_numpy(zero_copy_only=False)
+            buf, off = textvec.binary_column(batch.column(0))
+            for i, j in textvec.chunks(off):
+                own, contexts, _, first = word_grams(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                at = np.repeat(bucket[i:j], np.diff(first))
+                parts += [(at, key) for key in (*own, *contexts)]
+                held += 5 * len(at)
+            if held > 3_000_000:
+                yield distinct(parts)
+                parts, held = [], 0
+        if parts:
+            yield distinct(parts)
+        give_back()
+
+    def distinct(parts):
+        bucket, key = (np.concatenate(x) for x in zip(*parts, strict=True))
+        by = np.lexsort((bucket, key))
+        bucket, key = bucket[by], key[by]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[new].astype(np.int32)), pa.array(key[new].view(np.int64))], ["bucket", "key"])
+
+    # a key may be asked for twice by a part of several tasks, which is harmless
+    asked = docs.select(raw.alias("text"), F.col(part), F.col(side)).mapInArrow(ask, "bucket int, key long").withColumn("side", F.pmod("bucket", F.lit(3)))
+    known = asked.join(model.words, ["side", "key"]).select(F.expr("bucket div 3").cast("int").alias(part), "side", "key", "context", "a", "b")
+    at, on = docs.columns.index(text), docs.columns.index(side)
+
+    def judge(rows: pa.Table, counts: pa.Table) -> pa.Table:
+        model = shared.value
+        of, key, context, a, b = (counts.column(c).to_numpy() for c in ("side", "key", "context", "a", "b"))
+        key = key.view(np.uint64)
+        tables = {}
+        for k in range(3):
+            tables[k] = []
+            for kind in (False, True):
+                x = np.flatnonzero((of == k) & (context == kind))
+                x = x[np.argsort(key[x])]
+                tables[k].append((key[x], a[x], b[x]))
+        out = []
+        for batch in rows.to_batches():
+            sides = batch.column(on).to_numpy(zero_copy_only=False)
+            for k in np.unique(sides):
+                some = batch.filter(pa.array(sides == k))
+                buf, off = textvec.binary_column(some.column(at).cast(pa.string()))
+                for i, j in textvec.chunks(off):
+                    bounds = off[i : j + 1] - off[i]
+                    out.append(result(model, some.slice(i, j - i), np.diff(bounds), model.sums(buf[off[i] : off[j]], bounds, int(k), *tables[int(k)])))
+        give_back()
+        return pa.Table.from_batches(out)
+
+    return docs.groupBy(part).cogroup(known.groupBy(part)).applyInArrow(judge, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, allowance: float = 1.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """The model of all trusted documents and the limit of each language.
 
     ``labels`` has doc_id, quality (1: trusted) and toxic (1: not trusted). The limit
-    of a language is the ``quantile`` of its trusted documents' figures: cross-entropy
-    less ``allowance`` standard deviations of a symbol over the root of the length.
+    of a language is the ``quantile`` of its trusted documents' figures: cross-entropy,
+    by the counts of the half of the trusted texts (by hash) that a text isn't in, less
+    ``allowance`` standard deviations of a byte over the root of the length.
     Labels of null ids or of ids without a document play no part; of several labels of
     an id the worst holds, and a null quality or toxic counts as 0; all documents of a
     labelled id count, repeated ones as often; null and empty texts teach nothing; other
@@ -237,20 +429,17 @@ def fit(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, allowance:
     rows = labelled(docs, labels, id_col, text_col, lang_col)
     toxic = _toxic_words(rows)
     seen = _counts(rows).toPandas()
-    model = Model(seen["gram"].to_numpy(np.int64), seen["n"].to_numpy(np.int64), toxic, allowance)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batch: pa.RecordBatch):
-        buf, off = textvec.binary_column(batch.column(0))
-        for i, j in textvec.chunks(off):
-            at = off[i : j + 1] - off[i]
-            lp, lp2, _ = shared.value.sums(buf[off[i] : off[j]], at)
-            yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), pa.array(np.diff(at)), pa.array(lp), pa.array(lp2)], ["lang", "n", "lp", "lp2"])
-
-    trusted = saved(arrow_map(rows.where("trusted").select("text", "lang"), run, "lang string, n long, lp double, lp2 double").where("n > 0"), "trusted")
-    total, lp, lp2 = trusted.agg(F.sum("n"), F.sum("lp"), F.sum("lp2")).first()
+    model = Model(seen["gram"].to_numpy(np.int64), seen["n"].to_numpy(np.int64), _word_counts(rows), toxic, allowance)
+
+    def result(model, rows, n, sums):
+        return pa.RecordBatch.from_arrays([rows.column(1), pa.array(n), *map(pa.array, sums[:4])], ["lang", "n", "lp", "lp2", "lpn", "n2"])
+
+    halves = rows.where("trusted").select("text", "lang", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("side")).withColumn("text", F.col("text").cast("string"))
+    trusted = saved(_scored(halves, "side", "text", model, result, "lang string, n long, lp double, lp2 double, lpn double, n2 double").where("n > 0"), "trusted")
+    total, lp, lp2, lpn, n2 = trusted.agg(*(F.sum(c) for c in ("n", "lp", "lp2", "lpn", "n2"))).first()
     if total:
-        model.deviation = math.sqrt(max(0.0, lp2 / total - (lp / total) ** 2))
+        mean = lp / total
+        model.deviation = math.sqrt(max(0.0, (lp2 - 2 * mean * lpn + mean * mean * n2) / total))
         figure = -F.col("lp") / F.col("n") - F.lit(allowance * model.deviation) / F.sqrt(F.col("n").cast("double"))
         cut = F.percentile_approx(figure, F.lit(quantile), F.lit(20_000))
         model.overall = trusted.agg(cut).first()[0]
@@ -271,22 +460,29 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     by perplexity. Every row is judged by itself, repeated ones alike; other columns
     are ignored; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    def result(model, rows, n, sums):
+        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *map(pa.array, _judged(model, rows.column(1), n, sums))], [c.split()[0] for c in SCORES.split(", ")])
+
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"), F.lit(BOTH).alias("side"))
+    return _scored(rows, "side", "text", model, result, SCORES)
 
-    def run(batch: pa.RecordBatch):
-        for i, j, *values in shared.value.judge(batch.column(1), batch.column(2)):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), *map(pa.array, values)], [c.split()[0] for c in SCORES.split(", ")])
 
-    return arrow_map(text_bytes(docs.withColumn(lang_col, F.col(f"`{lang_col}`").cast("string")), id_col, text_col, lang_col), run, SCORES)
+def _judged(model: Model, langs: pa.Array, n: np.ndarray, sums: list[np.ndarray]) -> list[np.ndarray]:
+    """n_symbols, perplexity, limit, n_toxic_words, kept."""
+    lp, hits = sums[0], sums[4]
+    limit = np.array([model.limits.get(x, model.overall) for x in langs.to_pylist()], np.float64)
+    kept = (n == 0) | ((model.figures(lp, n) <= limit + 1e-9) & (hits == 0))
+    return [n, np.exp(-lp / np.maximum(n, 1)), limit, hits, kept]
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows, all columns, that ``classify`` keeps; one narrow map."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows, all columns, that ``classify`` keeps."""
+    side = fresh("side", set(docs.columns))
     text, lang = docs.columns.index(text_col), docs.columns.index(lang_col)
+    names, width = docs.columns, len(docs.columns)
 
-    def run(batch: pa.RecordBatch):
-        parts = [kept for *_, kept in shared.value.judge(batch.column(text), batch.column(lang).cast(pa.string()))]
-        yield batch.filter(pa.array(np.concatenate(parts)))
+    def result(model, rows, n, sums):
+        kept = _judged(model, rows.column(lang).cast(pa.string()), n, sums)[-1]
+        return pa.RecordBatch.from_arrays(rows.columns[:width], names).filter(pa.array(kept))
 
-    return arrow_map(docs, run, docs.schema)
+    return _scored(docs.withColumn(side, F.lit(BOTH)), side, names[text], model, result, docs.schema)

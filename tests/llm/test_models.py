@@ -340,6 +340,70 @@ def test_classifier(spark):
     assert quality.classify(docs.limit(0), model).count() == 0 == quality.fit(docs.limit(0), labs).toxic.size
 
 
+def test_perplexity_of_words_equals_brute_force(spark):
+    rng = random.Random(31)
+    kinds = ["than", "Onti", "é日本", "oner", "edsh", "the", "x"]
+    texts = [" " * (i % 3) + rng.choice([" ", "\n", "  "]).join(rng.choice(kinds) for _ in range(rng.randrange(1, 25))) for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*texts, "unseen " + texts[0], None, " "])], "doc_id long, text string, lang string")
+    model = quality.fit(docs, spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r for r in quality.classify(docs, model).collect()}
+    count = {3: Counter()}
+
+    def tokens(t):  # a word equal to the one before it is another one
+        w = t.split()
+        return ["", "", *(x + "+" if i and x == w[i - 1] else x for i, x in enumerate(w))]
+
+    for t in texts:
+        w = tokens(t)
+        count[3].update(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    for k in (2, 1):
+        count[k] = Counter(g[1:] for g in count[k + 1])
+
+    def discount(k, v):
+        n = [sum(x == j for x in count[k].values()) for j in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+        return [0, *(min(j, max(0, j - (j + 1) * y * n[j] / n[j - 1])) if n[j - 1] else j / 2 for j in (1, 2, 3))][min(v, 3)]
+
+    def p(g, spelled):
+        k = len(g)
+        if not k:
+            return spelled
+        of = [v for x, v in count[k].items() if x[:-1] == g[:-1]]
+        if not of:
+            return p(g[1:], spelled)
+        v = count[k][g]
+        return (v - discount(k, v)) / sum(of) + sum(discount(k, x) for x in of) / sum(of) * p(g[1:], spelled)
+
+    for r in docs.collect():
+        raw = (r.text or "").encode()
+        lp = model.table()[quality.grams(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))].astype(float)
+        starts = [m.start() for m in re.finditer(rb"\S+", raw)]
+        w, total = tokens(raw.decode()), lp[: starts[0] if starts else len(raw)].sum()
+        for i, (a, b) in enumerate(zip(starts, [*starts, len(raw)][1:], strict=True)):
+            total += math.log(p(tuple(w[i : i + 3]), math.exp(lp[a:b].sum())))
+        assert got[r.doc_id].perplexity == pytest.approx(math.exp(-total / max(1, len(raw))), rel=1e-6), r
+
+
+def test_junk_of_other_scripts_is_told(spark):
+    rng = random.Random(32)
+    kinds = ["".join(rng.choices("бвгджзклмнпрст", k=3)) + rng.choice(["ать", "ого", "ами"]) for _ in range(60)]
+    rows = [(i, " ".join(rng.choices(kinds, k=50)), "ru") for i in range(240)]
+    after = defaultdict(list)  # junk has the pairs of letters of good text, but other words
+    for _, t, _ in rows:
+        for x, y in zip(t, t[1:], strict=False):
+            after[x].append(y)
+    junk = []
+    for _ in range(40):
+        x = [" "]
+        while len(x) < 340:
+            x.append(rng.choice(after[x[-1]]))
+        junk.append("".join(x[1:]))
+    docs = spark.createDataFrame([*rows, *((1000 + k, t, "ru") for k, t in enumerate(junk))], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(160)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in quality.classify(docs, quality.fit(docs, labels)).collect()}
+    assert sum(got[i] for i in range(160, 240)) >= 76 and not any(got[1000 + k] for k in range(40))
+
+
 # lines
 
 
