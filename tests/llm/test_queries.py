@@ -59,6 +59,26 @@ def test_pipeline_stages(spark):
         docs, ids = out, kept
 
 
+def test_quality_stage_tells_words_that_no_good_text_holds(spark, tmp_path):
+    rng = random.Random(33)
+    kinds = ["".join(rng.choices("бвгджзклмнпрст", k=3)) + rng.choice(["ать", "ого", "ами"]) for _ in range(60)]
+    texts = [" ".join(rng.choices(kinds, k=50)) for _ in range(240)]
+    after = {}  # junk has the pairs of letters of good text, but other words
+    for t in texts:
+        for x, y in zip(t, t[1:], strict=False):
+            after.setdefault(x, []).append(y)
+    for _ in range(40):
+        x = [" "]
+        while len(x) < 340:
+            x.append(rng.choice(after[x[-1]]))
+        texts.append("".join(x[1:]))
+    spark.createDataFrame([(i, 1, 0) for i in range(160)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(i, t, "ru", "s", len(t), i, i) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long, part int, side int")
+    out = corpus_pipeline.quality(spark, docs, str(tmp_path))
+    kept = {r.doc_id for r in out.collect()}
+    assert out.columns == docs.columns and len(kept & set(range(160, 240))) >= 76 and max(kept) < 240
+
+
 def test_copies_leave_one_whole_document(spark):
     body = "\n".join(f"line {k} of an ordinary text that was copied {k * k}" for k in range(8))
     rows = []
