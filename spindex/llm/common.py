@@ -43,18 +43,30 @@ def scratch(spark: SparkSession):
             _delete(spark, folder)
 
 
-def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def saved(df: DataFrame, name: str, keep: bool = False, clear: bool = False) -> DataFrame:
     """The rows written once as a Parquet table in the shared folder and read from there.
 
     Cuts the lineage without tying any block to an executor; later reads prune columns.
-    Within ``scratch`` the table goes with it, unless it is to be kept.
+    Within ``scratch`` the table goes with it, unless it is to be kept. With ``clear`` the
+    files this query shuffled go when it ends; else they stay until the driver happens to
+    collect its garbage.
     """
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/spindex-{uuid.uuid4().hex}"
     path = f"{folder}/{name}"
     if _OPEN and not keep:
         _OPEN[-1].append(folder)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    try:
+        if clear:
+            spark.conf.set(_CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        if clear:
+            spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._folder = folder
     return out

@@ -2,12 +2,13 @@
 
 The model is of order three over words, byte for byte, with the white space after them;
 below single words stands a spelling model, by which words that were never seen have a
-probability too. Counts of all trusted documents' word n-grams are taken map-side, summed
-per n-gram in shards, and stay a table of the shared folder, which grows with the text:
-n-grams by key, with their counts (below the highest order the number of different
-predecessors), and contexts by key, with their totals and what discounts spare. Scoring
-is a join: documents are parts of about 16 MB, each asks for its n-grams once, those the
-counts know come back, and a part is scored where texts and counts meet.
+probability too. Trusted documents' word n-grams go to shards by key as compressed
+blocks, where they are counted, and the counts stay a table of the shared folder, which
+grows with the text: n-grams by key, with their counts (below the highest order the number of
+different predecessors), their totals as contexts, and how many n-grams follow them once,
+twice and more often. Scoring is a join: documents are parts of about 8 MB, each asks the
+shards for its n-grams once, and a part is scored where its texts and the answers meet.
+Counting and scoring take turns, so that a share of the whole is shuffled at a time.
 
 A trusted document is judged, for the limits, by the counts of the half of the trusted
 texts it isn't in, so that what it taught itself doesn't count; all others by all counts.
@@ -40,10 +41,16 @@ from spindex.llm.common import discard, fresh, give_back, saved, short_batches,
 SYMBOLS, ORDER = 64, 4
 GRAMS = SYMBOLS**ORDER
 _REPEAT, _REST = 62, 63
+U64 = textvec.U64
+#: Keys of n-grams have so many bits; of those of three words the lower 40 are their own.
+KEY_BITS, _OWN = 56, U64((1 << 40) - 1)
+_DROPPED = U64(64 - KEY_BITS)
 #: Order of the model over words; the key of what stands before a text; what a repeated word's key is salted with.
-WORD_ORDER, _BEFORE, _AGAIN = 3, textvec.U64(0x5BF03635A4C1E7D9), textvec.U64(0x1F83D9ABFB41BD6B)
-#: Bytes of text scored together, about, and sides: 0 and 1 are judged by the counts of the other half, 2 by all.
-PART_BYTES, BOTH = 16 << 20, 2
+WORD_ORDER, _BEFORE, _AGAIN = 3, U64(0x5BF03635A4C1E7D9) >> _DROPPED, U64(0x1F83D9ABFB41BD6B)
+#: Bytes of text scored together, about, and of trusted text whose n-grams are a shard; sides: 0 and 1 are judged by the counts of the other half, 2 by all.
+PART_BYTES, SHARD_BYTES, BOTH = 8 << 20, 4 << 20, 2
+#: Turns in which trusted text is counted and scored, and all text scored: a share of it is shuffled at a time.
+COUNT_ROUNDS, ROUNDS = 4, 8
 #: Labels that may be broadcast; beyond that labels and documents are joined by a shuffle.
 MOST_LABELS = 1_000_000
 #: A toxic word is held by this share of toxic documents, and by so many times the share of trusted ones.
@@ -68,6 +75,15 @@ def _symbols() -> np.ndarray:
 _SYMBOL = _symbols()
 
 
+def _joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A key of two in this order."""
+    with np.errstate(over="ignore"):
+        return textvec.mix(x * U64(0x9E3779B97F4A7C15) + y) >> _DROPPED
+
+
+_BEFORE_TWO = _joined(np.array([_BEFORE]), np.array([_BEFORE]))[0]
+
+
 def grams(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     """The n-gram code that ends at each byte; contexts begin anew with each row."""
     n = len(buf)
@@ -120,50 +136,96 @@ def log_probabilities(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def word_grams(buf: np.ndarray, off: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
-    """Keys of the n-grams of one, two and three words that end at each word, keys of their contexts of one and two words, starts of words, and each row's first word's index."""
+    """Keys of the n-grams of one, two and three words that end at each word, keys of their contexts of one and two words, starts of words, and each row's first word's index.
+
+    Keys have ``KEY_BITS`` bits; the upper ones of three words' keys are their context's, so both go to one shard.
+    """
     starts, ends, first = textvec.word_bounds(buf, off, textvec.NOT_SPACE)
-    word = textvec.span_hashes(buf, starts, ends)
+    word = textvec.span_hashes(buf, starts, ends) >> _DROPPED
     head = np.zeros(len(word), bool)
     head[first[:-1][first[:-1] < first[1:]]] = True
-    again = ~head & (word == np.roll(word, 1))
-    word = np.where(again, textvec.mix(word ^ _AGAIN), word)
-    with np.errstate(over="ignore"):
+    again = np.flatnonzero(~head & (word == np.roll(word, 1)))
+    word[again] = textvec.mix(word[again] ^ _AGAIN) >> _DROPPED
+    before = np.roll(word, 1)
+    before[head] = _BEFORE
+    two = _joined(before, word)
+    context = np.roll(two, 1)
+    context[head] = _BEFORE_TWO
+    three = (context & ~_OWN) | (_joined(context, word) & _OWN)
+    return [word, two, three], [before, context], starts, first
 
-        def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            return textvec.mix(x * textvec.U64(0x9E3779B97F4A7C15) + y)
 
-        before = np.where(head, _BEFORE, np.roll(word, 1))
-        two = joined(before, word)
-        context = np.where(head, joined(np.full(1, _BEFORE), np.full(1, _BEFORE)), np.roll(two, 1))
-        three = joined(textvec.mix(context), word)
-    return [word, two, three], [before, context], starts, first
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted different values; np.unique goes by a hash table, which takes many times as long for this many."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
-def _lookup(keys: np.ndarray, known: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
-    """The values at each key, 0 where it isn't known; ``known`` is sorted."""
-    if not len(known):
-        return [np.zeros(len(keys)) for _ in values]
-    k = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    hit = known[k] == keys
-    return [np.where(hit, v[k], 0.0) for v in values]
+def _shards(keys: np.ndarray, n: int) -> np.ndarray:
+    """Each key's shard of ``n``; larger keys are in no lower shard."""
+    return ((keys >> U64(KEY_BITS - 16)) * U64(n) >> U64(16)).astype(np.int64)
+
+
+def _squeezed(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers, byte by byte place, compressed; sorted keys are best given as differences."""
+    planes, head = [], [len(columns)]
+    for x in columns:
+        x = np.ascontiguousarray(x, np.uint64)
+        width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+        head += [len(x), width]
+        planes.append(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+    return np.array(head, np.uint32).tobytes() + pa.compress(b"".join(planes), codec="zstd", asbytes=True)
 
 
-def word_log_probabilities(grams_: list[np.ndarray], contexts: list[np.ndarray], spelled: np.ndarray, counts: tuple, totals: tuple, discounts: np.ndarray, single: tuple[float, float]) -> np.ndarray:
+def _stretched(blob: bytes) -> list[np.ndarray]:
+    head = np.frombuffer(blob, np.uint32, 1 + 2 * int(np.frombuffer(blob, np.uint32, 1)[0]))
+    sizes = head[1:].reshape(-1, 2).astype(np.int64)
+    raw = np.frombuffer(pa.decompress(blob[4 * len(head) :], int((sizes[:, 0] * sizes[:, 1]).sum()), codec="zstd"), np.uint8)
+    out, at = [], 0
+    for n, width in sizes.tolist():
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :width] = raw[at : at + n * width].reshape(width, n).T
+        out.append(x.reshape(-1).view(np.uint64))
+        at += n * width
+    return out
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences of sorted keys; ``_sums`` undoes it."""
+    return np.diff(x, prepend=x[:0].dtype.type(0))
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(x, dtype=np.uint64)
+
+
+def _cuts(sorted_shards: np.ndarray) -> list[tuple[int, int, int]]:
+    """Shard, start and end of each run."""
+    if not len(sorted_shards):
+        return []
+    at = np.flatnonzero(np.diff(sorted_shards, prepend=-1))
+    return list(zip(sorted_shards[at].tolist(), at.tolist(), [*at[1:].tolist(), len(sorted_shards)], strict=True))
+
+
+def word_log_probabilities(places: list[np.ndarray], contexts: list[np.ndarray], spelled: np.ndarray, n: np.ndarray, totals: np.ndarray, spares: list[np.ndarray], discounts: np.ndarray, single: np.ndarray) -> np.ndarray:
     """Natural logs of the interpolated probabilities of words.
 
-    ``counts`` has sorted keys and counts of n-grams, ``totals`` sorted keys, totals and
-    spare mass of contexts, ``discounts`` a row an order, ``single`` total and spare mass
-    of the empty context; ``spelled`` are the logs below single words.
+    ``places`` and ``contexts`` are indexes of n-grams and of their contexts in ``n``,
+    ``totals`` and ``spares`` (by the contexts' order), which end with zeros for what
+    isn't known; ``discounts`` has a row an order, ``single`` total and spare mass of
+    the empty context; ``spelled`` are the logs below single words.
     """
-    lp = spelled
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for k in range(WORD_ORDER):
-            (c,) = _lookup(grams_[k], counts[0], [counts[1]])
-            total, spare = _lookup(contexts[k - 1], totals[0], [totals[1], totals[2]]) if k else (np.full(len(lp), single[0]), np.full(len(lp), single[1]))
-            own = np.log((c - discounts[k][np.minimum(c, 3).astype(np.int64)]) / total)
-            lp = np.where(total > 0, np.logaddexp(own, np.log(spare / total) + lp), lp)
-    return lp
-
+    own, rest = np.zeros(len(spelled)), np.ones(len(spelled))  # the probability is own + rest * that of the spelling
+    for k in range(WORD_ORDER):
+        total, spare = (totals[contexts[k - 1]], spares[k - 1][contexts[k - 1]]) if k else single
+        seen = total > 0
+        c = n[places[k]]
+        total = np.where(seen, total, 1.0)
+        back = np.where(seen, spare / total, 1.0)
+        own = np.where(seen, (c - discounts[k][np.minimum(c, 3).astype(np.int64)]) / total, 0.0) + back * own
+        rest = back * rest
+    with np.errstate(divide="ignore", under="ignore"):
+        return np.where(own > 0, np.log(np.where(own > 0, own + rest * np.exp(spelled), 1.0)), np.log(rest) + spelled)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -251,87 +313,180 @@ def _counts(rows: DataFrame) -> DataFrame:
     return rows.where("trusted").select("doc_id", "text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def _word_counts(rows: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """side, key, context, a, b of all n-grams (count) and contexts (total, spare mass); discounts by side and order; total and spare mass by side of the empty context."""
+_COUNTS = "side int, shard int, kind int, data binary, m1 long, m2 long, m3 long, m4 long, number long, total long"
 
-    def run(batches):
-        parts, held = [], 0
-        for batch in batches:
-            half = batch.column(1).to_numpy(zero_copy_only=False)
-            buf, off = textvec.binary_column(batch.column(0))
-            for i, j in textvec.chunks(off):
-                (word, two, three), (before, context), _, first = word_grams(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                parts.append([three, context, two, before, word, np.repeat(half[i:j], np.diff(first))])
-                held += len(word)
-            if held > 1_000_000:
-                yield counted(parts)
-                parts, held = [], 0
-        if parts:
-            yield counted(parts)
-
-    def counted(parts):
-        three, *more, half = (np.concatenate(x) for x in zip(*parts, strict=True))
-        _, at, place = np.unique(three, return_index=True, return_inverse=True)
-        n = [np.bincount(place[half == k], minlength=len(at)).astype(np.int64) for k in (0, 1)]
-        return pa.RecordBatch.from_arrays([*(pa.array(x[at].view(np.int64)) for x in (three, *more)), *map(pa.array, n)], ["three", "c3", "two", "v", "w", "n0", "n1"])
-
-    some = rows.where("trusted").select("text", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half")).mapInArrow(run, "three long, c3 long, two long, v long, w long, n0 long, n1 long")
-    whole = saved(some.groupBy("three").agg(*(F.first(c).alias(c) for c in ("c3", "two", "v", "w")), *(F.sum(c).alias(c) for c in ("n0", "n1"))), "trigrams")
-    sides = F.array(*(F.struct(F.lit(k).alias("side"), n.alias("n")) for k, n in enumerate((F.col("n1"), F.col("n0"), F.col("n0") + F.col("n1")))))
-    third = whole.select("three", "c3", "two", "v", "w", F.explode(sides).alias("x")).select("x.side", F.col("three").alias("key"), F.col("c3").alias("of"), "two", "v", "w", "x.n").where("n > 0")
-    second = saved(third.groupBy("side", F.col("two").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.first("v").alias("of"), F.first("w").alias("w")), "bigrams")
-    first = saved(second.groupBy("side", F.col("w").alias("key")).agg(F.count(F.lit(1)).alias("n")), "words")
-    levels = [first, second, third]
+
+def _counted(side: int, shard: int, kind: int, keys: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """A row of the counts: keys, and how often each ends an n-gram (or what stands for it), its total as a context, and how many follow it once, twice and more often."""
+    n = columns[0]
+    m = [int((n == k).sum()) for k in (1, 2, 3, 4)] + [int((n > 0).sum()), int(n.sum())]
+    values = [side, shard, kind, _squeezed(_steps(keys), *columns), *m]
+    names = [c.split() for c in _COUNTS.split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([v], kinds[t]) for v, (_, t) in zip(values, names, strict=True)], [c for c, _ in names])
+
+
+def _classes(context: np.ndarray, n: np.ndarray, size: int) -> list[np.ndarray]:
+    """By context: the sum of ``n``, and how many of its n-grams have 1, 2, more."""
+    return [np.bincount(context, n, size), *(np.bincount(context[x], minlength=size) for x in (n == 1, n == 2, n > 2))]
+
+
+def _merged(parts: list[tuple[np.ndarray, list[np.ndarray]]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sums of five columns by key; shorter lists of columns begin at the first, missing ones are 0."""
+    keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, [np.bincount(place, np.concatenate([c[i] for _, c in parts]), len(keys)).astype(np.int64) for i in range(5)]
+
+
+def _word_counts(rows: DataFrame, shards: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """The counts of text by side, as rows of ``_COUNTS``; discounts by side and order; total and spare mass by side of the empty context.
+
+    Each three words go to the shard of the first two, where they are counted, and to that
+    of the last two, where the different first words are. That is done for a share of
+    the shards at a time, and shuffles end with it. Kinds: 3 and 2 n-grams, 1 words, 0 a shard's share in words.
+    """
+    rounds = min(COUNT_ROUNDS, shards)
+
+    def count(turn: int) -> DataFrame:
+        def run(batches):
+            parts, held = [], 0
+            for batch in batches:
+                side = batch.column(1).to_numpy(zero_copy_only=False)
+                buf, off = textvec.binary_column(batch.column(0))
+                for i, j in textvec.chunks(off):
+                    (word, two, three), (before, context), _, first = word_grams(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                    to = [_shards(x, shards) for x in (context, two)]
+                    at = np.repeat(side[i:j], np.diff(first))
+                    left, right = (x % rounds == turn for x in to)
+                    parts.append([at[left], context[left], three[left], at[right], two[right], three[right], before[right], word[right]])
+                    held += len(word)
+                if held > 2_000_000:
+                    yield from sent(parts)
+                    parts, held = [], 0
+            if parts:
+                yield from sent(parts)
+            give_back()
+
+        def sent(parts):
+            sides, context, three, sides2, two, three2, before, word = (np.concatenate(x) for x in zip(*parts, strict=True))
+            for k in np.union1d(sides, sides2).tolist():
+                x = np.flatnonzero(sides == k)
+                x = x[np.lexsort((three[x], context[x]))]
+                own, ending = context[x], three[x] & _OWN
+                for shard, i, j in _cuts(_shards(own, shards)):
+                    yield row(k, shard, True, _squeezed(_steps(own[i:j]), ending[i:j]))
+                x = np.flatnonzero(sides2 == k)
+                x = x[np.lexsort((three2[x], two[x]))]
+                x = x[(np.diff(two[x], prepend=U64(0)) != 0) | (np.diff(three2[x], prepend=U64(0)) != 0)]
+                own, ending = two[x], three2[x] & _OWN
+                for shard, i, j in _cuts(_shards(own, shards)):
+                    at = i + np.flatnonzero(np.diff(own[i:j], prepend=U64(0)))
+                    known, place = np.unique(np.concatenate([before[x[at]], word[x[at]]]), return_inverse=True)
+                    yield row(k, shard, False, _squeezed(_steps(own[i:j]), ending[i:j], _steps(known), place[: len(at)], place[len(at) :]))
+
+        def row(side, shard, left, data):
+            return pa.RecordBatch.from_arrays([pa.array([side], pa.int32()), pa.array([shard], pa.int32()), pa.array([left]), pa.array([data])], ["side", "shard", "left", "data"])
+
+        def reduce(table: pa.Table) -> pa.Table:
+            side, shard = table.column("side")[0].as_py(), table.column("shard")[0].as_py()
+            left, right = [], []
+            for is_left, data in zip(table.column("left").to_pylist(), table.column("data"), strict=True):
+                x = _stretched(data.as_py())
+                own = _sums(x[0])
+                if is_left:
+                    left.append((own, (own & ~_OWN) | x[1]))
+                else:
+                    known = _sums(x[2])
+                    group = np.cumsum(np.diff(own, prepend=U64(0)) != 0) - 1
+                    right.append((own, x[1], known[x[3].astype(np.int64)][group], known[x[4].astype(np.int64)][group]))
+            out, bigrams = [], []
+            if left:
+                context, three = (np.concatenate(x) for x in zip(*left, strict=True))
+                keys, at, n = np.unique(three, return_index=True, return_counts=True)
+                zeros = np.zeros(len(keys), np.int64)
+                out.append(_counted(side, shard, 3, keys, [n, zeros, zeros, zeros, zeros]))
+                contexts, place = np.unique(context[at], return_inverse=True)
+                bigrams.append((contexts, [np.zeros(len(contexts)), *_classes(place, n, len(contexts))]))
+            if right:
+                two, three, before, word = (np.concatenate(x) for x in zip(*right, strict=True))
+                x = np.lexsort((three, two))
+                x = x[(np.diff(two[x], prepend=~two[x[:1]]) != 0) | (np.diff(three[x], prepend=~three[x[:1]]) != 0)]
+                keys, at, n = np.unique(two[x], return_index=True, return_counts=True)
+                zeros = np.zeros(len(keys))
+                bigrams.append((keys, [n, zeros, zeros, zeros, zeros]))
+                words, place = np.unique(np.concatenate([before[x[at]], word[x[at]]]), return_inverse=True)
+                columns = [np.bincount(place[len(at) :], minlength=len(words)), *_classes(place[: len(at)], n, len(words))]
+                for to, i, j in _cuts(_shards(words, shards)):
+                    out.append(_counted(side, to, 0, words[i:j], [c[i:j] for c in columns]))
+            out.append(_counted(side, shard, 2, *_merged(bigrams)))
+            give_back()
+            return pa.Table.from_batches(out)
+
+        sent_ = rows.mapInArrow(run, "side int, shard int, left boolean, data binary")
+        return saved(sent_.groupBy("side", "shard").applyInArrow(reduce, _COUNTS), "ngrams", clear=True)
+
+    def summed(table: pa.Table) -> pa.Table:
+        parts = [(_sums(keys), columns) for keys, *columns in (_stretched(x.as_py()) for x in table.column("data"))]
+        return pa.Table.from_batches([_counted(table.column("side")[0].as_py(), table.column("shard")[0].as_py(), 1, *_merged(parts))])
+
+    tables = []
+    for turn in range(rounds):
+        tables.append(count(turn))
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    words = saved(out.where("kind = 0").groupBy("side", "shard").applyInArrow(summed, _COUNTS), "words", clear=True)
+    whole = out.where("kind > 0").unionByName(words)
+    whole._parts = [*tables, words]
     discounts, single = np.zeros((3, WORD_ORDER, 4)), np.zeros((3, 2))
-    for k, level in enumerate(levels):
-        number = np.zeros((3, 5), np.int64)
-        for r in level.groupBy("side", F.least("n", F.lit(5)).alias("n")).agg(F.count(F.lit(1)).alias("m")).where("n < 5").collect():
-            number[r.side, r.n] = r.m
-        for side in range(3):
-            discounts[side, k] = _discounts_of(number[side, 1:].tolist())
-
-    def spare(k: int):
-        rate = F.array(*(F.array(*(F.lit(float(x)) for x in discounts[side, k])) for side in range(3)))
-        return F.sum(F.get(F.get(rate, F.col("side")), F.least("n", F.lit(3)).cast("int")))
-
-    for r in first.groupBy("side").agg(F.sum("n"), spare(0)).collect():
-        single[r[0]] = r[1], r[2]
-    parts = [level.select("side", "key", F.lit(False).alias("context"), F.col("n").cast("double").alias("a"), F.lit(0.0).alias("b")) for level in levels]
-    parts += [levels[k].groupBy("side", F.col("of").alias("key")).agg(F.sum("n").cast("double").alias("a"), spare(k).alias("b")).select("side", "key", F.lit(True).alias("context"), "a", "b") for k in (1, 2)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    out = saved(out, "counts")
-    for done in (whole, second, first):
-        discard(done)
-    return out, discounts, single
+    for r in whole.groupBy("side", "kind").agg(*(F.sum(c) for c in ("m1", "m2", "m3", "m4", "number", "total"))).collect():
+        side, kind, *m, number, total = r
+        d = discounts[side, kind - 1] = _discounts_of(m)
+        if kind == 1:
+            single[side] = total, d[1] * m[0] + d[2] * m[1] + d[3] * (number - m[0] - m[1])
+    return whole, discounts, single
 
 
 class Model:
     """What judging takes: counts of symbols' and words' n-grams, toxic words, and the limit of each language."""
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, words: tuple[DataFrame, np.ndarray, np.ndarray], toxic: np.ndarray, allowance: float):
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, shards: int, toxic: np.ndarray, allowance: float):
         order = np.argsort(codes)
-        self.codes, self.counts, self.toxic = codes[order], counts[order], toxic
-        self.words, self.discounts, self.single = words
+        self.codes, self.counts, self.toxic, self.shards = codes[order], counts[order], toxic, shards
         self.allowance, self.deviation = allowance, 0.0
         self.overall, self.limits = math.inf, {}
         self.name = uuid.uuid4().hex
 
+    def learn(self, rows: DataFrame) -> None:
+        """Takes the counts of the rows' texts (text, side) for those it had."""
+        self.words, self.discounts, self.single = _word_counts(rows, self.shards)
+
+    def forget(self) -> None:
+        """Deletes the counts."""
+        for t in self.words._parts:
+            discard(t)
+
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "words"}
 
     def table(self) -> np.ndarray:
         return textvec.resident(("table", self.name), lambda: log_probabilities(self.codes, self.counts) if len(self.codes) else np.zeros(GRAMS, np.float32))
 
-    def sums(self, buf: np.ndarray, off: np.ndarray, side: int, counts: tuple, totals: tuple) -> list[np.ndarray]:
-        """Each row's sums of log-probabilities, of their squares, of their products with lengths and of lengths' squares, a word each, and number of toxic words."""
+    def sums(self, buf: np.ndarray, off: np.ndarray, side: int, places: list[np.ndarray], outset: np.ndarray, n: np.ndarray, totals: np.ndarray, spares: list[np.ndarray]) -> list[np.ndarray]:
+        """Each row's sums of log-probabilities, of their squares, of their products with lengths and of lengths' squares, a word each, and number of toxic words.
+
+        ``places`` are the words' n-grams' indexes in the figures after them, ``outset``
+        those of what stands before a text.
+        """
         spelled = self.table()[grams(buf, off)].astype(np.float64)
-        own, contexts, starts, first = word_grams(buf, off)
-        marks = np.unique(np.concatenate([starts, off]))
+        starts, _, first = textvec.word_bounds(buf, off, textvec.NOT_SPACE)
+        marks = _distinct(np.concatenate([starts, off]))
         pieces = textvec.row_sums(spelled, marks)
         at = np.searchsorted(marks, starts)
-        lp = word_log_probabilities(own, contexts, pieces[at], counts, totals, self.discounts[side], self.single[side])
+        heads = first[:-1][first[:-1] < first[1:]]
+        contexts = [np.roll(x, 1) for x in places[:2]]
+        for x, place in zip(contexts, outset, strict=True):
+            x[heads] = place
+        lp = word_log_probabilities(places, contexts, pieces[at], n, totals, spares, self.discounts[side], self.single[side])
         size = np.diff(marks)[at].astype(np.float64)
         lead = np.flatnonzero((off[1:] > off[:-1]) & ~np.isin(off[:-1], starts))  # white space before the first word
         out = [textvec.row_sums(x, first) for x in (lp, lp * lp, lp * size, size * size)]
@@ -345,8 +500,20 @@ class Model:
         return -lp / n - self.allowance * self.deviation / np.sqrt(n)
 
 
-def _scored(docs: DataFrame, side: str, text: str, model: Model, result, schema) -> DataFrame:
-    """``result(model, rows, n, sums)`` of the rows, part by part, with the counts their n-grams have; ``side`` and ``text`` are columns."""
+def _places(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Each key's index among the sorted known ones; their number, where it isn't there."""
+    if not len(known):
+        return np.zeros(len(keys), np.int64)
+    k = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[k] == keys, k, len(known))
+
+
+def _scored(docs: DataFrame, side: str, text: str, model: Model, result, schema, name: str, most: int) -> DataFrame:
+    """``result(model, rows, n, sums)`` of the rows, part by part, with the counts their n-grams have; ``side`` and ``text`` are columns.
+
+    The parts take turns, up to ``most``, each written as a table of that name before the
+    next, so that what is shuffled at a time is a share of the whole.
+    """
     spark = docs.sparkSession
     short_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -355,63 +522,94 @@ def _scored(docs: DataFrame, side: str, text: str, model: Model, result, schema)
     raw = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")
     size = docs.agg(F.sum(F.length(raw))).first()[0] or 0
     plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if c != text and "map<" not in kind and kind != "variant"]  # equal texts of different rows needn't meet
-    docs = docs.withColumn(part, F.pmod(F.xxhash64(raw, *plain), F.lit(max(1, math.ceil(size / PART_BYTES)))).cast("int"))
-
-    def ask(batches):
-        parts, held = [], 0
-        for batch in batches:
-            # one bucket a part and side
-            bucket = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64) * 3 + batch.column(2).to_numpy(zero_copy_only=False)
-            buf, off = textvec.binary_column(batch.column(0))
-            for i, j in textvec.chunks(off):
-                own, contexts, _, first = word_grams(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                at = np.repeat(bucket[i:j], np.diff(first))
-                parts += [(at, key) for key in (*own, *contexts)]
-                held += 5 * len(at)
-            if held > 3_000_000:
-                yield distinct(parts)
-                parts, held = [], 0
-        if parts:
-            yield distinct(parts)
-        give_back()
+    parts = max(1, math.ceil(size / PART_BYTES))
+    docs = docs.withColumn(part, F.pmod(F.xxhash64(raw, *plain), F.lit(parts)).cast("int"))
+    at, on, whole = docs.columns.index(text), docs.columns.index(side), docs.columns.index(part)
 
-    def distinct(parts):
-        bucket, key = (np.concatenate(x) for x in zip(*parts, strict=True))
-        by = np.lexsort((bucket, key))
-        bucket, key = bucket[by], key[by]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])
-        return pa.RecordBatch.from_arrays([pa.array(bucket[new].astype(np.int32)), pa.array(key[new].view(np.int64))], ["bucket", "key"])
-
-    # a key may be asked for twice by a part of several tasks, which is harmless
-    asked = docs.select(raw.alias("text"), F.col(part), F.col(side)).mapInArrow(ask, "bucket int, key long").withColumn("side", F.pmod("bucket", F.lit(3)))
-    known = asked.join(model.words, ["side", "key"]).select(F.expr("bucket div 3").cast("int").alias(part), "side", "key", "context", "a", "b")
-    at, on = docs.columns.index(text), docs.columns.index(side)
-
-    def judge(rows: pa.Table, counts: pa.Table) -> pa.Table:
-        model = shared.value
-        of, key, context, a, b = (counts.column(c).to_numpy() for c in ("side", "key", "context", "a", "b"))
-        key = key.view(np.uint64)
-        tables = {}
-        for k in range(3):
-            tables[k] = []
-            for kind in (False, True):
-                x = np.flatnonzero((of == k) & (context == kind))
-                x = x[np.argsort(key[x])]
-                tables[k].append((key[x], a[x], b[x]))
-        out = []
+    def texts(rows: pa.Table):
+        """Side, rows, and bounds within a buffer, of all chunks."""
         for batch in rows.to_batches():
             sides = batch.column(on).to_numpy(zero_copy_only=False)
-            for k in np.unique(sides):
+            for k in np.unique(sides).tolist():
                 some = batch.filter(pa.array(sides == k))
                 buf, off = textvec.binary_column(some.column(at).cast(pa.string()))
                 for i, j in textvec.chunks(off):
-                    bounds = off[i : j + 1] - off[i]
-                    out.append(result(model, some.slice(i, j - i), np.diff(bounds), model.sums(buf[off[i] : off[j]], bounds, int(k), *tables[int(k)])))
+                    yield k, some.slice(i, j - i), buf[off[i] : off[j]], off[i : j + 1] - off[i]
+
+    def asked(rows: pa.Table) -> dict[int, list[np.ndarray]]:
+        """The keys of each side: of what stands before a text, then three arrays a chunk."""
+        keys = {}
+        for k, _, buf, off in texts(rows):
+            more = keys.setdefault(k, [np.array([_BEFORE, _BEFORE_TWO])])
+            more += word_grams(buf, off)[0]
+        return keys
+
+    def ask(rows: pa.Table) -> pa.Table:
+        of, out = rows.column(whole)[0].as_py(), []
+        for k, keys in asked(rows).items():
+            keys = _distinct(np.concatenate(keys))
+            for shard, i, j in _cuts(_shards(keys, shared.value.shards)):
+                out.append((of, k, shard, _squeezed(_steps(keys[i:j]))))
+        give_back()
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], [part, "side", "shard", "data"])
+
+    def answer(asks: pa.Table, counts: pa.Table) -> pa.Table:
+        known, columns = np.zeros(1, np.uint64), [np.zeros(1, np.uint64)] * 5
+        blobs = [_stretched(x.as_py()) for x in counts.column("data")]
+        if blobs:
+            known = np.concatenate([_sums(x[0]) for x in blobs])
+            by = np.argsort(known)
+            known, columns = known[by], [np.concatenate(x)[by] for x in list(zip(*blobs, strict=True))[1:]]
+        out = []
+        for x in asks.column("data"):
+            (keys,) = _stretched(x.as_py())
+            places = _places(_sums(keys), known)
+            hit = places < len(known)
+            places = places[hit] if blobs else places[:0]
+            out.append(_squeezed(np.packbits(hit) if blobs else np.zeros((len(keys) + 7) // 8), *(c[places] for c in columns)))
+        give_back()
+        return asks.set_column(asks.column_names.index("data"), "data", pa.array(out, pa.binary()))
+
+    def judge(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        model, figures = shared.value, {}
+        of, shard = (answers.column(c).to_numpy() for c in ("side", "shard"))
+        for k, arrays in asked(rows).items():
+            keys = np.concatenate(arrays)
+            order = np.argsort(keys)
+            keys = keys[order]
+            new = np.append(True, keys[1:] != keys[:-1])
+            keys = keys[new]
+            hits, columns = [], [[] for _ in range(5)]
+            own = np.flatnonzero(of == k)
+            cuts = _cuts(_shards(keys, model.shards))
+            own = own[np.argsort(shard[own])]
+            for x, (_, i, j) in zip(own.tolist(), cuts, strict=True):
+                hit, *more = _stretched(answers.column("data")[x].as_py())
+                hits.append(np.unpackbits(hit.astype(np.uint8), count=j - i))
+                for c, v in zip(columns, more, strict=True):
+                    c.append(v)
+            n, total, *follow = (np.concatenate([*c, np.zeros(1, np.uint64)]).astype(np.float64) for c in columns)
+            spares = [sum(d * f for d, f in zip(model.discounts[k, order][1:], follow, strict=True)) for order in (1, 2)]
+            hits = np.concatenate(hits) > 0
+            place = np.where(hits, np.cumsum(hits) - 1, len(n) - 1)
+            places = np.empty(len(order), np.int32)
+            places[order] = place[np.cumsum(new) - 1]
+            figures[k] = iter(np.split(places, np.cumsum([len(x) for x in arrays[:-1]]))), (n, total, spares)
+        outset = {k: next(of) for k, (of, _) in figures.items()}
+        out = [result(model, some, np.diff(off), model.sums(buf, off, k, [next(figures[k][0]) for _ in range(WORD_ORDER)], outset[k], *figures[k][1])) for k, some, buf, off in texts(rows)]
         give_back()
         return pa.Table.from_batches(out)
 
-    return docs.groupBy(part).cogroup(known.groupBy(part)).applyInArrow(judge, schema)
+    turns, done = min(parts, most), []
+    for turn in range(turns):
+        some = docs.where(F.col(part) % turns == turn) if turns > 1 else docs
+        asks = some.groupBy(part).applyInArrow(ask, f"`{part}` int, side int, shard int, data binary")
+        answers = asks.groupBy("side", "shard").cogroup(model.words.select("side", "shard", "data").groupBy("side", "shard")).applyInArrow(answer, f"`{part}` int, side int, shard int, data binary")
+        done.append(saved(some.groupBy(part).cogroup(answers.groupBy(part)).applyInArrow(judge, schema), name, clear=True))
+    out = done[0]
+    for t in done[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, allowance: float = 1.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -429,13 +627,17 @@ def fit(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, allowance:
     rows = labelled(docs, labels, id_col, text_col, lang_col)
     toxic = _toxic_words(rows)
     seen = _counts(rows).toPandas()
-    model = Model(seen["gram"].to_numpy(np.int64), seen["n"].to_numpy(np.int64), _word_counts(rows), toxic, allowance)
+    taught = rows.where("trusted").select("text", "lang", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"))
+    size = taught.agg(F.sum(F.length("text"))).first()[0] or 0
+    model = Model(seen["gram"].to_numpy(np.int64), seen["n"].to_numpy(np.int64), min(1 << 16, max(1, math.ceil(size / SHARD_BYTES))), toxic, allowance)
 
     def result(model, rows, n, sums):
         return pa.RecordBatch.from_arrays([rows.column(1), pa.array(n), *map(pa.array, sums[:4])], ["lang", "n", "lp", "lp2", "lpn", "n2"])
 
-    halves = rows.where("trusted").select("text", "lang", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("side")).withColumn("text", F.col("text").cast("string"))
-    trusted = saved(_scored(halves, "side", "text", model, result, "lang string, n long, lp double, lp2 double, lpn double, n2 double").where("n > 0"), "trusted")
+    model.learn(taught.select("text", (1 - F.col("half")).alias("side")))
+    halves = taught.withColumnRenamed("half", "side").withColumn("text", F.col("text").cast("string"))
+    trusted = _scored(halves, "side", "text", model, result, "lang string, n long, lp double, lp2 double, lpn double, n2 double", "trusted", COUNT_ROUNDS).where("n > 0")
+    model.forget()
     total, lp, lp2, lpn, n2 = trusted.agg(*(F.sum(c) for c in ("n", "lp", "lp2", "lpn", "n2"))).first()
     if total:
         mean = lp / total
@@ -444,6 +646,7 @@ def fit(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, allowance:
         cut = F.percentile_approx(figure, F.lit(quantile), F.lit(20_000))
         model.overall = trusted.agg(cut).first()[0]
         model.limits = dict(trusted.groupBy("lang").agg(cut).collect())
+    model.learn(taught.select("text", F.lit(BOTH).alias("side")))
     return model
 
 
@@ -464,7 +667,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *map(pa.array, _judged(model, rows.column(1), n, sums))], [c.split()[0] for c in SCORES.split(", ")])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"), F.lit(BOTH).alias("side"))
-    return _scored(rows, "side", "text", model, result, SCORES)
+    return _scored(rows, "side", "text", model, result, SCORES, "scores", ROUNDS)
 
 
 def _judged(model: Model, langs: pa.Array, n: np.ndarray, sums: list[np.ndarray]) -> list[np.ndarray]:
@@ -485,4 +688,4 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", lang_col: s
         kept = _judged(model, rows.column(lang).cast(pa.string()), n, sums)[-1]
         return pa.RecordBatch.from_arrays(rows.columns[:width], names).filter(pa.array(kept))
 
-    return _scored(docs.withColumn(side, F.lit(BOTH)), side, names[text], model, result, docs.schema)
+    return _scored(docs.withColumn(side, F.lit(BOTH)), side, names[text], model, result, docs.schema, "kept", ROUNDS)

@@ -384,6 +384,19 @@ def test_perplexity_of_words_equals_brute_force(spark):
         assert got[r.doc_id].perplexity == pytest.approx(math.exp(-total / max(1, len(raw))), rel=1e-6), r
 
 
+def test_word_counts_are_whole_and_compact(spark):
+    rng = random.Random(34)
+    texts = [" ".join(f"w{i}" for i in (rng.randrange(3000) for _ in range(400))) for _ in range(100)]
+    rows = spark.createDataFrame([(t.encode(), quality.BOTH) for t in texts], "text binary, side int")
+    counts, _, single = quality._word_counts(rows, 5)
+    words = [["", "", *t.split()] for t in texts]
+    trigrams = {tuple(w[i : i + 3]) for w in words for i in range(len(w) - 2)}
+    held = counts.where("kind = 3").agg({"number": "sum"}).first()[0]
+    assert held == len(trigrams) and single[quality.BOTH][0] == len({g[1:] for g in trigrams})
+    assert counts.agg({"data": "count"}).first()[0] <= 15
+    assert sum(len(r.data) for r in counts.select("data").collect()) < 16 * len(trigrams)
+
+
 def test_junk_of_other_scripts_is_told(spark):
     rng = random.Random(32)
     kinds = ["".join(rng.choices("бвгджзклмнпрст", k=3)) + rng.choice(["ать", "ого", "ами"]) for _ in range(60)]
