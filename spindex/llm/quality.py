@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -177,15 +178,17 @@ def _squeezed(*columns: np.ndarray) -> bytes:
     return np.array(head, np.uint32).tobytes() + pa.compress(b"".join(planes), codec="zstd", asbytes=True)
 
 
-def _stretched(blob: bytes) -> list[np.ndarray]:
+def _stretched(blob: bytes, narrow: bool = False) -> list[np.ndarray]:
+    """The columns; with ``narrow`` each in the smallest type of numbers that holds it."""
     head = np.frombuffer(blob, np.uint32, 1 + 2 * int(np.frombuffer(blob, np.uint32, 1)[0]))
     sizes = head[1:].reshape(-1, 2).astype(np.int64)
     raw = np.frombuffer(pa.decompress(blob[4 * len(head) :], int((sizes[:, 0] * sizes[:, 1]).sum()), codec="zstd"), np.uint8)
     out, at = [], 0
     for n, width in sizes.tolist():
-        x = np.zeros((n, 8), np.uint8)
+        kind = np.dtype(f"u{1 << (width - 1).bit_length()}" if narrow else np.uint64)
+        x = np.zeros((n, kind.itemsize), np.uint8)
         x[:, :width] = raw[at : at + n * width].reshape(width, n).T
-        out.append(x.reshape(-1).view(np.uint64))
+        out.append(x.reshape(-1).view(kind))
         at += n * width
     return out
 
@@ -217,9 +220,9 @@ def word_log_probabilities(places: list[np.ndarray], contexts: list[np.ndarray],
     """
     own, rest = np.zeros(len(spelled)), np.ones(len(spelled))  # the probability is own + rest * that of the spelling
     for k in range(WORD_ORDER):
-        total, spare = (totals[contexts[k - 1]], spares[k - 1][contexts[k - 1]]) if k else single
+        total, spare = (totals[contexts[k - 1]].astype(np.float64), spares[k - 1][contexts[k - 1]]) if k else single
         seen = total > 0
-        c = n[places[k]]
+        c = n[places[k]].astype(np.float64)
         total = np.where(seen, total, 1.0)
         back = np.where(seen, spare / total, 1.0)
         own = np.where(seen, (c - discounts[k][np.minimum(c, 3).astype(np.int64)]) / total, 0.0) + back * own
@@ -228,6 +231,16 @@ def word_log_probabilities(places: list[np.ndarray], contexts: list[np.ndarray],
         return np.where(own > 0, np.log(np.where(own > 0, own + rest * np.exp(spelled), 1.0)), np.log(rest) + spelled)
 
 
+class _Spares:
+    """The spare mass of contexts, worked out for those that are asked for."""
+
+    def __init__(self, discounts: np.ndarray, follow: list[np.ndarray]):
+        self.discounts, self.follow = discounts, follow
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return sum(d * f[at].astype(np.float64) for d, f in zip(self.discounts, self.follow, strict=True))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """doc_id, text (bytes), lang, trusted, toxic of the documents that have a label; of several labels the worst holds."""
     known = labels.where("doc_id is not null").groupBy("doc_id").agg((F.coalesce(F.min("quality"), F.lit(0)) == 1).alias("good"), (F.coalesce(F.max("toxic"), F.lit(0)) == 1).alias("toxic"))
@@ -508,6 +521,37 @@ def _places(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.where(known[k] == keys, k, len(known))
 
 
+def _found(arrays: list[np.ndarray], blobs: Iterable[bytes], shards: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Each key's index in the columns that answer, which end with a zero for keys without an answer, and the columns.
+
+    ``blobs`` are the answers in the order of shards. ``arrays`` is emptied, and figures
+    stay as narrow as they came, as a part has a few million keys.
+    """
+    bounds = np.cumsum([len(x) for x in arrays[:-1]])
+    keys = np.concatenate(arrays)
+    arrays.clear()
+    by = np.argsort(keys)
+    keys = keys[by]
+    by = by.astype(np.int32)
+    new = np.append(True, keys[1:] != keys[:-1])
+    cuts = _cuts(_shards(keys[new], shards))
+    del keys
+    hits, columns = [], [[] for _ in range(5)]
+    for blob, (_, i, j) in zip(blobs, cuts, strict=True):
+        hit, *more = _stretched(blob, narrow=True)
+        hits.append(np.unpackbits(hit.astype(np.uint8), count=j - i))
+        for c, v in zip(columns, more, strict=True):
+            c.append(v)
+    for k, c in enumerate(columns):
+        columns[k] = np.concatenate([*c, np.zeros(1, np.uint8)])
+        c.clear()
+    hits = np.concatenate(hits) > 0
+    place = np.where(hits, np.cumsum(hits, dtype=np.int32) - np.int32(1), np.int32(len(columns[0]) - 1))
+    places = np.empty(len(by), np.int32)
+    places[by] = place[np.cumsum(new, dtype=np.int32) - np.int32(1)]
+    return np.split(places, bounds), columns
+
+
 def _scored(docs: DataFrame, side: str, text: str, model: Model, result, schema, name: str, most: int) -> DataFrame:
     """``result(model, rows, n, sums)`` of the rows, part by part, with the counts their n-grams have; ``side`` and ``text`` are columns.
 
@@ -547,7 +591,10 @@ def _scored(docs: DataFrame, side: str, text: str, model: Model, result, schema,
     def ask(rows: pa.Table) -> pa.Table:
         of, out = rows.column(whole)[0].as_py(), []
         for k, keys in asked(rows).items():
-            keys = _distinct(np.concatenate(keys))
+            joined = np.concatenate(keys)
+            keys.clear()
+            keys = _distinct(joined)
+            del joined
             for shard, i, j in _cuts(_shards(keys, shared.value.shards)):
                 out.append((of, k, shard, _squeezed(_steps(keys[i:j]))))
         give_back()
@@ -555,11 +602,11 @@ def _scored(docs: DataFrame, side: str, text: str, model: Model, result, schema,
 
     def answer(asks: pa.Table, counts: pa.Table) -> pa.Table:
         known, columns = np.zeros(1, np.uint64), [np.zeros(1, np.uint64)] * 5
-        blobs = [_stretched(x.as_py()) for x in counts.column("data")]
+        blobs = [_stretched(x.as_py(), narrow=True) for x in counts.column("data")]
         if blobs:
-            known = np.concatenate([_sums(x[0]) for x in blobs])
+            known = np.concatenate([_sums(x.pop(0)) for x in blobs])
             by = np.argsort(known)
-            known, columns = known[by], [np.concatenate(x)[by] for x in list(zip(*blobs, strict=True))[1:]]
+            known, columns = known[by], [np.concatenate([x.pop(0) for x in blobs])[by] for _ in range(5)]
         out = []
         for x in asks.column("data"):
             (keys,) = _stretched(x.as_py())
@@ -572,29 +619,12 @@ def _scored(docs: DataFrame, side: str, text: str, model: Model, result, schema,
 
     def judge(rows: pa.Table, answers: pa.Table) -> pa.Table:
         model, figures = shared.value, {}
-        of, shard = (answers.column(c).to_numpy() for c in ("side", "shard"))
+        of, shard, data = *(answers.column(c).to_numpy() for c in ("side", "shard")), answers.column("data")
         for k, arrays in asked(rows).items():
-            keys = np.concatenate(arrays)
-            order = np.argsort(keys)
-            keys = keys[order]
-            new = np.append(True, keys[1:] != keys[:-1])
-            keys = keys[new]
-            hits, columns = [], [[] for _ in range(5)]
             own = np.flatnonzero(of == k)
-            cuts = _cuts(_shards(keys, model.shards))
-            own = own[np.argsort(shard[own])]
-            for x, (_, i, j) in zip(own.tolist(), cuts, strict=True):
-                hit, *more = _stretched(answers.column("data")[x].as_py())
-                hits.append(np.unpackbits(hit.astype(np.uint8), count=j - i))
-                for c, v in zip(columns, more, strict=True):
-                    c.append(v)
-            n, total, *follow = (np.concatenate([*c, np.zeros(1, np.uint64)]).astype(np.float64) for c in columns)
-            spares = [sum(d * f for d, f in zip(model.discounts[k, order][1:], follow, strict=True)) for order in (1, 2)]
-            hits = np.concatenate(hits) > 0
-            place = np.where(hits, np.cumsum(hits) - 1, len(n) - 1)
-            places = np.empty(len(order), np.int32)
-            places[order] = place[np.cumsum(new) - 1]
-            figures[k] = iter(np.split(places, np.cumsum([len(x) for x in arrays[:-1]]))), (n, total, spares)
+            blobs = (data[x].as_py() for x in own[np.argsort(shard[own])].tolist())
+            places, (n, total, *follow) = _found(arrays, blobs, model.shards)
+            figures[k] = iter(places), (n, total, [_Spares(model.discounts[k, order][1:], follow) for order in (1, 2)])
         outset = {k: next(of) for k, (of, _) in figures.items()}
         out = [result(model, some, np.diff(off), model.sums(buf, off, k, [next(figures[k][0]) for _ in range(WORD_ORDER)], outset[k], *figures[k][1])) for k, some, buf, off in texts(rows)]
         give_back()

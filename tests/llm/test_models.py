@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -397,6 +398,30 @@ def test_word_counts_are_whole_and_compact(spark):
     assert sum(len(r.data) for r in counts.select("data").collect()) < 16 * len(trigrams)
 
 
+def test_answers_of_a_part_take_little_memory():
+    rng = np.random.default_rng(5)
+    keys = rng.integers(0, 1 << 20, 600_000, dtype=np.uint64) << np.uint64(36)
+    known, n = np.unique(keys[::2], return_counts=True)
+    follow = [known % np.uint64(k) for k in (251, 70_000, 7, 3)]
+    blobs, asked = [], np.unique(keys)
+    for _, i, j in quality._cuts(quality._shards(asked, 9)):
+        hit = np.isin(asked[i:j], known)
+        at = np.searchsorted(known, asked[i:j][hit])
+        blobs.append(quality._squeezed(np.packbits(hit), n[at], *(f[at] for f in follow)))
+    arrays = [x.copy() for x in np.split(keys, [2, 250_000])]
+    tracemalloc.start()
+    try:
+        places, columns = quality._found(arrays, blobs, 9)
+        kept, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert [len(x) for x in places] == [2, 249_998, 350_000]
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    for got, expected in zip(columns, [n, *follow], strict=True):
+        assert (got[np.concatenate(places)] == np.where(known[at] == keys, expected[at], 0)).all()
+    assert peak < 40 * len(keys) and kept < 12 * len(keys), (peak / len(keys), kept / len(keys))
+
+
 def test_junk_of_other_scripts_is_told(spark):
     rng = random.Random(32)
     kinds = ["".join(rng.choices("бвгджзклмнпрст", k=3)) + rng.choice(["ать", "ого", "ами"]) for _ in range(60)]
