@@ -16,7 +16,7 @@ from spindex.llm.decontaminate import drop_contaminated
 from spindex.llm.lines import drop_boilerplate
 from spindex.llm.neardup import keep_first
 from spindex.llm.packing import pack
-from spindex.llm.quality import fit, keep_good
+from spindex.llm.quality import fit_and_keep
 from spindex.llm.queries import tokenizer_path
 
 
@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     fare as their texts do, and a null id matters to training only (see ``fit``). Null and
     empty texts stay. A figure equal to the limit is kept.
     """
-    return keep_good(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return fit_and_keep(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

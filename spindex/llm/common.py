@@ -72,6 +72,37 @@ def saved(df: DataFrame, name: str, keep: bool = False, clear: bool = False) ->
     return out
 
 
+class Buckets:
+    """A table in the shared folder to which rows are added, in buckets by a key, so that what joins it by that key shuffles its own side alone.
+
+    It has an entry in the session's catalog, under a name of its own, until it is discarded.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, key: str):
+        self.spark, self.key, self.number = spark, key, int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.table = f"spindex_{uuid.uuid4().hex}"
+        self.folder = f"{shared_dir(spark)}/{self.table}"
+        self.path = f"{self.folder}/{name}"
+        if _OPEN:
+            _OPEN[-1].append(self.folder)
+
+    def add(self, df: DataFrame) -> None:
+        """Adds rows; the files shuffled for it go when it ends."""
+        before = self.spark.conf.get(_CLEANUP)
+        try:
+            self.spark.conf.set(_CLEANUP, "true")
+            df.write.format("parquet").mode("append").bucketBy(self.number, self.key).option("path", self.path).saveAsTable(self.table)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+    def discard(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        _delete(self.spark, self.folder)
+
+
 def discard(table: DataFrame) -> None:
     """Deletes a table that ``saved`` wrote, once all that reads it is written itself."""
     _delete(table.sparkSession, table._folder)

@@ -35,21 +35,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from spindex.llm import textvec
-from spindex.llm.common import discard, fresh, give_back, saved, short_batches, text_bytes
+from spindex.llm.common import Buckets, fresh, give_back, saved, short_batches, text_bytes
 
 SYMBOLS, ORDER = 64, 4
 GRAMS = SYMBOLS**ORDER
 _REPEAT, _REST = 62, 63
 U64 = textvec.U64
 #: Keys of n-grams have so many bits; of those of three words the lower 40 are their own.
-KEY_BITS, _OWN = 56, U64((1 << 40) - 1)
+KEY_BITS, _OWN, _PLACE = 56, U64((1 << 40) - 1), U64(40)
 _DROPPED = U64(64 - KEY_BITS)
 #: Order of the model over words; the key of what stands before a text; what a repeated word's key is salted with.
 WORD_ORDER, _BEFORE, _AGAIN = 3, U64(0x5BF03635A4C1E7D9) >> _DROPPED, U64(0x1F83D9ABFB41BD6B)
 #: Bytes of text scored together, about, and of trusted text whose n-grams are a shard; sides: 0 and 1 are judged by the counts of the other half, 2 by all.
 PART_BYTES, SHARD_BYTES, BOTH = 8 << 20, 4 << 20, 2
+#: Columns of figures an n-gram has for a side; the counts hold those of both, of side 0 and of side 1, in this order.
+FIGURES, SIDES = 5, (BOTH, 0, 1)
 #: Turns in which trusted text is counted and scored, and all text scored: a share of it is shuffled at a time.
 COUNT_ROUNDS, ROUNDS = 4, 8
 #: Labels that may be broadcast; beyond that labels and documents are joined by a shuffle.
@@ -85,16 +88,28 @@ def _joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 _BEFORE_TWO = _joined(np.array([_BEFORE]), np.array([_BEFORE]))[0]
 
 
-def grams(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """The n-gram code that ends at each byte; contexts begin anew with each row."""
+def _repeated(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Indexes of the words that equal the one before them in their row, in any case of A-Z."""
+    size = ends - starts
+    x = np.flatnonzero((size[1:] == size[:-1]) & (textvec.LOWER[buf[starts[1:]]] == textvec.LOWER[buf[starts[:-1]]])) + 1
+    head = np.zeros(len(starts) + 1, bool)
+    head[first] = True
+    x = x[~head[x]]
+    if not len(x):
+        return x
+    size = size[x]
+    begin = np.cumsum(size) - size
+    at = np.arange(int(size.sum())) - np.repeat(begin, size)
+    equal = textvec.LOWER[buf[np.repeat(starts[x], size) + at]] == textvec.LOWER[buf[np.repeat(starts[x - 1], size) + at]]
+    return x[np.logical_and.reduceat(equal, begin)]
+
+
+def grams(buf: np.ndarray, off: np.ndarray, bounds: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The n-gram code that ends at each byte; contexts begin anew with each row. ``bounds`` are those of its words, if known."""
     n = len(buf)
-    starts, ends, first = textvec.word_bounds(buf, off, textvec.NOT_SPACE)
-    words = textvec.span_hashes(textvec.LOWER[buf], starts, ends)
-    again = np.zeros(len(words), bool)
-    again[1:] = words[1:] == words[:-1]
-    again[first[:-1][first[:-1] < len(words)]] = False
+    starts, ends, first = bounds or textvec.word_bounds(buf, off, textvec.NOT_SPACE)
     s = _SYMBOL[buf].astype(np.int32)
-    s[starts[again]] = _REPEAT
+    s[starts[_repeated(buf, starts, ends, first)]] = _REPEAT
     place = np.arange(n) - np.repeat(off[:-1], np.diff(off))
     out = s.copy()
     for k in range(1, ORDER):
@@ -136,6 +151,22 @@ def log_probabilities(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.log(p, out=p)
 
 
+class _Spelling:
+    """``log_probabilities`` by n-gram code; contexts of the highest order that weren't seen share the rows of the order below."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        contexts = GRAMS // SYMBOLS
+        at = np.arange(contexts) % (contexts // SYMBOLS)
+        seen = codes // SYMBOLS
+        at[seen] = seen + contexts
+        _, first, self.row = _ranked(at)
+        self.row = self.row.astype(np.int32) * np.int32(SYMBOLS)
+        self.logs = (log_probabilities(codes, counts).reshape(contexts, SYMBOLS)[first] if len(codes) else np.zeros((len(first), SYMBOLS), np.float32)).reshape(-1)
+
+    def __getitem__(self, codes: np.ndarray) -> np.ndarray:
+        return self.logs[self.row[codes >> 6] + (codes & 63)]
+
+
 def word_grams(buf: np.ndarray, off: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
     """Keys of the n-grams of one, two and three words that end at each word, keys of their contexts of one and two words, starts of words, and each row's first word's index.
 
@@ -162,6 +193,16 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
+def _ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted different values, an index of each, and each value's place among them."""
+    by = np.argsort(x)
+    found = x[by]
+    new = np.append(True, found[1:] != found[:-1])[: len(x)]
+    place = np.empty(len(x), np.int64)
+    place[by] = np.cumsum(new) - 1
+    return found[new], by[new], place
+
+
 def _shards(keys: np.ndarray, n: int) -> np.ndarray:
     """Each key's shard of ``n``; larger keys are in no lower shard."""
     return ((keys >> U64(KEY_BITS - 16)) * U64(n) >> U64(16)).astype(np.int64)
@@ -172,7 +213,7 @@ def _squeezed(*columns: np.ndarray) -> bytes:
     planes, head = [], [len(columns)]
     for x in columns:
         x = np.ascontiguousarray(x, np.uint64)
-        width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+        width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0  # zeros take no room
         head += [len(x), width]
         planes.append(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
     return np.array(head, np.uint32).tobytes() + pa.compress(b"".join(planes), codec="zstd", asbytes=True)
@@ -185,7 +226,7 @@ def _stretched(blob: bytes, narrow: bool = False) -> list[np.ndarray]:
     raw = np.frombuffer(pa.decompress(blob[4 * len(head) :], int((sizes[:, 0] * sizes[:, 1]).sum()), codec="zstd"), np.uint8)
     out, at = [], 0
     for n, width in sizes.tolist():
-        kind = np.dtype(f"u{1 << (width - 1).bit_length()}" if narrow else np.uint64)
+        kind = np.dtype(f"u{1 << max(0, width - 1).bit_length()}" if narrow else np.uint64)
         x = np.zeros((n, kind.itemsize), np.uint8)
         x[:, :width] = raw[at : at + n * width].reshape(width, n).T
         out.append(x.reshape(-1).view(kind))
@@ -243,12 +284,17 @@ class _Spares:
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """doc_id, text (bytes), lang, trusted, toxic of the documents that have a label; of several labels the worst holds."""
-    known = labels.where("doc_id is not null").groupBy("doc_id").agg((F.coalesce(F.min("quality"), F.lit(0)) == 1).alias("good"), (F.coalesce(F.max("toxic"), F.lit(0)) == 1).alias("toxic"))
-    known = known.select("doc_id", (F.col("good") & ~F.col("toxic")).alias("trusted"), "toxic")
-    few = known.limit(MOST_LABELS + 1).count() <= MOST_LABELS
+    known = _known(labels)
     own = fresh("lang", set(docs.columns))
     texts = text_bytes(docs.withColumn(own, F.col(f"`{lang_col}`").cast("string")), id_col, text_col, own).withColumnRenamed(own, "lang")
-    return texts.join(F.broadcast(known) if few else known, "doc_id")
+    return texts.join(known, "doc_id")
+
+
+def _known(labels: DataFrame) -> DataFrame:
+    """doc_id, trusted, toxic, a row an id; to be broadcast if few."""
+    known = labels.where("doc_id is not null").groupBy("doc_id").agg((F.coalesce(F.min("quality"), F.lit(0)) == 1).alias("good"), (F.coalesce(F.max("toxic"), F.lit(0)) == 1).alias("toxic"))
+    known = known.select("doc_id", (F.col("good") & ~F.col("toxic")).alias("trusted"), "toxic")
+    return F.broadcast(known) if known.limit(MOST_LABELS + 1).count() <= MOST_LABELS else known
 
 
 def _toxic_words(rows: DataFrame) -> np.ndarray:
@@ -260,7 +306,7 @@ def _toxic_words(rows: DataFrame) -> np.ndarray:
             buf, off = textvec.binary_column(batch.column(1))
             for i, j in textvec.chunks(off):
                 words, first = textvec.words(buf[off[i] : off[j]], off[i : j + 1] - off[i], textvec.LETTERS)
-                held += [np.unique(words[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+                held += [_distinct(words[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
             number += batch.num_rows
             if len(held) > 2000:
                 yield from counted(held)
@@ -329,14 +375,22 @@ def _counts(rows: DataFrame) -> DataFrame:
 _COUNTS = "side int, shard int, kind int, data binary, m1 long, m2 long, m3 long, m4 long, number long, total long"
 
 
-def _counted(side: int, shard: int, kind: int, keys: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
-    """A row of the counts: keys, and how often each ends an n-gram (or what stands for it), its total as a context, and how many follow it once, twice and more often."""
-    n = columns[0]
-    m = [int((n == k).sum()) for k in (1, 2, 3, 4)] + [int((n > 0).sum()), int(n.sum())]
-    values = [side, shard, kind, _squeezed(_steps(keys), *columns), *m]
+def _counted(shard: int, kind: int, keys: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows of the counts, one a side: that of both has keys, and for each of ``SIDES`` how often a key ends an n-gram (or what stands for it), its total as a context, and how many follow it once, twice and more often."""
+    rows = []
+    for k, side in enumerate(SIDES):
+        n = columns[FIGURES * k]
+        data = None if k else _squeezed(_steps(keys), *columns)
+        rows.append([side, shard, kind, data, *(int((n == m).sum()) for m in (1, 2, 3, 4)), int((n > 0).sum()), int(n.sum())])
     names = [c.split() for c in _COUNTS.split(", ")]
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array([v], kinds[t]) for v, (_, t) in zip(values, names, strict=True)], [c for c, _ in names])
+    return pa.RecordBatch.from_arrays([pa.array(v, kinds[t]) for v, (_, t) in zip(zip(*rows, strict=True), names, strict=True)], [c for c, _ in names])
+
+
+def _by_side(place: np.ndarray, side: np.ndarray, size: int) -> list[np.ndarray]:
+    """How many of each place there are, of ``SIDES``."""
+    own = [np.bincount(place[side == k], minlength=size) for k in range(BOTH + 1)]
+    return [sum(own), *own[:BOTH]]
 
 
 def _classes(context: np.ndarray, n: np.ndarray, size: int) -> list[np.ndarray]:
@@ -345,17 +399,19 @@ def _classes(context: np.ndarray, n: np.ndarray, size: int) -> list[np.ndarray]:
 
 
 def _merged(parts: list[tuple[np.ndarray, list[np.ndarray]]]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sums of five columns by key; shorter lists of columns begin at the first, missing ones are 0."""
-    keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, [np.bincount(place, np.concatenate([c[i] for _, c in parts]), len(keys)).astype(np.int64) for i in range(5)]
+    """Sums of columns by key."""
+    keys, _, place = _ranked(np.concatenate([k for k, _ in parts]))
+    return keys, [np.bincount(place, np.concatenate(c), len(keys)).astype(np.int64) for c in zip(*(c for _, c in parts), strict=True)]
 
 
 def _word_counts(rows: DataFrame, shards: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """The counts of text by side, as rows of ``_COUNTS``; discounts by side and order; total and spare mass by side of the empty context.
+    """The counts of text, as rows of ``_COUNTS``; discounts by side and order; total and spare mass by side of the empty context.
 
-    Each three words go to the shard of the first two, where they are counted, and to that
+    Text of side 0 or 1 counts for that side and for both, so one count serves all. Each
+    three words go to the shard of the first two, where they are counted, and to that
     of the last two, where the different first words are. That is done for a share of
     the shards at a time, and shuffles end with it. Kinds: 3 and 2 n-grams, 1 words, 0 a shard's share in words.
+    The counts are in buckets by shard, so that what joins them shuffles its own side only.
     """
     rounds = min(COUNT_ROUNDS, shards)
 
@@ -383,80 +439,89 @@ def _word_counts(rows: DataFrame, shards: int) -> tuple[DataFrame, np.ndarray, n
             sides, context, three, sides2, two, three2, before, word = (np.concatenate(x) for x in zip(*parts, strict=True))
             for k in np.union1d(sides, sides2).tolist():
                 x = np.flatnonzero(sides == k)
-                x = x[np.lexsort((three[x], context[x]))]
-                own, ending = context[x], three[x] & _OWN
+                own, _, place = _ranked(context[x])
+                pair = np.sort((place.astype(np.uint64) << _PLACE) | (three[x] & _OWN))
+                own, ending = own[pair >> _PLACE], pair & _OWN
                 for shard, i, j in _cuts(_shards(own, shards)):
                     yield row(k, shard, True, _squeezed(_steps(own[i:j]), ending[i:j]))
                 x = np.flatnonzero(sides2 == k)
-                x = x[np.lexsort((three2[x], two[x]))]
-                x = x[(np.diff(two[x], prepend=U64(0)) != 0) | (np.diff(three2[x], prepend=U64(0)) != 0)]
-                own, ending = two[x], three2[x] & _OWN
-                for shard, i, j in _cuts(_shards(own, shards)):
-                    at = i + np.flatnonzero(np.diff(own[i:j], prepend=U64(0)))
-                    known, place = np.unique(np.concatenate([before[x[at]], word[x[at]]]), return_inverse=True)
-                    yield row(k, shard, False, _squeezed(_steps(own[i:j]), ending[i:j], _steps(known), place[: len(at)], place[len(at) :]))
+                own, at, place = _ranked(two[x])
+                first, last = before[x[at]], word[x[at]]
+                pair = _distinct((place.astype(np.uint64) << _PLACE) | (three2[x] & _OWN))
+                of, ending = (pair >> _PLACE).astype(np.int64), pair & _OWN
+                for shard, i, j in _cuts(_shards(own[of], shards)):
+                    a, b = of[i], of[j - 1] + 1
+                    known, _, place = _ranked(np.concatenate([first[a:b], last[a:b]]))
+                    yield row(k, shard, False, _squeezed(_steps(own[of[i:j]]), ending[i:j], _steps(known), place[: b - a], place[b - a :]))
 
         def row(side, shard, left, data):
             return pa.RecordBatch.from_arrays([pa.array([side], pa.int32()), pa.array([shard], pa.int32()), pa.array([left]), pa.array([data])], ["side", "shard", "left", "data"])
 
         def reduce(table: pa.Table) -> pa.Table:
-            side, shard = table.column("side")[0].as_py(), table.column("shard")[0].as_py()
+            shard = table.column("shard")[0].as_py()
             left, right = [], []
-            for is_left, data in zip(table.column("left").to_pylist(), table.column("data"), strict=True):
+            for side, is_left, data in zip(table.column("side").to_pylist(), table.column("left").to_pylist(), table.column("data"), strict=True):
                 x = _stretched(data.as_py())
                 own = _sums(x[0])
+                of = np.full(len(own), side, np.int8)
                 if is_left:
-                    left.append((own, (own & ~_OWN) | x[1]))
+                    left.append((of, own, (own & ~_OWN) | x[1]))
                 else:
                     known = _sums(x[2])
-                    group = np.cumsum(np.diff(own, prepend=U64(0)) != 0) - 1
-                    right.append((own, x[1], known[x[3].astype(np.int64)][group], known[x[4].astype(np.int64)][group]))
+                    group = np.cumsum(np.diff(own, prepend=own[:1]) != 0)
+                    right.append((of, own, x[1], known[x[3].astype(np.int64)][group], known[x[4].astype(np.int64)][group]))
             out, bigrams = [], []
             if left:
-                context, three = (np.concatenate(x) for x in zip(*left, strict=True))
-                keys, at, n = np.unique(three, return_index=True, return_counts=True)
-                zeros = np.zeros(len(keys), np.int64)
-                out.append(_counted(side, shard, 3, keys, [n, zeros, zeros, zeros, zeros]))
-                contexts, place = np.unique(context[at], return_inverse=True)
-                bigrams.append((contexts, [np.zeros(len(contexts)), *_classes(place, n, len(contexts))]))
+                side, context, three = (np.concatenate(x) for x in zip(*left, strict=True))
+                left.clear()
+                keys, at, place = _ranked(three)
+                counts = _by_side(place, side, len(keys))
+                zeros = [np.zeros(len(keys), np.int64)] * (FIGURES - 1)
+                out.append(_counted(shard, 3, keys, [c for n in counts for c in (n, *zeros)]))
+                contexts, _, place = _ranked(context[at])
+                none = np.zeros(len(contexts))
+                bigrams.append((contexts, [c for n in counts for c in (none, *_classes(place, n, len(contexts)))]))
             if right:
-                two, three, before, word = (np.concatenate(x) for x in zip(*right, strict=True))
-                x = np.lexsort((three, two))
-                x = x[(np.diff(two[x], prepend=~two[x[:1]]) != 0) | (np.diff(three[x], prepend=~three[x[:1]]) != 0)]
-                keys, at, n = np.unique(two[x], return_index=True, return_counts=True)
-                zeros = np.zeros(len(keys))
-                bigrams.append((keys, [n, zeros, zeros, zeros, zeros]))
-                words, place = np.unique(np.concatenate([before[x[at]], word[x[at]]]), return_inverse=True)
-                columns = [np.bincount(place[len(at) :], minlength=len(words)), *_classes(place[: len(at)], n, len(words))]
+                side, two, three, before, word = (np.concatenate(x) for x in zip(*right, strict=True))
+                right.clear()
+                keys, at, place = _ranked(two)
+                before, word = before[at], word[at]
+                pairs, _, place = _ranked((place.astype(np.uint64) << _PLACE) | three)
+                group = (pairs >> _PLACE).astype(np.int64)
+                counts = [np.bincount(group[n > 0], minlength=len(keys)) for n in _by_side(place, side, len(pairs))]
+                zeros = [np.zeros(len(keys))] * (FIGURES - 1)
+                bigrams.append((keys, [c for n in counts for c in (n, *zeros)]))
+                words, _, place = _ranked(np.concatenate([before, word]))
+                columns = []
+                for n in counts:
+                    columns += [np.bincount(place[len(keys) :][n > 0], minlength=len(words)), *_classes(place[: len(keys)], n, len(words))]
                 for to, i, j in _cuts(_shards(words, shards)):
-                    out.append(_counted(side, to, 0, words[i:j], [c[i:j] for c in columns]))
-            out.append(_counted(side, shard, 2, *_merged(bigrams)))
+                    out.append(_counted(to, 0, words[i:j], [c[i:j] for c in columns]))
+            out.append(_counted(shard, 2, *_merged(bigrams)))
             give_back()
             return pa.Table.from_batches(out)
 
         sent_ = rows.mapInArrow(run, "side int, shard int, left boolean, data binary")
-        return saved(sent_.groupBy("side", "shard").applyInArrow(reduce, _COUNTS), "ngrams", clear=True)
+        return sent_.groupBy("shard").applyInArrow(reduce, _COUNTS)
 
     def summed(table: pa.Table) -> pa.Table:
         parts = [(_sums(keys), columns) for keys, *columns in (_stretched(x.as_py()) for x in table.column("data"))]
-        return pa.Table.from_batches([_counted(table.column("side")[0].as_py(), table.column("shard")[0].as_py(), 1, *_merged(parts))])
+        return pa.Table.from_batches([_counted(table.column("shard")[0].as_py(), 1, *_merged(parts))])
 
-    tables = []
+    out = Buckets(rows.sparkSession, "ngrams", "shard")
     for turn in range(rounds):
-        tables.append(count(turn))
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    words = saved(out.where("kind = 0").groupBy("side", "shard").applyInArrow(summed, _COUNTS), "words", clear=True)
-    whole = out.where("kind > 0").unionByName(words)
-    whole._parts = [*tables, words]
+        out.add(count(turn))
+    out.add(out.rows().where("kind = 0 and data is not null").groupBy("shard").applyInArrow(summed, _COUNTS))
+    whole = out.rows().where("kind > 0")
+    keyed = whole.where("data is not null")
+    keyed._buckets = out
     discounts, single = np.zeros((3, WORD_ORDER, 4)), np.zeros((3, 2))
     for r in whole.groupBy("side", "kind").agg(*(F.sum(c) for c in ("m1", "m2", "m3", "m4", "number", "total"))).collect():
         side, kind, *m, number, total = r
         d = discounts[side, kind - 1] = _discounts_of(m)
         if kind == 1:
             single[side] = total, d[1] * m[0] + d[2] * m[1] + d[3] * (number - m[0] - m[1])
-    return whole, discounts, single
+    return keyed, discounts, single
 
 
 class Model:
@@ -475,23 +540,22 @@ class Model:
 
     def forget(self) -> None:
         """Deletes the counts."""
-        for t in self.words._parts:
-            discard(t)
+        self.words._buckets.discard()
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "words"}
 
-    def table(self) -> np.ndarray:
-        return textvec.resident(("table", self.name), lambda: log_probabilities(self.codes, self.counts) if len(self.codes) else np.zeros(GRAMS, np.float32))
+    def table(self) -> _Spelling:
+        return textvec.resident(("table", self.name), lambda: _Spelling(self.codes, self.counts))
 
-    def sums(self, buf: np.ndarray, off: np.ndarray, side: int, places: list[np.ndarray], outset: np.ndarray, n: np.ndarray, totals: np.ndarray, spares: list[np.ndarray]) -> list[np.ndarray]:
-        """Each row's sums of log-probabilities, of their squares, of their products with lengths and of lengths' squares, a word each, and number of toxic words.
+    def sums(self, buf: np.ndarray, off: np.ndarray, places: list[np.ndarray], outset: np.ndarray, answers: list[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]) -> tuple[list[list[np.ndarray]], np.ndarray]:
+        """For each of the answers each row's sums of log-probabilities, of their squares, of their products with lengths and of lengths' squares, a word each; each row's number of toxic words.
 
-        ``places`` are the words' n-grams' indexes in the figures after them, ``outset``
-        those of what stands before a text.
+        ``places`` are the words' n-grams' indexes in the answers' figures, ``outset``
+        those of what stands before a text; an answer is a side, its counts, totals and spare masses.
         """
-        spelled = self.table()[grams(buf, off)].astype(np.float64)
-        starts, _, first = textvec.word_bounds(buf, off, textvec.NOT_SPACE)
+        bounds = starts, _, first = textvec.word_bounds(buf, off, textvec.NOT_SPACE)
+        spelled = self.table()[grams(buf, off, bounds)].astype(np.float64)
         marks = _distinct(np.concatenate([starts, off]))
         pieces = textvec.row_sums(spelled, marks)
         at = np.searchsorted(marks, starts)
@@ -499,14 +563,25 @@ class Model:
         contexts = [np.roll(x, 1) for x in places[:2]]
         for x, place in zip(contexts, outset, strict=True):
             x[heads] = place
-        lp = word_log_probabilities(places, contexts, pieces[at], n, totals, spares, self.discounts[side], self.single[side])
-        size = np.diff(marks)[at].astype(np.float64)
-        lead = np.flatnonzero((off[1:] > off[:-1]) & ~np.isin(off[:-1], starts))  # white space before the first word
-        out = [textvec.row_sums(x, first) for x in (lp, lp * lp, lp * size, size * size)]
-        out[0][lead] += pieces[np.searchsorted(marks, off[lead])]
+        size, whole = np.diff(marks)[at].astype(np.float64), pieces[at]
+        begin = np.searchsorted(marks, off)
+        lead = np.flatnonzero((off[1:] > off[:-1]) & ~textvec.NOT_SPACE[buf[np.minimum(off[:-1], len(buf) - 1)]]) if len(buf) else begin[:0]  # white space before the first word
+        out = []
+        for side, n, totals, spares in answers:
+            lp = word_log_probabilities(places, contexts, whole, n, totals, spares, self.discounts[side], self.single[side])
+            out.append([textvec.row_sums(x, first) for x in (lp, lp * lp, lp * size, size * size)])
+            out[-1][0][lead] += pieces[begin[lead]]
         words, first = textvec.words(buf, off, textvec.LETTERS)
-        hits = np.isin(words, self.toxic).astype(np.int64) if len(self.toxic) else np.zeros(len(words), np.int64)
-        return [*out, textvec.row_sums(hits, first)]
+        hit = np.flatnonzero(self.marked()[(words >> U64(48)).astype(np.int64)])
+        hits = np.zeros(len(words), np.int64)
+        hits[hit[np.isin(words[hit], self.toxic)]] = 1
+        return out, textvec.row_sums(hits, first)
+
+    def marked(self) -> np.ndarray:
+        """Whether a toxic word's hash begins with these 16 bits."""
+        out = np.zeros(1 << 16, bool)
+        out[(self.toxic >> U64(48)).astype(np.int64)] = True
+        return out
 
     def figures(self, lp: np.ndarray, n: np.ndarray) -> np.ndarray:
         n = np.maximum(n, 1)
@@ -521,7 +596,7 @@ def _places(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.where(known[k] == keys, k, len(known))
 
 
-def _found(arrays: list[np.ndarray], blobs: Iterable[bytes], shards: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _found(arrays: list[np.ndarray], blobs: Iterable[bytes], shards: int, columns: int = FIGURES) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Each key's index in the columns that answer, which end with a zero for keys without an answer, and the columns.
 
     ``blobs`` are the answers in the order of shards. ``arrays`` is emptied, and figures
@@ -536,7 +611,7 @@ def _found(arrays: list[np.ndarray], blobs: Iterable[bytes], shards: int) -> tup
     new = np.append(True, keys[1:] != keys[:-1])
     cuts = _cuts(_shards(keys[new], shards))
     del keys
-    hits, columns = [], [[] for _ in range(5)]
+    hits, columns = [], [[] for _ in range(columns)]
     for blob, (_, i, j) in zip(blobs, cuts, strict=True):
         hit, *more = _stretched(blob, narrow=True)
         hits.append(np.unpackbits(hit.astype(np.uint8), count=j - i))
@@ -552,11 +627,13 @@ def _found(arrays: list[np.ndarray], blobs: Iterable[bytes], shards: int) -> tup
     return np.split(places, bounds), columns
 
 
-def _scored(docs: DataFrame, side: str, text: str, model: Model, result, schema, name: str, most: int) -> DataFrame:
-    """``result(model, rows, n, sums)`` of the rows, part by part, with the counts their n-grams have; ``side`` and ``text`` are columns.
+def _scored(docs: DataFrame, side: str, text: str, model: Model, result, schema, name: str, most: int, both: bool = False) -> DataFrame:
+    """``result(model, rows, n, sums, hits)`` of the rows, part by part, with the counts their n-grams have; ``side`` and ``text`` are columns.
 
-    The parts take turns, up to ``most``, each written as a table of that name before the
-    next, so that what is shuffled at a time is a share of the whole.
+    ``sums`` are those by the counts of a row's side; with ``both`` those by all counts
+    come after them, where they are others. The parts, each of one side, take turns, up
+    to ``most``, each written as a table of that name before the next, so that what is
+    shuffled at a time is a share of the whole.
     """
     spark = docs.sparkSession
     short_batches(spark)
@@ -564,69 +641,76 @@ def _scored(docs: DataFrame, side: str, text: str, model: Model, result, schema,
     used = set(docs.columns)
     part = fresh("part", used)
     raw = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")
-    size = docs.agg(F.sum(F.length(raw))).first()[0] or 0
+    sizes = sorted(docs.groupBy(f"`{side}`").agg(F.sum(F.length(raw))).collect()) or [(BOTH, 0)]
     plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if c != text and "map<" not in kind and kind != "variant"]  # equal texts of different rows needn't meet
-    parts = max(1, math.ceil(size / PART_BYTES))
-    docs = docs.withColumn(part, F.pmod(F.xxhash64(raw, *plain), F.lit(parts)).cast("int"))
+    parts, number = 0, F.lit(0)
+    for k, size in sizes:
+        own = max(1, math.ceil(size / PART_BYTES))
+        number = F.when(F.col(f"`{side}`") == k, F.lit(parts) + F.pmod(F.xxhash64(raw, *plain), F.lit(own))).otherwise(number)
+        parts += own
+    docs = docs.withColumn(part, number.cast("int"))
     at, on, whole = docs.columns.index(text), docs.columns.index(side), docs.columns.index(part)
 
+    def asks_of(side: int) -> list[int]:
+        return [side, BOTH] if both and side != BOTH else [side]
+
     def texts(rows: pa.Table):
-        """Side, rows, and bounds within a buffer, of all chunks."""
+        """Rows, and bounds within a buffer, of all chunks."""
         for batch in rows.to_batches():
-            sides = batch.column(on).to_numpy(zero_copy_only=False)
-            for k in np.unique(sides).tolist():
-                some = batch.filter(pa.array(sides == k))
-                buf, off = textvec.binary_column(some.column(at).cast(pa.string()))
-                for i, j in textvec.chunks(off):
-                    yield k, some.slice(i, j - i), buf[off[i] : off[j]], off[i : j + 1] - off[i]
-
-    def asked(rows: pa.Table) -> dict[int, list[np.ndarray]]:
-        """The keys of each side: of what stands before a text, then three arrays a chunk."""
-        keys = {}
-        for k, _, buf, off in texts(rows):
-            more = keys.setdefault(k, [np.array([_BEFORE, _BEFORE_TWO])])
-            more += word_grams(buf, off)[0]
+            buf, off = textvec.binary_column(batch.column(at).cast(pa.string()))
+            for i, j in textvec.chunks(off):
+                yield batch.slice(i, j - i), buf[off[i] : off[j]], off[i : j + 1] - off[i]
+
+    def asked(rows: pa.Table) -> list[np.ndarray]:
+        """The keys: of what stands before a text, then three arrays a chunk."""
+        keys = [np.array([_BEFORE, _BEFORE_TWO])]
+        for _, buf, off in texts(rows):
+            keys += word_grams(buf, off)[0]
         return keys
 
     def ask(rows: pa.Table) -> pa.Table:
-        of, out = rows.column(whole)[0].as_py(), []
-        for k, keys in asked(rows).items():
-            joined = np.concatenate(keys)
-            keys.clear()
-            keys = _distinct(joined)
-            del joined
-            for shard, i, j in _cuts(_shards(keys, shared.value.shards)):
-                out.append((of, k, shard, _squeezed(_steps(keys[i:j]))))
+        of, k = rows.column(whole)[0].as_py(), rows.column(on)[0].as_py()
+        keys = asked(rows)
+        joined = np.concatenate(keys)
+        keys.clear()
+        keys = _distinct(joined)
+        del joined
+        out = [(of, k, shard, _squeezed(_steps(keys[i:j]))) for shard, i, j in _cuts(_shards(keys, shared.value.shards))]
         give_back()
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], [part, "side", "shard", "data"])
 
     def answer(asks: pa.Table, counts: pa.Table) -> pa.Table:
-        known, columns = np.zeros(1, np.uint64), [np.zeros(1, np.uint64)] * 5
-        blobs = [_stretched(x.as_py(), narrow=True) for x in counts.column("data")]
+        known, columns = np.zeros(1, np.uint64), [np.zeros(1, np.uint8)] * (FIGURES * len(SIDES))
+        blobs = [_stretched(x.as_py(), narrow=True) for x in counts.column("data")] if asks.num_rows else []
         if blobs:
             known = np.concatenate([_sums(x.pop(0)) for x in blobs])
             by = np.argsort(known)
-            known, columns = known[by], [np.concatenate([x.pop(0) for x in blobs])[by] for _ in range(5)]
+            known, columns = known[by], [np.concatenate([x.pop(0) for x in blobs])[by] for _ in columns]
         out = []
-        for x in asks.column("data"):
+        for k, x in zip(asks.column("side").to_pylist(), asks.column("data"), strict=True):
             (keys,) = _stretched(x.as_py())
             places = _places(_sums(keys), known)
             hit = places < len(known)
             places = places[hit] if blobs else places[:0]
-            out.append(_squeezed(np.packbits(hit) if blobs else np.zeros((len(keys) + 7) // 8), *(c[places] for c in columns)))
+            begins = [FIGURES * SIDES.index(of) for of in asks_of(k)]
+            out.append(_squeezed(np.packbits(hit) if blobs else np.zeros((len(keys) + 7) // 8), *(c[places] for i in begins for c in columns[i : i + FIGURES])))
         give_back()
         return asks.set_column(asks.column_names.index("data"), "data", pa.array(out, pa.binary()))
 
     def judge(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        model, figures = shared.value, {}
-        of, shard, data = *(answers.column(c).to_numpy() for c in ("side", "shard")), answers.column("data")
-        for k, arrays in asked(rows).items():
-            own = np.flatnonzero(of == k)
-            blobs = (data[x].as_py() for x in own[np.argsort(shard[own])].tolist())
-            places, (n, total, *follow) = _found(arrays, blobs, model.shards)
-            figures[k] = iter(places), (n, total, [_Spares(model.discounts[k, order][1:], follow) for order in (1, 2)])
-        outset = {k: next(of) for k, (of, _) in figures.items()}
-        out = [result(model, some, np.diff(off), model.sums(buf, off, k, [next(figures[k][0]) for _ in range(WORD_ORDER)], outset[k], *figures[k][1])) for k, some, buf, off in texts(rows)]
+        model = shared.value
+        model.table()  # what making it takes is free again before the keys are held
+        sides = asks_of(rows.column(on)[0].as_py())
+        data = answers.column("data")
+        blobs = (data[x].as_py() for x in np.argsort(answers.column("shard").to_numpy()).tolist())
+        places, columns = _found(asked(rows), blobs, model.shards, FIGURES * len(sides))
+        places, figures = iter(places), []
+        for k in sides:
+            n, total, *follow = columns[:FIGURES]
+            del columns[:FIGURES]
+            figures.append((k, n, total, [_Spares(model.discounts[k, order][1:], follow) for order in (1, 2)]))
+        outset = next(places)
+        out = [result(model, some, np.diff(off), *model.sums(buf, off, [next(places) for _ in range(WORD_ORDER)], outset, figures)) for some, buf, off in texts(rows)]
         give_back()
         return pa.Table.from_batches(out)
 
@@ -634,7 +718,8 @@ def _scored(docs: DataFrame, side: str, text: str, model: Model, result, schema,
     for turn in range(turns):
         some = docs.where(F.col(part) % turns == turn) if turns > 1 else docs
         asks = some.groupBy(part).applyInArrow(ask, f"`{part}` int, side int, shard int, data binary")
-        answers = asks.groupBy("side", "shard").cogroup(model.words.select("side", "shard", "data").groupBy("side", "shard")).applyInArrow(answer, f"`{part}` int, side int, shard int, data binary")
+        counts = model.words.select("shard", "data")
+        answers = asks.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(answer, f"`{part}` int, side int, shard int, data binary")
         done.append(saved(some.groupBy(part).cogroup(answers.groupBy(part)).applyInArrow(judge, schema), name, clear=True))
     out = done[0]
     for t in done[1:]:
@@ -642,6 +727,38 @@ def _scored(docs: DataFrame, side: str, text: str, model: Model, result, schema,
     return out
 
 
+def _taught(rows: DataFrame, allowance: float) -> Model:
+    """The model with all counts, still without limits, of what ``labelled`` gives; a text of half 0 counts for side 1, and the other way round."""
+    toxic = _toxic_words(rows)
+    seen = _counts(rows).toPandas()
+    taught = rows.where("trusted").select("text", (1 - _half("text")).alias("side"))
+    size = taught.agg(F.sum(F.length("text"))).first()[0] or 0
+    model = Model(seen["gram"].to_numpy(np.int64), seen["n"].to_numpy(np.int64), min(1 << 16, max(1, math.ceil(size / SHARD_BYTES))), toxic, allowance)
+    model.learn(taught)
+    return model
+
+
+def _half(text: str):
+    return F.pmod(F.xxhash64(text), F.lit(2)).cast("int")
+
+
+#: What limits are found from: symbols, and the sums by the counts of a row's side.
+_OWN_SUMS = "n long, lp double, lp2 double, lpn double, n2 double"
+
+
+def _limit(model: Model, trusted: DataFrame, quantile: float) -> None:
+    """Sets the limits by the trusted documents' lang and ``_OWN_SUMS``."""
+    trusted = trusted.where("n > 0")
+    total, lp, lp2, lpn, n2 = trusted.agg(*(F.sum(c) for c in ("n", "lp", "lp2", "lpn", "n2"))).first()
+    if total:
+        mean = lp / total
+        model.deviation = math.sqrt(max(0.0, (lp2 - 2 * mean * lpn + mean * mean * n2) / total))
+        figure = -F.col("lp") / F.col("n") - F.lit(model.allowance * model.deviation) / F.sqrt(F.col("n").cast("double"))
+        cut = F.percentile_approx(figure, F.lit(quantile), F.lit(20_000))
+        model.overall = trusted.agg(cut).first()[0]
+        model.limits = dict(trusted.groupBy("lang").agg(cut).collect())
+
+
 def fit(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, allowance: float = 1.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """The model of all trusted documents and the limit of each language.
 
@@ -655,28 +772,13 @@ def fit(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, allowance:
     columns are ignored. Without trusted documents nothing is learned and all pass.
     """
     rows = labelled(docs, labels, id_col, text_col, lang_col)
-    toxic = _toxic_words(rows)
-    seen = _counts(rows).toPandas()
-    taught = rows.where("trusted").select("text", "lang", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"))
-    size = taught.agg(F.sum(F.length("text"))).first()[0] or 0
-    model = Model(seen["gram"].to_numpy(np.int64), seen["n"].to_numpy(np.int64), min(1 << 16, max(1, math.ceil(size / SHARD_BYTES))), toxic, allowance)
+    model = _taught(rows, allowance)
 
-    def result(model, rows, n, sums):
-        return pa.RecordBatch.from_arrays([rows.column(1), pa.array(n), *map(pa.array, sums[:4])], ["lang", "n", "lp", "lp2", "lpn", "n2"])
+    def result(model, rows, n, sums, hits):
+        return pa.RecordBatch.from_arrays([rows.column(1), pa.array(n), *map(pa.array, sums[0])], ["lang", *(c.split()[0] for c in _OWN_SUMS.split(", "))])
 
-    model.learn(taught.select("text", (1 - F.col("half")).alias("side")))
-    halves = taught.withColumnRenamed("half", "side").withColumn("text", F.col("text").cast("string"))
-    trusted = _scored(halves, "side", "text", model, result, "lang string, n long, lp double, lp2 double, lpn double, n2 double", "trusted", COUNT_ROUNDS).where("n > 0")
-    model.forget()
-    total, lp, lp2, lpn, n2 = trusted.agg(*(F.sum(c) for c in ("n", "lp", "lp2", "lpn", "n2"))).first()
-    if total:
-        mean = lp / total
-        model.deviation = math.sqrt(max(0.0, (lp2 - 2 * mean * lpn + mean * mean * n2) / total))
-        figure = -F.col("lp") / F.col("n") - F.lit(allowance * model.deviation) / F.sqrt(F.col("n").cast("double"))
-        cut = F.percentile_approx(figure, F.lit(quantile), F.lit(20_000))
-        model.overall = trusted.agg(cut).first()[0]
-        model.limits = dict(trusted.groupBy("lang").agg(cut).collect())
-    model.learn(taught.select("text", F.lit(BOTH).alias("side")))
+    halves = rows.where("trusted").select(F.col("text").cast("string").alias("text"), "lang", _half("text").alias("side"))
+    _limit(model, _scored(halves, "side", "text", model, result, f"lang string, {_OWN_SUMS}", "trusted", COUNT_ROUNDS), quantile)
     return model
 
 
@@ -693,16 +795,15 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     by perplexity. Every row is judged by itself, repeated ones alike; other columns
     are ignored; an empty table gives an empty result.
     """
-    def result(model, rows, n, sums):
-        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *map(pa.array, _judged(model, rows.column(1), n, sums))], [c.split()[0] for c in SCORES.split(", ")])
+    def result(model, rows, n, sums, hits):
+        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *map(pa.array, _judged(model, rows.column(1), n, sums[-1][0], hits))], [c.split()[0] for c in SCORES.split(", ")])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"), F.lit(BOTH).alias("side"))
     return _scored(rows, "side", "text", model, result, SCORES, "scores", ROUNDS)
 
 
-def _judged(model: Model, langs: pa.Array, n: np.ndarray, sums: list[np.ndarray]) -> list[np.ndarray]:
+def _judged(model: Model, langs: pa.Array, n: np.ndarray, lp: np.ndarray, hits: np.ndarray) -> list[np.ndarray]:
     """n_symbols, perplexity, limit, n_toxic_words, kept."""
-    lp, hits = sums[0], sums[4]
     limit = np.array([model.limits.get(x, model.overall) for x in langs.to_pylist()], np.float64)
     kept = (n == 0) | ((model.figures(lp, n) <= limit + 1e-9) & (hits == 0))
     return [n, np.exp(-lp / np.maximum(n, 1)), limit, hits, kept]
@@ -714,8 +815,53 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", lang_col: s
     text, lang = docs.columns.index(text_col), docs.columns.index(lang_col)
     names, width = docs.columns, len(docs.columns)
 
-    def result(model, rows, n, sums):
-        kept = _judged(model, rows.column(lang).cast(pa.string()), n, sums)[-1]
+    def result(model, rows, n, sums, hits):
+        kept = _judged(model, rows.column(lang).cast(pa.string()), n, sums[-1][0], hits)[-1]
         return pa.RecordBatch.from_arrays(rows.columns[:width], names).filter(pa.array(kept))
 
     return _scored(docs.withColumn(side, F.lit(BOTH)), side, names[text], model, result, docs.schema, "kept", ROUNDS)
+
+
+def _scored_at_once(docs: DataFrame, labels: DataFrame, columns: list[str], quantile: float, allowance: float, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, list]:
+    """Those columns of all rows and what ``fit`` and ``classify`` make of them: lang, n_symbols, perplexity, entropy_limit, n_toxic_words, kept.
+
+    Trusted documents are scored by the other half's counts and by all in one go, so every text is looked up once.
+    """
+    model = _taught(labelled(docs, labels, id_col, text_col, lang_col), allowance)
+    used = set(docs.columns)
+    at, lang, side, n, lp, hits, *own = (fresh(c, used) for c in ("known", "lang", "side", "n", "lp", "hits", "own_lp", "own_lp2", "own_lpn", "own_n2"))
+    known = _known(labels).where("trusted").select(F.col("doc_id").alias(at))
+    raw = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
+    rows = docs.join(known, F.col(f"`{id_col}`") == F.col(at), "left")
+    rows = rows.select(*(f"`{c}`" for c in dict.fromkeys([*columns, text_col])), F.col(f"`{lang_col}`").cast("string").alias(lang), F.when(F.col(at).isNull(), F.lit(BOTH)).otherwise(_half(raw)).alias(side))
+    kept, tongue = [rows.columns.index(c) for c in columns], rows.columns.index(lang)
+
+    def result(model, rows, symbols, sums, toxic):
+        return pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), rows.column(tongue), rows.column(tongue + 1), pa.array(symbols), pa.array(sums[-1][0]), pa.array(toxic), *map(pa.array, sums[0])], names)
+
+    schema = StructType([*(docs.schema[c] for c in columns), *StructType.fromDDL(f"{lang} string, {side} int, {n} long, {lp} double, {hits} long, " + ", ".join(f"{c} double" for c in own))])
+    names = schema.names
+    scored = _scored(rows, side, text_col, model, result, schema, "figures", ROUNDS, both=True)
+    model.forget()
+    _limit(model, scored.where(F.col(side) != BOTH).select(F.col(lang).alias("lang"), F.col(n).alias("n"), *(F.col(c).alias(a) for c, a in zip(own, ("lp", "lp2", "lpn", "n2"), strict=True))), quantile)
+    lang, n, lp, hits = map(F.col, (lang, n, lp, hits))
+    most = F.lit(float(model.overall))
+    limit = F.when(lang.isNull(), F.lit(float(model.limits.get(None, model.overall)))).otherwise(most)
+    if known_langs := [x for k, v in model.limits.items() if k is not None for x in (F.lit(k), F.lit(float(v)))]:
+        limit = F.when(lang.isNull(), limit).otherwise(F.coalesce(F.try_element_at(F.create_map(*known_langs), lang), most))
+    mean = -lp / F.greatest(n, F.lit(1)).cast("double")
+    figure = mean - F.lit(model.allowance * model.deviation) / F.sqrt(F.greatest(n, F.lit(1)).cast("double"))
+    return scored, [lang, n, F.exp(mean), limit, hits, (n == 0) | ((figure <= limit + 1e-9) & (hits == 0))]
+
+
+def fit_and_classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, allowance: float = 1.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``classify(docs, fit(docs, labels))``, with each text's counts looked up once."""
+    scored, judged = _scored_at_once(docs, labels, [id_col], quantile, allowance, id_col, text_col, lang_col)
+    names = [c.split()[0] for c in SCORES.split(", ")]
+    return scored.select(F.col(f"`{id_col}`").alias(names[0]), *(c.alias(name) for c, name in zip(judged, names[1:], strict=True)))
+
+
+def fit_and_keep(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, allowance: float = 1.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``keep_good(docs, fit(docs, labels))``, with each text's counts looked up once."""
+    scored, judged = _scored_at_once(docs, labels, docs.columns, quantile, allowance, id_col, text_col, lang_col)
+    return scored.where(judged[-1]).select(*(f"`{c}`" for c in docs.columns))

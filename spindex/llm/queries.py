@@ -74,10 +74,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spindex.llm.quality import classify, fit
+    from spindex.llm.quality import fit_and_classify
 
-    docs = table(spark, sf_dir, "documents")
-    return classify(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return fit_and_classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

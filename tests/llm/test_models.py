@@ -422,6 +422,59 @@ def test_answers_of_a_part_take_little_memory():
     assert peak < 40 * len(keys) and kept < 12 * len(keys), (peak / len(keys), kept / len(keys))
 
 
+def test_one_pass_equals_fit_then_classify(spark):
+    rng = random.Random(44)
+    kinds = [a + b for a in ("than", "onti", "oner", "edsh", "é日") for b in ("ing", "er", "ly", "")]
+    rows, labels = [], []
+    for i in range(150):
+        text = " ".join(rng.choice(kinds) for _ in range(rng.randrange(1, 60))) + (" scumbag" if i % 9 == 4 else " $$$ %%" * 9 if i % 11 == 5 else "")
+        rows.append((i, text, rng.choice(["en", "de", None]), "a", i % 3))
+        if i % 3:
+            labels.append((i, int(i % 11 != 5), int(i % 9 == 4)))
+    rows += [(7, "thaning other", "en", "b", 0), (None, "thaning onti", "fr", None, None), (None, None, None, None, 1), (500, "", "en", "c", 2), (501, " \n", "en", "c", 2), (4, None, "de", "d", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, known string, side int")
+    labs = spark.createDataFrame([*labels, (500, 1, 0), labels[0], (labels[1][0], 0, 0), (None, 1, 0), (777, 1, 0)], "doc_id long, quality int, toxic int")
+    def key(r): return repr(r[:3]), repr(r[3:])  # noqa: E704
+    for some, known in ((docs, labs), (docs, labs.limit(0)), (docs.limit(0), labs)):
+        model = quality.fit(some, known)
+        a, b = (sorted(map(tuple, x.collect()), key=lambda r: (repr(r[0]), repr(r[1]), r[2], r[6], r[3])) for x in (quality.classify(some, model), quality.fit_and_classify(some, known)))
+        assert len(a) == len(b) == some.count()
+        for x, y in zip(a, b, strict=True):
+            assert x[:3] == y[:3] and x[5:] == y[5:] and x[3:5] == pytest.approx(y[3:5], rel=1e-12)
+        kept = quality.fit_and_keep(some, known)
+        assert kept.schema == some.schema
+        assert sorted(map(tuple, kept.collect()), key=key) == sorted(map(tuple, quality.keep_good(some, model).collect()), key=key)
+        model.forget()
+    assert not [t for t in spark.catalog.listTables() if t.name == model.words._buckets.table]
+
+
+def test_one_count_serves_all_sides_and_is_not_shuffled_again(spark):
+    rng = random.Random(45)
+    texts = [(" ".join(f"w{rng.randrange(60)}" for _ in range(50)), i % 2) for i in range(80)]
+    counts, discounts, single = quality._word_counts(spark.createDataFrame([(t.encode(), k) for t, k in texts], "text binary, side int"), 4)
+    for side, own in ((0, {0}), (1, {1}), (quality.BOTH, {0, 1})):
+        words = [["", "", *(x + "+" if i and x == w[i - 1] else x for i, x in enumerate(w))] for t, k in texts if k in own for w in [t.split()]]
+        grams = Counter(tuple(w[i : i + 3]) for w in words for i in range(len(w) - 2))
+        assert single[side][0] == len({g[1:] for g in grams})
+        for order in (3, 2, 1):
+            assert discounts[side, order - 1] == pytest.approx(quality._discounts_of([sum(v == k for v in grams.values()) for k in (1, 2, 3, 4)]))
+            grams = Counter(g[1:] for g in grams)
+    plan = counts.select("shard", "data").groupBy("shard").applyInArrow(lambda t: t, "shard int, data binary")._jdf.queryExecution().toString()
+    assert "Exchange" not in plan, plan
+    zeros = np.zeros(100_000, np.int64)
+    assert len(quality._squeezed(zeros, zeros)) < 60 and all((x == zeros).all() for x in quality._stretched(quality._squeezed(zeros, zeros)))
+    counts._buckets.discard()
+
+
+def test_spelling_holds_seen_contexts_alone():
+    rng = np.random.default_rng(46)
+    code, n = np.unique(rng.integers(0, quality.SYMBOLS, 20_000) * quality.SYMBOLS + rng.integers(0, 3000, 20_000) * quality.SYMBOLS**2, return_counts=True)
+    compact, dense = quality._Spelling(code, n), quality.log_probabilities(code, n)
+    some = np.concatenate([code, rng.integers(0, quality.GRAMS, 200_000)])
+    assert (compact[some] == dense[some]).all()
+    assert compact.logs.nbytes + compact.row.nbytes < dense.nbytes / 8
+
+
 def test_junk_of_other_scripts_is_told(spark):
     rng = random.Random(32)
     kinds = ["".join(rng.choices("бвгджзклмнпрст", k=3)) + rng.choice(["ать", "ого", "ами"]) for _ in range(60)]
