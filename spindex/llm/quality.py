@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from spindex.llm import textvec
-from spindex.llm.common import Buckets, fresh, give_back, saved, short_batches, text_bytes
+from spindex.llm.common import Buckets, discard, fresh, give_back, saved, short_batches, text_bytes
 
 SYMBOLS, ORDER = 64, 4
 GRAMS = SYMBOLS**ORDER
@@ -228,7 +228,8 @@ def _stretched(blob: bytes, narrow: bool = False) -> list[np.ndarray]:
     for n, width in sizes.tolist():
         kind = np.dtype(f"u{1 << max(0, width - 1).bit_length()}" if narrow else np.uint64)
         x = np.zeros((n, kind.itemsize), np.uint8)
-        x[:, :width] = raw[at : at + n * width].reshape(width, n).T
+        for k in range(width):
+            x[:, k] = raw[at + n * k : at + n * (k + 1)]
         out.append(x.reshape(-1).view(kind))
         at += n * width
     return out
@@ -411,7 +412,7 @@ def _word_counts(rows: DataFrame, shards: int) -> tuple[DataFrame, np.ndarray, n
     three words go to the shard of the first two, where they are counted, and to that
     of the last two, where the different first words are. That is done for a share of
     the shards at a time, and shuffles end with it. Kinds: 3 and 2 n-grams, 1 words, 0 a shard's share in words.
-    The counts are in buckets by shard, so that what joins them shuffles its own side only.
+    The counts are in buckets by shard, so that what joins them shuffles its own side only; shares go when they are summed.
     """
     rounds = min(COUNT_ROUNDS, shards)
 
@@ -502,17 +503,26 @@ def _word_counts(rows: DataFrame, shards: int) -> tuple[DataFrame, np.ndarray, n
             return pa.Table.from_batches(out)
 
         sent_ = rows.mapInArrow(run, "side int, shard int, left boolean, data binary")
-        return sent_.groupBy("shard").applyInArrow(reduce, _COUNTS)
+        return saved(sent_.groupBy("shard").applyInArrow(reduce, _COUNTS), "turn", clear=True)
 
     def summed(table: pa.Table) -> pa.Table:
         parts = [(_sums(keys), columns) for keys, *columns in (_stretched(x.as_py()) for x in table.column("data"))]
         return pa.Table.from_batches([_counted(table.column("shard")[0].as_py(), 1, *_merged(parts))])
 
     out = Buckets(rows.sparkSession, "ngrams", "shard")
+    shares = []
     for turn in range(rounds):
-        out.add(count(turn))
-    out.add(out.rows().where("kind = 0 and data is not null").groupBy("shard").applyInArrow(summed, _COUNTS))
-    whole = out.rows().where("kind > 0")
+        counted = count(turn)
+        out.add(counted.where("kind > 0"))
+        shares.append(saved(counted.where("kind = 0 and data is not null").select("shard", "data"), "shares"))
+        discard(counted)
+    of_words = shares[0]
+    for t in shares[1:]:
+        of_words = of_words.unionByName(t)
+    out.add(of_words.groupBy("shard").applyInArrow(summed, _COUNTS))
+    for t in shares:
+        discard(t)
+    whole = out.rows()
     keyed = whole.where("data is not null")
     keyed._buckets = out
     discounts, single = np.zeros((3, WORD_ORDER, 4)), np.zeros((3, 2))
@@ -680,20 +690,24 @@ def _scored(docs: DataFrame, side: str, text: str, model: Model, result, schema,
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], [part, "side", "shard", "data"])
 
     def answer(asks: pa.Table, counts: pa.Table) -> pa.Table:
-        known, columns = np.zeros(1, np.uint64), [np.zeros(1, np.uint8)] * (FIGURES * len(SIDES))
-        blobs = [_stretched(x.as_py(), narrow=True) for x in counts.column("data")] if asks.num_rows else []
-        if blobs:
-            known = np.concatenate([_sums(x.pop(0)) for x in blobs])
-            by = np.argsort(known)
-            known, columns = known[by], [np.concatenate([x.pop(0) for x in blobs])[by] for _ in columns]
-        out = []
-        for k, x in zip(asks.column("side").to_pylist(), asks.column("data"), strict=True):
-            (keys,) = _stretched(x.as_py())
-            places = _places(_sums(keys), known)
-            hit = places < len(known)
-            places = places[hit] if blobs else places[:0]
+        asked = [_sums(_stretched(x.as_py())[0]) for x in asks.column("data")]
+        keys = np.concatenate([*asked, np.zeros(0, np.uint64)])
+        hit, columns = np.zeros(len(keys), bool), [np.zeros(len(keys), np.uint8)] * (FIGURES * len(SIDES))
+        for x in counts.column("data") if len(keys) else ():
+            known, *figures = _stretched(x.as_py(), narrow=True)
+            places = _places(keys, _sums(known))
+            own = np.flatnonzero(places < len(known))
+            places = places[own]
+            hit[own] = True
+            for c, figure in enumerate(figures):
+                if (found := figure[places]).any():
+                    columns[c] = columns[c].astype(np.promote_types(columns[c].dtype, found.dtype))
+                    columns[c][own] = found
+        out, j = [], 0
+        for k, x in zip(asks.column("side").to_pylist(), asked, strict=True):
+            i, j = j, j + len(x)
             begins = [FIGURES * SIDES.index(of) for of in asks_of(k)]
-            out.append(_squeezed(np.packbits(hit) if blobs else np.zeros((len(keys) + 7) // 8), *(c[places] for i in begins for c in columns[i : i + FIGURES])))
+            out.append(_squeezed(np.packbits(hit[i:j]), *(c[i:j][hit[i:j]] for b in begins for c in columns[b : b + FIGURES])))
         give_back()
         return asks.set_column(asks.column_names.index("data"), "data", pa.array(out, pa.binary()))
 
