@@ -8,7 +8,8 @@ grows with the text: n-grams by key, with their counts (below the highest order
 different predecessors), their totals as contexts, and how many n-grams follow them once,
 twice and more often. Scoring is a join: documents are parts of about 8 MB, each asks the
 shards for its n-grams once, and a part is scored where its texts and the answers meet.
-Counting and scoring take turns, so that a share of the whole is shuffled at a time.
+Counting and scoring take turns, so that a share of the whole is shuffled at a time; the
+counts stand in buckets by shard and aren't shuffled again.
 
 A trusted document is judged, for the limits, by the counts of the half of the trusted
 texts it isn't in, so that what it taught itself doesn't count; all others by all counts.
