@@ -17,6 +17,7 @@ import unicodedata
 import numpy as np
 
 from spindex.llm import textvec as tv
+from spindex.llm.common import give_back
 
 U64 = np.uint64
 _CODE = {"L": 1, "N": 2}
@@ -238,4 +239,9 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """The process's encoder for a tokenizer file."""
-    return tv.resident(("encoder", path), lambda: Encoder(path))
+    def make() -> Encoder:
+        made = Encoder(path)
+        give_back()  # what reading the vocabulary took
+        return made
+
+    return tv.resident(("encoder", path), make)

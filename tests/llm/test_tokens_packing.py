@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -106,3 +108,16 @@ def test_best_fit_is_close_to_the_bound():
         assert sum(len(p) for p in room.values()) == sum(counts.values())
         big = sum(n for length, n in counts.items() if length > 50)
         assert len(room) <= 1.23 * max(big, sum(le * n for le, n in counts.items()) / 100) + 2
+
+
+def test_a_new_encoder_leaves_no_memory_to_give_back():
+    code = f"""
+import re
+from spindex.llm import bpe, common
+def held(): return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+bpe.encoder({PATH!r})
+before = held()
+common.give_back()
+print(before - held())
+"""
+    assert float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 8
