@@ -45,6 +45,8 @@ _SEEDS = [U64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299
 SAMPLED, HOT, MOST_HOT = 64, 100, 100_000
 #: Words and documents of a block, about, beyond which it is split into shards and sent as pairs of them.
 SHARD_WORDS, SHARD_ROWS = 2_000_000, 4_000
+#: Rows that are compared with others at a time, and places of these others, about.
+SOURCES, PLACES = 64, 8_192
 #: Documents in blocks whose hubs may be broadcast to their shingles; beyond that both are joined by a shuffle.
 MOST_MEMBERS = 500_000
 SKETCH = "doc_id long, n_words long, h0 long, h1 long, keys array<long>"
@@ -165,7 +167,14 @@ def _encode(buf: np.ndarray, off: np.ndarray) -> list[bytes]:
 
 
 class Block:
-    """Documents to be compared with each other: ids, shingles, hubs of each, shards, and the documents each stands for."""
+    """Documents to be compared with each other: ids, shingles, hubs of each, shards, and the documents each stands for.
+
+    Only windows of which enough shingles lie in some other row are looked at. Rows that
+    are alike in all that counts here (their windows, what they hold of the shingles of
+    any, their smaller hubs) are one class, so a passage that many documents quote is
+    compared once; classes are compared ``SOURCES`` at a time, with the rows alone in
+    which these can reach anything.
+    """
 
     def __init__(self, ids: np.ndarray, shingles: list[np.ndarray], hubs: list[np.ndarray], shard: np.ndarray, copies: np.ndarray):
         self.ids, self.node = np.unique(ids, return_inverse=True)
@@ -173,61 +182,194 @@ class Block:
         self.copies = np.zeros(len(self.ids), np.int64)
         self.copies[self.node] = copies
 
-    def allowed(self, hub: int, across: bool) -> np.ndarray:
-        """A matrix of the rows that are compared here: of different ids, of different shards if ``across``, and without a smaller hub in common."""
-        out = self.node[:, None] != self.node
-        if across:
-            out &= self.shard[:, None] != self.shard
+    def _smaller(self, hub: int) -> list[tuple[int, ...]]:
+        """Of each row the hubs below ``hub`` that another row has as well."""
         row = np.repeat(np.arange(len(self.hubs)), [len(h) for h in self.hubs])
         other = np.concatenate(self.hubs)
         row, other = row[other < hub], other[other < hub]
-        by = np.argsort(other, kind="stable")
-        row, other = row[by], other[by]
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(other)) + 1, [len(other)]])
-        for k in np.flatnonzero(np.diff(cuts) > 1):
-            same = row[cuts[k] : cuts[k + 1]]
-            out[np.ix_(same, same)] = False
+        kinds, code, n = np.unique(other, return_inverse=True, return_counts=True)
+        out: list[tuple[int, ...]] = [()] * len(self.hubs)
+        for r, h in zip(row[n[code] > 1].tolist(), kinds[code[n[code] > 1]].tolist(), strict=True):
+            out[r] += (h,)
         return out
 
     def links(self, hub: int, across: bool, least: int, wanted: int) -> list[tuple[int, int, str, int]]:
-        """(node, number of linked documents, spans, smallest node reachable here) of each row that is linked."""
-        allow = self.allowed(hub, across)
-        if not allow.any():
-            return []
+        """(node, number of linked documents, spans, smallest node reachable here) of each row that is linked.
+
+        Rows of different ids are compared, of different shards if ``across``, and without
+        a smaller hub in common.
+        """
+        n = len(self.shingles)
         size = np.array([len(x) for x in self.shingles])
         first = np.concatenate([[0], np.cumsum(size)])
         kinds, code = np.unique(np.concatenate(self.shingles), return_inverse=True)
-        row = np.repeat(np.arange(len(size)), size)
-        whole = np.arange(len(code)) + least <= first[row + 1]
-        known, repeated = np.zeros(len(kinds), bool), np.zeros(len(code), bool)
-        linked = np.zeros((len(self.ids), len(self.ids)), bool)
-        total = np.zeros(len(code) + 1, np.int32)
-        for i in np.flatnonzero(allow.any(axis=1)):
-            own = code[first[i] : first[i + 1]]
-            known[own] = True
-            np.cumsum(known[code], out=total[1:])
-            known[own] = False
-            at = np.flatnonzero(total[least:] - total[:-least] >= wanted)
-            at = at[whole[at]]
-            at = at[allow[i, row[at]]]
-            repeated[at] = True
-            linked[self.node[i], self.node[row[at]]] = True
+        row = np.repeat(np.arange(n), size)
+        low, high = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64)
+        high[code], low[code[::-1]] = row, row[::-1]
+        shared = (low != high)[code]
+        total = np.concatenate([[0], np.cumsum(shared)])
+        at = np.flatnonzero(total[least:] - total[:-least] >= wanted)
+        at = at[at + least <= first[row[at] + 1]]
+        if not len(at):
+            return []
+        start, step = np.zeros(len(code), bool), np.zeros(len(code) + 1, np.int64)
+        start[at] = True
+        step[at] += 1
+        step[at + least] -= 1
+        covered = np.cumsum(step[:-1]) > 0
+        target = np.zeros(len(kinds), bool)
+        target[code[covered & shared]] = True
+        number_of, n_kinds = np.cumsum(target) - 1, max(1, int(target.sum()))
+
+        # what counts of each row, and the classes of equal ones
+        cut = np.concatenate([[0], np.cumsum(covered)])[first]
+        seen = np.where(shared, number_of[code], -1)[covered]
+        begins = start[covered]
+        holds = target[code]
+        own = np.unique(row[holds] * n_kinds + number_of[code[holds]])
+        edge = np.searchsorted(own, np.arange(n + 1) * n_kinds)
+        own %= n_kinds
+        smaller, rows_of = self._smaller(hub), np.bincount(self.node)
+        classes: dict[tuple, int] = {}
+        kind = np.full(n, -1)
+        some: list[int] = []
+        for r in np.flatnonzero(np.diff(edge) > 0).tolist():
+            sign = (seen[cut[r] : cut[r + 1]].tobytes(), begins[cut[r] : cut[r + 1]].tobytes(), own[edge[r] : edge[r + 1]].tobytes(), smaller[r], self.shard[r] if across else 0, self.node[r] if rows_of[self.node[r]] > 1 else -1)
+            kind[r] = classes.setdefault(sign, len(some))
+            if kind[r] == len(some):
+                some.append(r)
+        one = np.array(some)
+        allow = self._allowed(one, [smaller[r] for r in some], across)
+        linked, repeated = _compared([own[edge[r] : edge[r + 1]] for r in some], [seen[cut[r] : cut[r + 1]] for r in some], [begins[cut[r] : cut[r + 1]] for r in some], allow, n_kinds, least, wanted)
         linked |= linked.T
-        number = linked @ self.copies
-        low = np.full(len(self.ids), -1)
-        for n in np.flatnonzero(number > 0):
-            new = np.array([n]) if low[n] < 0 else np.zeros(0, np.int64)
+        alone = np.bincount(kind[kind >= 0], minlength=len(some)) < 2
+        for c in np.flatnonzero(~alone).tolist():  # rows of one class hold each other's windows, all of them
+            if not across and not smaller[some[c]] and rows_of[self.node[some[c]]] == 1 and begins[cut[some[c]] : cut[some[c] + 1]].any():
+                linked[c, c] = True
+                repeated[c][:] = True
+
+        # rows of one id are one unit, whatever their classes
+        mark = np.where(rows_of[self.node[one]] > 1, -1 - self.node[one], np.arange(len(one)))
+        unit = np.unique(mark, return_inverse=True)[1]
+        if unit.max() + 1 < len(unit):
+            whole = np.zeros((unit.max() + 1,) * 2, bool)
+            a, b = np.nonzero(linked)
+            whole[unit[a], unit[b]] = True
+            linked = whole
+        else:
+            linked = linked[np.ix_(np.argsort(unit), np.argsort(unit))]
+        of = np.where(kind >= 0, unit[kind], -1)
+        pairs = np.unique(np.stack([of[of >= 0], self.node[of >= 0]], 1), axis=0)
+        weight, least_node = np.zeros(len(linked), np.int64), np.full(len(linked), len(self.ids))
+        np.add.at(weight, pairs[:, 0], self.copies[pairs[:, 1]])
+        np.minimum.at(least_node, pairs[:, 0], pairs[:, 1])
+        number = np.array([weight[x].sum() for x in linked])
+        reach = np.full(len(linked), -1)
+        for u in np.argsort(least_node).tolist():
+            new = np.array([u]) if reach[u] < 0 and number[u] else np.zeros(0, np.int64)
             while len(new):  # each row of the matrix is read once
-                low[new] = n
-                new = np.flatnonzero(linked[new].any(axis=0) & (low < 0))
+                reach[new] = least_node[u]
+                new = np.flatnonzero(linked[new].any(axis=0) & (reach < 0))
         out, counted = [], set()
-        for r in np.flatnonzero(number[self.node] > 0).tolist():  # rows of one id count their partners once
-            n = self.node[r]
-            out.append((int(self.ids[n]), 0 if n in counted else int(number[n]), spans_of(repeated[first[r] : first[r + 1]], least), int(self.ids[low[n]])))
-            counted.add(n)
+        for r in np.flatnonzero(of >= 0).tolist():  # rows of one id count their partners once
+            u, node = of[r], self.node[r]
+            partners = number[u] - (self.copies[node] if linked[u, u] else 0)
+            if partners > 0:
+                spans = np.zeros(size[r], bool)
+                spans[np.flatnonzero(start[first[r] : first[r + 1]])] = repeated[kind[r]]
+                out.append((int(self.ids[node]), 0 if node in counted else int(partners), spans_of(spans, least), int(self.ids[reach[u]])))
+                counted.add(node)
+        return out
+
+    def _allowed(self, rows: np.ndarray, smaller: list[tuple[int, ...]], across: bool) -> np.ndarray:
+        """A matrix of the rows that are compared here."""
+        node, shard = self.node[rows], self.shard[rows]
+        out = node[:, None] != node
+        if across:
+            out &= shard[:, None] != shard
+        by: dict[int, list[int]] = {}
+        for k, hubs in enumerate(smaller):
+            for h in hubs:
+                by.setdefault(h, []).append(k)
+        for same in by.values():
+            out[np.ix_(same, same)] = False
         return out
 
 
+def _window_sums(rows: np.ndarray, width: int) -> np.ndarray:
+    """The sum of each ``width`` rows that follow each other, by sums of 1, 2, 4, ... of them."""
+    n = len(rows) - width + 1
+    out, done, size = np.zeros((max(0, n), rows.shape[1]), rows.dtype), 0, 1
+    while n > 0 and size <= width:
+        if width & size:
+            out += rows[done : done + n]
+            done += size
+        rows, size = rows[:-size] + rows[size:], size * 2
+    return out
+
+
+def _compared(own: list[np.ndarray], seen: list[np.ndarray], begins: list[np.ndarray], allow: np.ndarray, kinds: int, least: int, wanted: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Which row (first) holds enough of a window of which row (second), and of each row which windows another holds.
+
+    Windows begin at the places flagged in ``begins``. They are counted in bytes, eight
+    to a word, as a window has fewer than 256 shingles.
+    """
+    if least > 255:
+        raise ValueError("a window has at most 255 shingles")
+    linked = np.zeros(allow.shape, bool)
+    repeated = [np.zeros(int(b.sum()), bool) for b in begins]
+    able = np.flatnonzero([b.any() for b in begins])
+    if not len(able):
+        return linked, repeated
+    first = np.concatenate([[0], np.cumsum([len(seen[r]) for r in able])])
+    code, flag = np.concatenate([seen[r] for r in able]), np.concatenate([begins[r] for r in able])
+    code = np.where(code < 0, kinds, code)
+    marks = np.concatenate([[0], np.cumsum(flag)])
+    hit = np.zeros(marks[-1], bool)
+    at = np.flatnonzero(flag)
+    row_of = np.searchsorted(first, at, side="right") - 1
+    known = np.zeros((kinds + 1, SOURCES), np.uint8)
+    by = sorted(range(len(own)), key=lambda r: own[r].tobytes())  # rows that hold the same come together
+    for i in range(0, len(by), SOURCES):
+        group = np.array([r for r in by[i : i + SOURCES] if allow[r].any()])
+        if not len(group):
+            continue
+        for k, r in enumerate(group.tolist()):
+            known[own[r], k] = 1
+        union = np.zeros(kinds + 1, bool)
+        union[np.concatenate([own[r] for r in group])] = True
+        total = np.concatenate([[0], np.cumsum(union[code], dtype=np.int32)])
+        reached = np.zeros(len(able), bool)
+        reached[row_of[total[at + least] - total[at] >= wanted]] = True
+        chosen, done = np.flatnonzero(reached & allow[np.ix_(group, able)].any(axis=0)), 0
+        while done < len(chosen):
+            upto = done + 1
+            space = first[chosen[done] + 1] - first[chosen[done]]
+            while upto < len(chosen) and space < PLACES:
+                space += first[chosen[upto] + 1] - first[chosen[upto]]
+                upto += 1
+            part, done = chosen[done:upto], upto
+            place = np.concatenate([np.arange(first[j], first[j + 1]) for j in part])
+            count = _window_sums(np.take(known.view(U64), code[place], axis=0), least)
+            enough = count.view(np.uint8)[np.flatnonzero(flag[place])] >= wanted
+            number = marks[first[part + 1]] - marks[first[part]]
+            edge = np.concatenate([[0], np.cumsum(number)])
+            may = np.zeros((len(part), SOURCES), bool)
+            may[:, : len(group)] = allow[np.ix_(group, able[part])].T
+            words = np.repeat(may.view(U64), number, axis=0)
+            words &= enough.view(U64)
+            linked[np.ix_(group, able[part])] = np.bitwise_or.reduceat(words, edge[:-1], axis=0).view(bool)[:, : len(group)].T
+            some = words[:, 0].copy()
+            for k in range(1, words.shape[1]):
+                some |= words[:, k]
+            hit[np.concatenate([np.arange(marks[first[j]], marks[first[j + 1]]) for j in part])] |= some > 0
+        for r in group.tolist():
+            known[own[r]] = 0
+    for j, r in enumerate(able.tolist()):
+        repeated[r] = hit[marks[first[j]] : marks[first[j + 1]]]
+    return linked, repeated
+
+
 def _verify(members: DataFrame, texts: DataFrame, least: int, wanted: int) -> DataFrame:
     """node, n_links, spans, low of what is linked in the blocks; ``members`` has rep, copies, n_words and the sorted hubs of each."""
     each = members.select("rep", "n_words", F.explode("hubs").alias("hub"))

@@ -174,3 +174,65 @@ def test_odd_tables(spark):
     got = sorted((r.doc_id or -1, r.n_words, r.class_id or -1, r.repeats) for r in p.repeated_passages(df).collect())
     assert got == [(-1, 80, -1, False), (3, 80, 3, True), (8, 1, 8, False), (8, 80, 3, True)]
     assert p.repeated_passages(df.limit(0)).count() == 0
+
+
+def pairwise(block, hub, across, least, wanted):
+    """``Block.links`` by comparing every two rows one by one."""
+    n = len(block.shingles)
+    marked, near = [np.zeros(len(x), bool) for x in block.shingles], {k: {k} for k in range(len(block.ids))}
+    for i in range(n):
+        for j in range(n):
+            if block.node[i] == block.node[j] or (across and block.shard[i] == block.shard[j]) or any(h < hub and h in block.hubs[j] for h in block.hubs[i]):
+                continue
+            held = np.isin(block.shingles[j], block.shingles[i])
+            for s in range(len(held) - least + 1):
+                if held[s : s + least].sum() >= wanted:
+                    marked[j][s] = True
+                    near[block.node[i]].add(block.node[j]), near[block.node[j]].add(block.node[i])
+    out, counted = [], set()
+    for r in range(n):
+        k = block.node[r]
+        if len(near[k]) > 1:
+            reach = {k}
+            while (more := set().union(*(near[x] for x in reach))) != reach:
+                reach = more
+            out.append((int(block.ids[k]), 0 if k in counted else int(sum(block.copies[x] for x in near[k] - {k})), p.spans_of(marked[r], least), int(block.ids[min(reach)])))
+            counted.add(k)
+    return out
+
+
+def block_of(rng, n, repeat_ids):
+    pool = [rng.integers(0, 1 << 32, 12, dtype=np.uint32) for _ in range(4)]
+    shingles = []
+    for _ in range(n):
+        parts = [rng.integers(0, 1 << 32, rng.integers(0, 12), dtype=np.uint32), np.repeat(pool[3][:1], rng.integers(0, 15))]
+        for k in rng.integers(0, 4, 2):
+            part = pool[k].copy()
+            if rng.random() < 0.3:
+                part[rng.integers(0, 12)] = rng.integers(0, 1 << 32)
+            parts.insert(rng.integers(0, len(parts) + 1), part)
+        shingles.append(np.concatenate(parts))
+    ids = np.sort(rng.integers(0, n // 2, n)) if repeat_ids else np.arange(n)
+    hubs = [np.unique(np.append(rng.integers(0, 6, rng.integers(0, 2)), 7)) for _ in range(n)]
+    return p.Block(ids, shingles, hubs, rng.integers(0, 2, n), rng.integers(1, 4, len(np.unique(ids)))[np.unique(ids, return_inverse=True)[1]])
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_blocks_equal_comparing_two_by_two(monkeypatch, seed):
+    monkeypatch.setattr(p, "SOURCES", 8), monkeypatch.setattr(p, "PLACES", 40)
+    block = block_of(np.random.default_rng(seed), 30, seed % 2 == 1)
+    for across in (False, True):
+        got = block.links(7, across, 9, 8)
+        assert got and sorted(got) == sorted(pairwise(block, 7, across, 9, 8))
+
+
+def test_a_passage_that_many_quote_is_compared_once(monkeypatch):
+    """The block's work doesn't grow with the square of the documents that quote one passage."""
+    compared, seen = p._compared, []
+    monkeypatch.setattr(p, "_compared", lambda own, *more: seen.append(len(own)) or compared(own, *more))
+    rng, n = np.random.default_rng(3), 3000
+    quoted = rng.integers(0, 1 << 32, 60, dtype=np.uint32)
+    shingles = [np.concatenate([rng.integers(0, 1 << 32, 20, dtype=np.uint32), quoted, rng.integers(0, 1 << 32, 20, dtype=np.uint32)]) for _ in range(n)]
+    got = p.Block(np.arange(n), shingles, [np.array([0])] * n, np.zeros(n, int), np.ones(n, int)).links(0, False, 46, 41)
+    assert [r[:2] + r[3:] for r in got] == [(i, n - 1, 0) for i in range(n)] and {r[2] for r in got} == {"15:89"}
+    assert sum(seen) == 1
