@@ -80,3 +80,36 @@ def test_compact(spark, tmp_path):
     p = spark.read.parquet(src)
     spatial.compact(p, dst)
     assert ids(spark.read.parquet(dst)) == ids(p)
+
+
+def unit(lat, lng):
+    a, g = math.radians(lat), math.radians(lng)
+    return math.cos(a) * math.cos(g), math.cos(a) * math.sin(g), math.sin(a)
+
+
+def test_nearest_join_beyond_a_pole_and_the_antimeridian(spark):
+    """Degrees go on around the sphere, in cells as in distances."""
+    points = [(1, 93, 10), (2, 80, 190), (3, 70, 190), (4, 0, 181), (5, 0, 175), (6, -1, 170)]
+    asks = [(1, 87, -170), (2, 0, -179), (3, 0, 538)]
+    q = spark.createDataFrame([(str(i), float(a), float(g)) for i, a, g in asks], "query_id string, lat double, lng double")
+    got = sorted((r.query_id, r["rank"], r.object_id) for r in spatial.nearest_join(q, pts(spark, points), 2).collect())
+    assert got == sorted((str(i), r + 1, str(j)) for i, a, g in asks for r, (_, j) in enumerate(sorted((math.dist(unit(a, g), unit(b, h)), j) for j, b, h in points)[:2]))
+
+
+def test_nearest_join_compares_few_pairs(spark, monkeypatch):
+    """The cells are as small as the tables are dense, also where many points lie at one place."""
+    sides, probes = [], spatial._probes
+    monkeypatch.setattr(spatial, "_probes", lambda rows, side: sides.append(side) or probes(rows, side))
+    rows = [(i, 10 + (i * 37 % 1000) * 1e-4, 20 + (i * 73 % 997) * 1e-4) for i in range(3000)]
+    asks = rows[:600:2]
+    q = spark.createDataFrame([(str(i), a, g) for i, a, g in asks], "query_id string, lat double, lng double")
+    got = {(r.query_id, r["rank"]): r.object_id for r in spatial.nearest_join(q, pts(spark, rows), 2).collect()}
+    assert sides[0] < 0.001 and len(sides) < 6
+    for i, a, g in asks[::29]:
+        want = sorted((km(a, g, b, h), str(j)) for j, b, h in rows)[:2]
+        assert [got[str(i), r] for r in (1, 2)] == [j for _, j in want]
+    same = pts(spark, [(i, 10, 20) for i in range(2000)] + [(9000 + i, 10, 21) for i in range(5)])
+    many = spark.createDataFrame([(str(i), 10.0, 20.0) for i in range(500)], "query_id string, lat double, lng double")
+    assert spatial._first_side(spatial._placed(many), spatial._placed(same), 3, 0.03)[1].count() == 6
+    got = [(r["rank"], r.object_id) for r in spatial.nearest_join(many, same, 3).collect()]
+    assert len(got) == 1500 and set(got) == {(1, "0"), (2, "1"), (3, "10")}
