@@ -7,6 +7,7 @@ non-ASCII character, and those of fewer than three letters, are their own stems.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -121,3 +122,85 @@ def tokens(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """doc id, pos (from 0, stop words counted), token, without stop words."""
     rows = docs.select(F.col(f"`{id_col}`"), F.posexplode(token_array(F.col(f"`{text_col}`"))).alias("pos", "token"))
     return rows.where(~is_stop_word(F.col("token")))
+
+
+# --- the same on bytes, for a document's tokens within its own row
+
+#: Stems a worker remembers, with 150 bytes each about; beyond that it begins anew.
+MOST_REMEMBERED = 500_000
+_TO_TOKENS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() or b == 95 else 32 for b in range(256))
+_STOP_BYTES = frozenset(w.encode() for w in STOP_WORDS)
+
+
+def token_bytes(text: bytes) -> list[bytes]:
+    """As ``token_array``, of UTF-8: every byte of a non-ASCII character is above 127."""
+    return text.translate(_TO_TOKENS).split()
+
+
+def _compiled() -> dict[str, Callable]:
+    patterns = {"above_0": _M_ABOVE_0, "is_1": _M_IS_1, "above_1": _M_ABOVE_1, "short": _SHORT, "doubled": _DOUBLED, "vowel": "[aeiouy]"}
+    return {name: re.compile(pattern).search for name, pattern in patterns.items()}
+
+
+_IS = _compiled()
+_ENDINGS = [{s: new for new, ss in table.items() for s in ss.split()} for table in (_SECOND, _THIRD, _FOURTH)]
+_LONGEST = [range(max(map(len, t)), min(map(len, t)) - 1, -1) for t in _ENDINGS]
+
+
+def _ending(w: str, k: int) -> str | None:
+    """The longest suffix of a table that leaves a letter."""
+    for n in _LONGEST[k]:
+        if n < len(w) and w[-n:] in _ENDINGS[k]:
+            return w[-n:]
+    return None
+
+
+def porter(token: str) -> str:
+    """The stem of a lower-cased ASCII token of three letters or more; the stages of ``porter_stages``."""
+    w = "Y" + token[1:] if token[0] == "y" else token
+    if w[-1] == "s":
+        if (len(w) > 4 and w.endswith("sses")) or (len(w) > 3 and w.endswith("ies")):
+            w = w[:-2]
+        elif len(w) > 2 and w[-2] != "s":
+            w = w[:-1]
+    if len(w) > 3 and w.endswith("eed"):
+        if _IS["above_0"](w[:-3]):
+            w = w[:-1]
+    elif (len(w) > 2 and w.endswith("ed")) or (len(w) > 3 and w.endswith("ing")):
+        cut = w[:-2] if w[-1] == "d" else w[:-3]
+        if _IS["vowel"](cut):
+            w = cut
+            if w.endswith(("at", "bl", "iz")):
+                w += "e"
+            elif _IS["doubled"](w):
+                w = w[:-1]
+            elif _IS["short"](w):
+                w += "e"
+    if w[-1] == "y" and _IS["vowel"](w[:-1]):
+        w = w[:-1] + "i"
+    for k in (0, 1):
+        suffix = _ending(w, k)
+        if suffix and _IS["above_0"](w[: -len(suffix)]):
+            w = w[: -len(suffix)] + _ENDINGS[k][suffix]
+    suffix = _ending(w, 2)
+    if suffix:
+        if _IS["above_1"](w[: -len(suffix)]):
+            w = w[: -len(suffix)]
+    elif len(w) > 4 and w.endswith(("sion", "tion")) and _IS["above_1"](w[:-3]):
+        w = w[:-3]
+    if len(w) > 1 and w[-1] == "e" and (_IS["above_1"](w[:-1]) or (_IS["is_1"](w[:-1]) and not _IS["short"](w[:-1]))):
+        w = w[:-1]
+    if w.endswith("ll") and _IS["above_1"](w):
+        w = w[:-1]
+    return "y" + w[1:] if w[0] == "Y" else w
+
+
+class Stems(dict):
+    """The stem of each token in bytes, None for stop words, found when first asked for."""
+
+    def __missing__(self, token: bytes) -> bytes | None:
+        if len(self) >= MOST_REMEMBERED:
+            self.clear()
+        stem = None if token in _STOP_BYTES else token if len(token) < 3 or not token.isascii() else porter(token.decode()).encode()
+        self[token] = stem
+        return stem

@@ -8,19 +8,25 @@ postings of its terms alone.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spindex.functions.text import is_stop_word, stemmed, stemmed_distinct, token_array, tokens
+from spindex.functions.text import Stems, is_stop_word, stemmed, stemmed_distinct, token_array, token_bytes, tokens
 from spindex.sources.store import APPLIED
 from spindex.sources.tables import Namespace
 
 K1, B = 1.2, 0.75
 #: Word forms of a query's terms that are written into the plan; beyond that their occurrences are joined by a shuffle.
 MOST_FORMS = 5_000
-#: Distinct tokens that are broadcast with their stems, about 60 bytes each; beyond that postings are joined in salted shards.
-MOST_TOKENS = 200_000
-SALTS = 16
+#: Rows of postings that a worker holds before it hands them on.
+MOST_HELD = 100_000
+#: Ids that are broadcast to be removed from an index; beyond that they are joined by a shuffle.
+MOST_REMOVED = 1_000_000
 
 
 def query_terms(spark: SparkSession, text: str) -> list[str]:
@@ -34,22 +40,69 @@ def newest(docs: DataFrame, id_col: str, seq_col: str, text_col: str = "text") -
     return docs.groupBy(id_col).agg(F.max_by(text_col, seq_col).alias(text_col))
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, term, tf, first_pos.
-
-    Tokens are counted for each document before they meet their stems, so a common token
-    is one row a document; each distinct token is stemmed once.
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, term, tf, first_pos and place of each row's terms, in order of first appearance."""
+    stems = Stems()
+    for batch in batches:
+        row, terms, counts, positions, places = [], [], [], [], []
+
+        def made(ids=batch.column(0)):
+            columns = [ids.take(pa.array(row, pa.int64())), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(positions, pa.int32()), pa.array(places, pa.int32())]
+            return pa.RecordBatch.from_arrays(columns, ["id", "term", "tf", "first_pos", "place"])
+
+        for r, text in enumerate(batch.column(1)):
+            found = token_bytes(_valid(text.as_py()))
+            first = dict(zip(reversed(found), range(len(found) - 1, -1, -1), strict=True))
+            tf: dict[bytes, int] = {}
+            own = []
+            for token, n in Counter(found).items():  # by first appearance
+                stem = stems[token]
+                if stem is not None:
+                    if stem in tf:
+                        tf[stem] += n
+                    else:
+                        tf[stem] = n
+                        own.append(first[token])
+            row += [r] * len(own)
+            terms += tf
+            counts += tf.values()
+            positions += own
+            places += range(1, len(own) + 1)
+            if len(row) >= MOST_HELD:
+                yield made()
+                row, terms, counts, positions, places = [], [], [], [], []
+        if row:
+            yield made()
+
+
+def _valid(text: bytes) -> bytes:
+    try:
+        text.decode()
+        return text
+    except UnicodeDecodeError:
+        return text.decode(errors="replace").encode()
+
+
+def _document_terms(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """id, term, tf, first_pos, place of each row's terms, and whether some id has several rows.
+
+    A row's terms are counted within it, without a shuffle: a vocabulary grows with the
+    documents, so to join it costs more than to stem a token where it stands.
     """
-    key = F.col(f"`{id_col}`")
-    counted = tokens(docs, id_col, text_col).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
-    words = tokens(docs, id_col, text_col).select("token").distinct()
-    vocabulary = stemmed(words)
-    if words.limit(MOST_TOKENS + 1).count() <= MOST_TOKENS:
-        named = counted.join(F.broadcast(vocabulary), "token")
-    else:
-        salted = vocabulary.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        named = counted.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, ["token", "_salt"])
-    return named.groupBy(key, F.col("stem").alias("term")).agg(F.sum("n").alias("tf"), F.min("pos").alias("first_pos"))
+    key = F.col(f"`{id_col}`").alias("id")
+    rows = docs.select(key, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text"))
+    kind = rows.schema["id"].dataType
+    out = T.StructType([T.StructField("id", kind), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("first_pos", T.IntegerType()), T.StructField("place", T.IntegerType())])
+    repeated = not docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    return rows.mapInArrow(_listed, out).withColumnRenamed("id", id_col), repeated
+
+
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, term, tf, first_pos; rows of one id are added up."""
+    rows, repeated = _document_terms(docs, id_col, text_col)
+    if not repeated:
+        return rows.drop("place")
+    return rows.groupBy(F.col(f"`{id_col}`"), "term").agg(F.sum("tf").alias("tf"), F.min("first_pos").alias("first_pos"))
 
 
 def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,8 +2,9 @@ import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from spindex.functions.text import STOP_WORDS, stemmed, tokens
+from spindex.functions.text import STOP_WORDS, Stems, stemmed, tokens
 from spindex.operators import fulltext
 from spindex.sources.tables import Namespace
 
@@ -149,3 +150,36 @@ def test_index_changes(spark, tmp_path):
 def test_stems_of_random_words(spark, words):
     words = sorted(set(words))
     assert stems(spark, words) == {w: porter(w) if w.isascii() else w for w in words}
+
+
+def test_stems_in_rows_equal_stems_in_sql(spark):
+    bases = ["y", "yy", "dy", "lo", "trou", "hop", "size", "fil", "conform", "adopt", "rol", "x9", "oa", "sens", "gener", "abl", "st", "a_", "ss", "i"]
+    tails = ["", "s", "es", "ies", "sses", "eed", "ed", "ing", "y", "tional", "ational", "izer", "biliti", "logi", "icate", "ness", "ful", "ement", "ion", "sion", "ous", "ize", "e", "ll", "ating", "bled", "ying", "eli"]
+    words = sorted({w for a in bases for b in tails for c in ("", "s", "ed", "ly", "e", "é") if (w := a + b + c) not in STOP_WORDS})
+    got = Stems()
+    assert stems(spark, words) == {w: got[w.encode()].decode() for w in words} and got[b"the"] is None
+
+
+def in_sql(spark, docs):
+    """doc_id, term, tf, first_pos by tokens joined with their stems."""
+    t = tokens(docs, "doc_id")
+    joined = t.join(stemmed(t.select("token").distinct()), "token")
+    return sorted((str(r.doc_id), r.stem, r.tf, r.first) for r in joined.selectExpr("doc_id", "stem", "pos").groupBy("doc_id", "stem").agg(F.count("*").alias("tf"), F.min("pos").alias("first")).collect())
+
+
+def test_postings_join_no_vocabulary(spark, monkeypatch):
+    """Terms are counted in each document's row: nothing is shuffled unless an id is repeated."""
+    monkeypatch.setattr(fulltext, "MOST_HELD", 3)
+    texts = ["The apples Apple of ÉCOLE école", "naïve_1 runs running; ran  run x \u0085y", "", None, "x" * 50 + " hopping hops hop", "the of and"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    again = docs.unionByName(spark.createDataFrame([(0, "pie apple"), (None, "a null apple"), (None, "apple")], "doc_id long, text string"))
+    for df in (docs, again):
+        got = fulltext.postings(df)
+        assert sorted((str(r.doc_id), r.term, r.tf, r.first_pos) for r in got.collect()) == in_sql(spark, df)
+        assert dict(got.dtypes) == {"doc_id": "bigint", "term": "string", "tf": "bigint", "first_pos": "int"}
+    assert "Exchange" not in fulltext.postings(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bad_bytes_and_removal_of_many(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(1, bytearray(b"apple \xff pear")), (2, bytearray(b"pear"))], "doc_id long, b binary").selectExpr("doc_id", "cast(b as string) as text")
+    assert {(r.doc_id, r.term) for r in fulltext.postings(df).collect()} == {(1, "appl"), (1, "�"), (1, "pear"), (2, "pear")}
