@@ -276,5 +276,8 @@ class TextIndex:
 
 def term_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Terms of each document in order of first appearance, with their frequency and that place among them."""
+    rows, repeated = _document_terms(docs, id_col, text_col)
+    if not repeated:
+        return rows.drop("first_pos")
     listed = postings(docs, id_col, text_col)
-    return listed.withColumn("place", F.row_number().over(Window.partitionBy(id_col).orderBy("first_pos"))).drop("first_pos")
+    return listed.withColumn("place", F.row_number().over(Window.partitionBy(F.col(f"`{id_col}`")).orderBy("first_pos"))).drop("first_pos")
