@@ -192,7 +192,9 @@ def require_all(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: s
 
 
 class TextIndex:
-    """Postings and lengths, the postings range-partitioned and sorted by term, as two parts of one versioned table.
+    """Postings and lengths, the postings partitioned by term and sorted by it, as two parts of one versioned table.
+
+    Partitions are by hash: bounds of ranges would be found by making all postings once more.
 
     Every change commits both at once, together with the index of the log entry it
     applies, if one is given.
@@ -209,8 +211,9 @@ class TextIndex:
     def applied_index(self) -> int:
         return self.stored.applied_index
 
-    def _commit(self, listed: DataFrame, sizes: DataFrame, base: dict, applied: int | None) -> TextIndex:
-        parts = {"postings": listed.repartitionByRange("term").sortWithinPartitions("term", "id"), "lengths": sizes.repartitionByRange("id").sortWithinPartitions("id")}
+    def _commit(self, listed: DataFrame, sizes: DataFrame, base: dict, applied: int | None, ordered: bool = False) -> TextIndex:
+        """``ordered`` rows are written as they come: those of a stored index less some, joined by a broadcast, keep their order."""
+        parts = {"postings": listed, "lengths": sizes} if ordered else {"postings": listed.repartition("term").sortWithinPartitions("term", "id"), "lengths": sizes.repartition("id").sortWithinPartitions("id")}
         self.stored.commit(replace=parts, values={} if applied is None else {APPLIED: applied}, base=base)
         return self
 
@@ -232,12 +235,13 @@ class TextIndex:
         return self._keep(ids.select(F.col(f"`{id_col}`").cast("string").alias("id")), None, None, applied)
 
     def _keep(self, gone: DataFrame, more_postings: DataFrame | None, more_lengths: DataFrame | None, applied: int | None) -> TextIndex:
-        base, out = self.stored.state(), []
+        base, gone = self.stored.state(), gone.select("id").distinct()
+        few = gone.limit(MOST_REMOVED + 1).count() <= MOST_REMOVED
+        out = []
         for part, more in (("postings", more_postings), ("lengths", more_lengths)):
-            rest = self._table(part).join(gone.select("id").distinct(), "id", "left_anti")
-            now = self._table(part).columns
-            out.append(rest.select(now).unionByName(more) if more is not None else rest.select(now))
-        return self._commit(*out, base, applied)
+            rest = self._table(part).join(F.broadcast(gone) if few else gone, "id", "left_anti").select(self._table(part).columns)
+            out.append(rest.unionByName(more) if more is not None else rest)
+        return self._commit(*out, base, applied, ordered=few and more_postings is None)
 
     def clear(self, applied: int | None = None) -> TextIndex:
         base = self.stored.state()

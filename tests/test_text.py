@@ -185,3 +185,23 @@ def test_postings_join_no_vocabulary(spark, monkeypatch):
 def test_bad_bytes_and_removal_of_many(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame([(1, bytearray(b"apple \xff pear")), (2, bytearray(b"pear"))], "doc_id long, b binary").selectExpr("doc_id", "cast(b as string) as text")
     assert {(r.doc_id, r.term) for r in fulltext.postings(df).collect()} == {(1, "appl"), (1, "�"), (1, "pear"), (2, "pear")}
+    docs = spark.createDataFrame(DOCS, "doc_id string, text string")
+    for most in (0, 10):
+        monkeypatch.setattr(fulltext, "MOST_REMOVED", most)
+        index = fulltext.TextIndex(Namespace(spark, str(tmp_path / str(most)))).build(docs)
+        index.remove(docs.where("doc_id in ('a', 'f')"))
+        assert {r.id: round(r.score, 9) for r in index.query("apple pear pie").collect()} == by_hand([x for x in DOCS if x[0] not in "af"], "apple pear pie")
+
+
+def test_an_index_is_made_of_few_passes(spark, tmp_path):
+    """The documents' ids are read once, and their texts once for each part."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame(DOCS, "doc_id string, text string")
+    fulltext.TextIndex(Namespace(spark, str(tmp_path))).build(docs.mapInArrow(counted, docs.schema))
+    assert seen.value <= 3 * len(DOCS)
