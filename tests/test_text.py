@@ -178,6 +178,7 @@ def test_postings_join_no_vocabulary(spark, monkeypatch):
         assert sorted((str(r.doc_id), r.term, r.tf, r.first_pos) for r in got.collect()) == in_sql(spark, df)
         assert dict(got.dtypes) == {"doc_id": "bigint", "term": "string", "tf": "bigint", "first_pos": "int"}
     assert "Exchange" not in fulltext.postings(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in fulltext.term_positions(docs)._jdf.queryExecution().executedPlan().toString()
     places = {(r.doc_id, r.term): r.place for r in fulltext.term_positions(docs).collect()}
     assert places[0, "appl"] == 1 and places[0, "École"] == 2 and places[0, "école"] == 3 and places[1, "run"] == 2
 
